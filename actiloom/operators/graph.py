@@ -418,6 +418,17 @@ def export_parts(
     )
 
 
+def assemble(parts: DataFrame) -> DataFrame:
+    """One whole document per root (root, json), for consumers that need it whole.
+
+    A row is as large as its subgraph; consumers of large graphs read the parts.
+    """
+    texts = F.array_sort(F.collect_list(F.struct("part", "json")))
+    return parts.groupBy("root").agg(
+        F.array_join(F.transform(texts, lambda p: p["json"]), "").alias("json")
+    )
+
+
 GRAPH_DOCUMENT = (
     "root string, truncated_at_depth boolean,"
     " nodes array<struct<uid: string, type: string, name: string, content: string,"

@@ -178,29 +178,42 @@ def dependencies(
 def waves(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(task, wave) from 1, and the tasks no wave can hold.
 
-    Round k places the tasks whose dependencies are all placed. Placed tasks
-    leave the state, so each round only touches what is left: one row per
-    waiting task and one per open dependency.
+    Round k places the tasks whose dependencies are all placed. The state has
+    one row per waiting task and one per open dependency; placed tasks leave
+    it, so a round only touches what is left, and writes it once.
     """
     known = tasks.select("task").distinct()
-    open_deps = deps.select("task", "dep").distinct().join(known, "task", "left_semi")
-    state = materialize(known.withColumn("dep", F.lit(None).cast(deps.schema["dep"].dataType)).unionByName(open_deps))
+    nothing = F.lit(None).cast(deps.schema["dep"].dataType).alias("dep")
+    state = known.select("task", nothing).unionByName(
+        deps.select("task", "dep").distinct().join(known, "task", "left_semi")
+    )
     placed = []
+    state = _mark_ready(state)
     for wave in range(1, MAX_ROUNDS):
-        ready = state.groupBy("task").agg(F.count("dep").alias("_open")).where("_open = 0")
-        ready = materialize(ready.select("task"))
+        ready = state.where("ready").select("task")
         if ready.isEmpty():
             break
         placed.append(ready.withColumn("wave", F.lit(wave)))
-        left = state.join(ready, "task", "left_anti")
         done = ready.select(F.col("task").alias("dep"))
-        state = materialize(left.join(done, "dep", "left_anti").select("task", "dep"))
+        state = _mark_ready(state.where("not ready").join(done, "dep", "left_anti"))
     stuck = state.where("dep is null").select("task")
     if not placed:
         return known.where("false").withColumn("wave", F.lit(0)), stuck
     return reduce(DataFrame.unionAll, placed), stuck
 
 
+def _mark_ready(state: DataFrame) -> DataFrame:
+    """Rows with ``ready``: a task without open dependencies is one ready row."""
+    waiting = state.where("dep is not null").select("task").distinct().withColumn(
+        "_waits", F.lit(True)
+    )
+    return materialize(
+        state.join(waiting, "task", "left").select(
+            "task", "dep", F.col("_waits").isNull().alias("ready")
+        )
+    )
+
+
 def reverse_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Stopping order: dependents before what they depend on.
 
@@ -350,27 +363,27 @@ def runnable(
 
 
 def blocked(deps: DataFrame, failed: DataFrame) -> DataFrame:
-    """(task) never dispatched because something it depends on failed.
+    """(task) never dispatched because something it depends on, near or far, failed.
 
     Reachability from the failed tasks over reversed dependencies, as one
-    multi-source walk that remembers only which tasks were met.
+    multi-source walk that remembers only which tasks were met. A failed task
+    behind another failed one is blocked as well.
     """
     links = materialize(deps.select("task", "dep").distinct())
-    reached = materialize(failed.select("task").distinct())
-    frontier, levels = reached, []
+    frontier, levels = failed.select("task").distinct(), []
     for _ in range(MAX_ROUNDS):
-        seen = reduce(DataFrame.unionAll, [reached, *levels])
         step = (
             links.join(frontier.select(F.col("task").alias("dep")), "dep", "left_semi")
             .select("task")
             .distinct()
-            .join(seen, "task", "left_anti")
         )
+        if levels:
+            step = step.join(reduce(DataFrame.unionAll, levels), "task", "left_anti")
         frontier = materialize(step)
         if frontier.isEmpty():
             break
         levels.append(frontier)
-    return reduce(DataFrame.unionAll, levels) if levels else reached.where("false")
+    return reduce(DataFrame.unionAll, levels) if levels else frontier
 
 
 def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -380,61 +393,44 @@ def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     ``deps`` has (task, dep, position). A task is skipped when a dependency is
     unknown or not active; the first such one by position names the reason.
     Tasks on or behind a cycle are never started.
+
+    Skipped are exactly the tasks behind a bad one, so a reachability walk
+    decides all outcomes and the reasons follow from one join.
     """
     own = materialize(tasks.select("task", "outcome"))
     wanted = materialize(deps.select("task", "dep", "position"))
-    text = lambda c: F.col(c).cast("string")
-    # Dependencies nobody registered block from the start.
     known = own.select(F.col("task").alias("dep"))
-    blocks = wanted.join(known, "dep", "left_anti").select(
+    inner = wanted.join(known, "dep", "left_semi")
+    unknown = wanted.join(known, "dep", "left_anti")
+    stuck = waves(own.select("task"), inner)[1]
+    bad = own.where("outcome <> 'active'").select("task").unionAll(unknown.select("task")).unionAll(stuck)
+    behind = blocked(inner, bad).unionAll(unknown.select("task")).distinct()
+    marks = stuck.withColumn("_mark", F.lit("not started")).unionAll(
+        behind.join(stuck, "task", "left_anti").withColumn("_mark", F.lit("skipped"))
+    )
+    final = materialize(
+        own.join(marks, "task", "left").select(
+            "task", F.coalesce("_mark", "outcome").alias("outcome"), F.col("_mark").alias("mark")
+        )
+    )
+    text = F.col("dep").cast("string")
+    state = final.where("outcome <> 'active'").select(
+        F.col("task").alias("dep"), F.col("outcome").alias("_o")
+    )
+    reasons = inner.join(state, "dep").select(
         "task",
         "position",
-        F.concat(F.lit("depends on unknown '"), text("dep"), F.lit("'")).alias("reason"),
-    )
-    placed, stuck = waves(own.select("task"), wanted.join(known, "dep", "left_semi"))
-    placed = materialize(placed)
-    last = placed.agg(F.max("wave")).first()[0] or 0
-    settled = None
-    for wave in range(1, last + 1):
-        now = placed.where(F.col("wave") == wave).select("task")
-        if settled is not None:
-            bad = settled.where("outcome <> 'active'").select(
-                F.col("task").alias("dep"), F.col("outcome").alias("_o")
-            )
-            from_deps = (
-                wanted.join(now, "task", "left_semi")
-                .join(bad, "dep")
-                .select(
-                    "task",
-                    "position",
-                    F.concat(
-                        F.lit("dependency '"), text("dep"), F.lit("' is "), F.col("_o")
-                    ).alias("reason"),
-                )
-            )
-            why = from_deps.unionByName(blocks.join(now, "task", "left_semi"))
-        else:
-            why = blocks.join(now, "task", "left_semi")
-        first = why.groupBy("task").agg(F.min_by("reason", "position").alias("reason"))
-        result = (
-            now.join(own, "task")
-            .join(first, "task", "left")
-            .select(
-                "task",
-                F.when(F.col("reason").isNotNull(), "skipped")
-                .otherwise(F.col("outcome"))
-                .alias("outcome"),
-                "reason",
-            )
+        F.concat(F.lit("dependency '"), text, F.lit("' is "), F.col("_o")).alias("reason"),
+    ).unionAll(
+        unknown.select(
+            "task", "position", F.concat(F.lit("depends on unknown '"), text, F.lit("'"))
         )
-        result = materialize(result)
-        settled = result if settled is None else settled.unionByName(result)
-    rest = stuck.select(
-        "task",
-        F.lit("not started").alias("outcome"),
-        F.lit("on or behind a dependency cycle").alias("reason"),
     )
-    return rest if settled is None else settled.unionByName(rest)
+    first = reasons.groupBy("task").agg(F.min_by("reason", "position").alias("_reason"))
+    reason = F.when(F.col("mark") == "skipped", F.col("_reason")).when(
+        F.col("mark") == "not started", "on or behind a dependency cycle"
+    )
+    return final.join(first, "task", "left").select("task", "outcome", reason.alias("reason"))
 
 
 # -- context documents -------------------------------------------------------

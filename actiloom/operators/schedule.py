@@ -180,40 +180,32 @@ def waves(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Round k places the tasks whose dependencies are all placed. The state has
     one row per waiting task and one per open dependency; placed tasks leave
-    it, so a round only touches what is left, and writes it once.
+    it, so a round only touches what is left. Open dependencies are counted
+    with map-side combine, so a task with very many of them is no hot spot.
     """
     known = tasks.select("task").distinct()
     nothing = F.lit(None).cast(deps.schema["dep"].dataType).alias("dep")
-    state = known.select("task", nothing).unionByName(
-        deps.select("task", "dep").distinct().join(known, "task", "left_semi")
+    state = materialize(
+        known.select("task", nothing).unionByName(
+            deps.select("task", "dep").distinct().join(known, "task", "left_semi")
+        )
     )
     placed = []
-    state = _mark_ready(state)
     for wave in range(1, MAX_ROUNDS):
-        ready = state.where("ready").select("task")
+        ready = state.groupBy("task").agg(F.count("dep").alias("_open")).where("_open = 0")
+        ready = materialize(ready.select("task"))
         if ready.isEmpty():
             break
         placed.append(ready.withColumn("wave", F.lit(wave)))
+        left = state.join(ready, "task", "left_anti")
         done = ready.select(F.col("task").alias("dep"))
-        state = _mark_ready(state.where("not ready").join(done, "dep", "left_anti"))
+        state = materialize(left.join(done, "dep", "left_anti").select("task", "dep"))
     stuck = state.where("dep is null").select("task")
     if not placed:
         return known.where("false").withColumn("wave", F.lit(0)), stuck
     return reduce(DataFrame.unionAll, placed), stuck
 
 
-def _mark_ready(state: DataFrame) -> DataFrame:
-    """Rows with ``ready``: a task without open dependencies is one ready row."""
-    waiting = state.where("dep is not null").select("task").distinct().withColumn(
-        "_waits", F.lit(True)
-    )
-    return materialize(
-        state.join(waiting, "task", "left").select(
-            "task", "dep", F.col("_waits").isNull().alias("ready")
-        )
-    )
-
-
 def reverse_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Stopping order: dependents before what they depend on.
 

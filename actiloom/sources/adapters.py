@@ -57,7 +57,7 @@ class BlockTranscripts(Adapter):
     def source_name(self, file):
         return part_from_end(file, 2)
 
-    def route(self, lines, headers=None, seen=None):
+    def route(self, lines, headers=None, seen=None, hold=lambda df: df):
         return shape1.route(lines)
 
 
@@ -83,8 +83,8 @@ class ChatTranscripts(Adapter):
     def locator(self, file):
         return F.regexp_replace(file, "/[^/]*/[^/]*$", "")
 
-    def route(self, lines, headers=None, seen=None):
-        return shape2.route(lines, headers, seen)
+    def route(self, lines, headers=None, seen=None, hold=lambda df: df):
+        return shape2.route(lines, headers, seen, hold)
 
 
 class AppLogs(Adapter):
@@ -102,7 +102,7 @@ class AppLogs(Adapter):
     def locator(self, file):
         return file
 
-    def route(self, lines, headers=None, seen=None):
+    def route(self, lines, headers=None, seen=None, hold=lambda df: df):
         return logs.route(lines, self.agent)
 
 

@@ -267,7 +267,7 @@ def capture(
     parses every line once.
     """
     mine = lines.where(adapter.accepts(F.col("file")))
-    routed = hold(adapter.route(mine, headers, seen))
+    routed = hold(adapter.route(mine, headers, seen, hold))
     messages = L.messages(routed)
     events = L.events(routed).unionByName(announcements(mine))
     resolved = hold(resolve(candidates(mine, messages, adapter), ledger))

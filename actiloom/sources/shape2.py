@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +24,24 @@ def has_key(json: Column, path: str) -> Column:
 
 
 def dedupe(records: DataFrame) -> DataFrame:
-    """Of records with one string id, the last in the file stays, where it stood.
+    """Of records with one ``record_id``, the last in the file stays, where it stood.
 
-    Records without an id or a type always stay. The last position per id is
-    an aggregate with map-side combine; the records join back on their own
-    position, so a hot file or id spreads over all tasks.
+    Records without one always stay. The last position per id is an aggregate
+    with map-side combine; it is matched by position, which no two records
+    share, so neither a hot file nor a hot id ends up in one task.
     """
-    keyed = records.withColumn(
-        "_id", F.when(has_key(F.col("json"), "$.type"), J.str_at(F.col("json"), "$.id"))
-    )
     last = (
-        keyed.where("_id is not null").groupBy("file", "_id").agg(F.max("offset").alias("offset"))
+        records.where("record_id is not null")
+        .groupBy(F.col("file").alias("_file"), "record_id")
+        .agg(F.max("offset").alias("_offset"))
+        .drop("record_id")
     )
-    kept = keyed.where("_id is not null").join(
-        last.select("file", "offset"), ["file", "offset"], "left_semi"
+    same = (F.col("file") == F.col("_file")) & (F.col("offset") == F.col("_offset"))
+    return (
+        records.join(last, same, "left")
+        .where(F.col("record_id").isNull() | F.col("_offset").isNotNull())
+        .drop("_file", "_offset")
     )
-    return keyed.where("_id is null").unionByName(kept.select(*keyed.columns)).drop("_id")
 
 
 def keep_grown(records: DataFrame, seen: DataFrame) -> DataFrame:
@@ -46,33 +50,24 @@ def keep_grown(records: DataFrame, seen: DataFrame) -> DataFrame:
     ``seen`` has (file, record_id, chars) of what was captured.
     """
     known = seen.groupBy("file", "record_id").agg(F.max("chars").alias("_chars"))
-    keyed = records.withColumn("record_id", record_id(F.col("json")))
-    joined = keyed.join(known, ["file", "record_id"], "left")
+    joined = records.join(known, ["file", "record_id"], "left")
     fresh = F.col("_chars").isNull() | (F.char_length("text") > F.col("_chars"))
     return joined.where(fresh).select(*records.columns)
 
 
 def record_id(json: Column) -> Column:
+    """The id of a record with a type; only such records are ever re-emitted."""
     return F.when(has_key(json, "$.type"), J.str_at(json, "$.id"))
 
 
 def with_sessions(records: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Adds ``session_key``: the newest header above, own session id, or file name.
 
-    ``headers`` (file, session) holds what earlier batches found. The running
-    header is computed in chunks of the file, so one huge file is many tasks.
+    ``records`` have ``own_session`` and ``is_header``; ``headers`` (file,
+    session) holds what earlier batches found. The running header is computed
+    in chunks of the file, so one huge file is many tasks.
     """
-    json = F.col("json")
-    own = J.str_at(json, "$.sessionId")
-    flagged = records.withColumns(
-        {
-            "is_header": F.coalesce(
-                own.isNotNull() & ~has_key(json, "$.type") & ~has_key(json, "$.$set"),
-                F.lit(False),
-            ),
-            "_own": own,
-        }
-    ).withColumn("_header", F.when(F.col("is_header"), F.col("_own")))
+    flagged = records.withColumn("_header", F.when(F.col("is_header"), F.col("own_session")))
     filled = ordered.with_running_in_buckets(
         flagged,
         ["file"],
@@ -86,8 +81,8 @@ def with_sessions(records: DataFrame, headers: DataFrame | None = None) -> DataF
     else:
         filled = filled.withColumn("_before", F.lit(None).cast("string"))
     stem = F.coalesce(F.nullif(L.file_stem(F.col("file")), F.lit("")), F.lit("unknown-session"))
-    key = F.coalesce("_above", "_before", "_own", stem)
-    return filled.withColumn("session_key", key).drop("_header", "_above", "_before", "_own")
+    key = F.coalesce("_above", "_before", "own_session", stem)
+    return filled.withColumn("session_key", key).drop("_header", "_above", "_before")
 
 
 def extract_text(json: Column) -> Column:
@@ -152,63 +147,94 @@ def sanitize(text: Column) -> Column:
     return F.when(touched, cleaned).otherwise(text)
 
 
+def read_records(lines: DataFrame) -> DataFrame:
+    """Everything a chat line says, read out in one pass over its JSON."""
+    json = F.col("json")
+    own = J.str_at(json, "$.sessionId")
+    is_set = F.coalesce(has_key(json, "$.$set"), F.lit(False))
+    is_header = F.coalesce(
+        own.isNotNull() & ~has_key(json, "$.type") & ~is_set, F.lit(False)
+    )
+    kind = (
+        F.when(is_header | is_set, "header")
+        .when(json.isNull(), "unparseable")
+        .otherwise(F.coalesce(J.str_at(json, "$.type"), F.lit("")))
+    )
+    calls = F.transform(
+        J.array_at(json, "$.toolCalls"),
+        lambda c: F.struct(
+            J.str_at(c, "$.name").alias("tool"), J.str_at(c, "$.status").alias("status")
+        ),
+    )
+    typed = L.parsed(lines).select(
+        "file", "offset", "text", "json", own.alias("own_session"), is_header.alias("is_header"), kind.alias("type")
+    )
+    is_message = F.col("type").isin(USER, ASSISTANT)
+    rest = ~is_message & ~F.col("type").isin("header", *NOTICES)
+    shown = F.coalesce(
+        F.to_json("json"),
+        F.to_json(F.struct(F.col("text").alias("line"), F.lit("unparseable").alias("type"))),
+    )
+    return typed.select(
+        "file",
+        "offset",
+        "text",
+        "own_session",
+        "is_header",
+        "type",
+        is_message.alias("is_message"),
+        record_id(json).alias("record_id"),
+        F.when(is_message, extract_text(json)).alias("content"),
+        F.when(is_message, clock.parse_rfc3339(J.str_at(json, "$.timestamp"))).alias("emitted_at"),
+        F.when(is_message, calls).alias("calls"),
+        F.when(F.col("type").isin(NOTICES), J.str_at(json, "$.content")).alias("notice"),
+        F.when(rest, F.left(shown, F.lit(model.SNIPPET_CHARS))).alias("snippet"),
+    )
+
+
 def route(
-    lines: DataFrame, headers: DataFrame | None = None, seen: DataFrame | None = None
+    lines: DataFrame,
+    headers: DataFrame | None = None,
+    seen: DataFrame | None = None,
+    hold: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Routed chat lines.
 
     Header lines set the session and emit nothing, nor do ``$set`` lines. user
     and assistant records are messages with a light event and one event per
-    tool call; notices are events; everything else is kept raw.
+    tool call; notices are events; everything else is kept raw. ``hold`` may
+    cache the parsed records, which the steps after read more than once.
     """
-    json = F.col("json")
-    records = dedupe(L.parsed(lines))
+    records = dedupe(hold(read_records(lines)))
     if seen is not None:
         records = keep_grown(records, seen)
-    kind = F.when(F.col("is_header"), "header").when(json.isNull(), "unparseable")
-    kind = kind.when(has_key(json, "$.$set"), "header").otherwise(
-        F.coalesce(J.str_at(json, "$.type"), F.lit(""))
-    )
-    typed = with_sessions(records, headers).withColumn("type", kind)
-    is_message = F.col("type").isin(USER, ASSISTANT)
-    filled = typed.withColumns(
+    is_message = F.col("is_message")
+    filled = with_sessions(records, headers).withColumns(
         {
-            "is_message": is_message,
             "role": F.when(is_message, F.when(F.col("type") == USER, "user").otherwise("assistant")),
-            "content": F.when(is_message, extract_text(json)),
             "raw": F.when(is_message, sanitize(F.col("text"))),
-            "emitted_at": F.when(is_message, clock.parse_rfc3339(J.str_at(json, "$.timestamp"))),
         }
     )
     session = F.col("session_key")
     calls = F.transform(
-        J.array_at(json, "$.toolCalls"),
+        "calls",
         lambda c, i: L.event(
-            "tool_call",
-            L.payload(tool=J.str_at(c, "$.name"), status=J.str_at(c, "$.status"), session=session),
-            "source",
-            i + 1,
+            "tool_call", L.payload(tool=c["tool"], status=c["status"], session=session), "source", i + 1
         ),
     )
     notice = L.event(
         "transcript_event",
-        L.payload(kind=F.col("type"), session=session, content=J.str_at(json, "$.content")),
+        L.payload(kind=F.col("type"), session=session, content=F.col("notice")),
         "source",
     )
-    shown = F.coalesce(
-        F.to_json("json"),
-        F.to_json(F.struct(F.col("text").alias("line"), F.lit("unparseable").alias("type"))),
-    )
     rest = L.event(
         "transcript_raw",
-        L.payload(
-            file=F.col("file"), session=session, snippet=F.left(shown, F.lit(model.SNIPPET_CHARS))
-        ),
+        L.payload(file=F.col("file"), session=session, snippet=F.col("snippet")),
         "source",
     )
     light = F.array(L.captured())
     given = (
-        F.when(is_message, F.when(calls.isNull(), light).otherwise(F.concat(light, calls)))
+        F.when(is_message, F.when(F.col("calls").isNull(), light).otherwise(F.concat(light, calls)))
         .when(F.col("type") == "header", F.slice(F.array(rest), 1, 0))
         .when(F.col("type").isin(NOTICES), F.array(notice))
         .otherwise(F.array(rest))

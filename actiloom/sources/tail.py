@@ -21,12 +21,14 @@ A file shorter than its stored offset was replaced and is read from the start.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -266,6 +268,8 @@ class FileList(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    # Workers get the classes themselves, so they need not have this package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(LineTail)
     spark.dataSource.register(FileList)
 

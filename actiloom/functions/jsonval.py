@@ -6,10 +6,21 @@ would turn ``5`` into ``'5'``, so every read tests the stored kind first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once, for values too costly to compute per use.
+
+    Inside one expression Spark repeats an operand wherever it is written (and
+    never shares it inside lambdas); a one-element transform binds it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse(text: Column) -> Column:
     """JSON text to VARIANT; text that is not JSON gives null."""
     return F.try_parse_json(text)
@@ -73,13 +84,26 @@ def array_at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "array<variant>")
 
 
+def field(text: Column, name: str) -> Column:
+    """One top-level field of JSON text; only its own value is built."""
+    return typed(text, f"`{name}` variant")[name]
+
+
+def str_field(text: Column, name: str) -> Column:
+    return let(field(text, name), as_str)
+
+
+def int_field(text: Column, name: str) -> Column:
+    return let(field(text, name), as_int)
+
+
 def wrap_root(text: Column) -> Column:
     """JSON object text as it is; any other JSON value as ``{"value": x}``."""
-    value = parse(text)
-    return (
-        F.when(value.isNull(), None)
+    return let(
+        parse(text),
+        lambda value: F.when(value.isNull(), None)
         .when(is_object(value), F.to_json(value))
-        .otherwise(F.concat(F.lit('{"value":'), F.to_json(value), F.lit("}")))
+        .otherwise(F.concat(F.lit('{"value":'), F.to_json(value), F.lit("}"))),
     )
 
 

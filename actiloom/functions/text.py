@@ -48,20 +48,23 @@ def plain(value: Column) -> Column:
 
 def payload_summary(payload: Column, limit: int = 80) -> Column:
     """``k=v`` pairs in key order, long values cut; non-objects shown bare."""
-    value = J.parse(payload)
-    entries = F.map_entries(F.from_json(payload, "map<string, variant>"))
-    pairs = F.transform(
-        F.array_sort(F.transform(entries, lambda e: e["key"])),
-        lambda k: F.concat(
-            k,
-            F.lit("="),
-            elide(
-                plain(F.element_at(F.filter(entries, lambda e: e["key"] == k), 1)["value"]), limit
-            ),
-        ),
-    )
-    return F.when(J.is_object(value), F.array_join(pairs, " ")).otherwise(
-        elide(plain(value), limit)
+
+    def pair(entry: Column) -> Column:
+        return F.concat(entry["key"], F.lit("="), elide(plain(entry["value"]), limit))
+
+    # Pairs are ordered by key before they are rendered: keys are unique.
+    def pairs(fields: Column) -> Column:
+        by_key = F.transform(
+            F.array_sort(F.map_keys(fields)),
+            lambda k: F.struct(k.alias("key"), F.element_at(fields, k).alias("value")),
+        )
+        return F.array_join(F.transform(by_key, pair), " ")
+
+    return J.let(
+        J.parse(payload),
+        lambda value: F.when(
+            J.is_object(value), J.let(F.from_json(payload, "map<string, variant>"), pairs)
+        ).otherwise(elide(plain(value), limit)),
     )
 
 
@@ -98,11 +101,14 @@ def tool_summary(raw: Column) -> Column:
         return F.when(J.is_object(c), F.concat(F.lit("⚙ "), name, F.coalesce(status, F.lit(""))))
 
     none = F.expr("array()").cast("array<string>")
-    blocks = F.transform(J.as_array(raw["message"]["content"]), block)
-    calls = F.transform(J.as_array(raw["toolCalls"]), call)
-    # array_join leaves nulls out.
-    joined = F.array_join(F.concat(F.coalesce(blocks, none), F.coalesce(calls, none)), "; ")
-    return F.when(joined != "", elide(joined, 160))
+
+    def line(record: Column) -> Column:
+        blocks = F.transform(J.as_array(record["message"]["content"]), block)
+        calls = F.transform(J.as_array(record["toolCalls"]), call)
+        # array_join leaves nulls out.
+        return F.array_join(F.concat(F.coalesce(blocks, none), F.coalesce(calls, none)), "; ")
+
+    return J.let(J.let(raw, line), lambda joined: F.when(joined != "", elide(joined, 160)))
 
 
 def render_message(ts: Column, role: Column, content: Column, summary: Column) -> Column:

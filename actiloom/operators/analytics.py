@@ -125,7 +125,7 @@ def boot_durations(
 ) -> DataFrame:
     """Boot events of the newest window with their duration, labelled MM-DD HH:MM."""
     recent = lookup.newest(events, window).where(F.col("lifecycle_event") == event)
-    value = J.int_at(J.parse(F.col("payload")), f"$.{field}")
+    value = J.int_field(F.col("payload"), field)
     order = [F.desc(c) if newest_first else F.asc(c) for c in _STAMP]
     return recent.orderBy(*order).select(
         "id",
@@ -198,10 +198,10 @@ def module_startup(
 ) -> DataFrame:
     """Newest start-up reading per module over the newest ``scan`` readings."""
     readings = lookup.newest(events.where(F.col("lifecycle_event") == event), scan)
-    payload = J.parse(F.col("payload"))
+    payload = F.col("payload")
     named = readings.select(
-        J.str_at(payload, f"$.{name_field}").alias("name"),
-        F.coalesce(J.int_at(payload, f"$.{value_field}"), F.lit(0)).alias("value"),
+        J.str_field(payload, name_field).alias("name"),
+        F.coalesce(J.int_field(payload, value_field), F.lit(0)).alias("value"),
         *_STAMP,
     ).where("name is not null")
     return (
@@ -265,7 +265,7 @@ def session_model(messages: DataFrame) -> DataFrame:
 
 def session_key(payload: Column) -> Column:
     """``session`` of an event payload when it is a string."""
-    return J.as_str(J.typed(payload, "session variant")["session"])
+    return J.str_field(payload, "session")
 
 
 def attributed_events(events: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -501,14 +501,14 @@ def attachments(edges: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFra
         F.col("entity").alias("out"), "name", "attributes"
     )
     rows = edges.where("rel_type = 'attached'").join(now, "out", "left")
-    value = J.parse(F.col("attributes"))
+    text = F.col("attributes")
     listed = rows.select(
         F.col("in").alias("entity"),
         F.col("out").alias("document"),
-        F.coalesce(J.str_at(value, "$.original_name"), F.col("name"), F.lit("")).alias("name"),
-        F.coalesce(J.str_at(value, "$.mime"), F.lit(model.OTHER_MIME)).alias("mime"),
-        F.coalesce(J.int_at(value, "$.size"), F.lit(0)).alias("size"),
-        J.str_at(value, "$.file").alias("file"),
+        F.coalesce(J.str_field(text, "original_name"), F.col("name"), F.lit("")).alias("name"),
+        F.coalesce(J.str_field(text, "mime"), F.lit(model.OTHER_MIME)).alias("mime"),
+        F.coalesce(J.int_field(text, "size"), F.lit(0)).alias("size"),
+        J.str_field(text, "file").alias("file"),
     )
     return listed, listed.where("file is null")
 

@@ -23,7 +23,7 @@ def named_state(ledger: DataFrame, attr_type: str | None = None) -> DataFrame:
     """Current descriptors with their ``name`` read out."""
     rows = ledger if attr_type is None else ledger.where(F.col("type") == attr_type)
     return versioned.current_state(rows).withColumn(
-        "name", J.str_at(J.parse(F.col("payload")), "$.name")
+        "name", J.str_field(F.col("payload"), "name")
     )
 
 
@@ -39,7 +39,7 @@ def find_by_current_name(
     chosen = entities if entity_type is None else entities.where(F.col("type") == entity_type)
     ids = chosen.select(F.col("id").alias("target"))
     rows = ledger.where(F.col("type") == attr_type).join(ids, "target", "left_semi")
-    named = rows.withColumn("name", J.str_at(J.parse(F.col("payload")), "$.name"))
+    named = rows.withColumn("name", J.str_field(F.col("payload"), "name"))
     claims = (
         named.where("name is not null")
         .groupBy("name")
@@ -120,10 +120,20 @@ def event_match(q: str) -> Column:
     object yields none of them.
     """
     schema = ", ".join(f"`{f}` variant" for f in model.SEARCHED_FIELDS)
-    payload = J.typed(F.col("payload"), schema)
-    texts = [F.lower(F.coalesce(J.as_str(payload[f]), F.lit(""))) for f in model.SEARCHED_FIELDS]
-    in_payload = F.exists(F.array(*texts), lambda t: F.contains(t, F.lit(q)))
-    return F.contains(F.lower("lifecycle_event"), F.lit(q)) | in_payload
+
+    def any_field(payload: Column) -> Column:
+        texts = [F.lower(F.coalesce(J.as_str(payload[f]), F.lit(""))) for f in model.SEARCHED_FIELDS]
+        return reduce(lambda a, b: a | b, [F.contains(t, F.lit(q)) for t in texts])
+
+    # A field can only contain the keyword if the JSON text does, or if it may
+    # hide it behind an escape; other payloads are not parsed at all.
+    text = F.col("payload")
+    possible = F.contains(F.lower(text), F.lit(q)) | F.contains(text, F.lit("\\"))
+    return (
+        F.when(F.contains(F.lower("lifecycle_event"), F.lit(q)), True)
+        .when(possible, F.coalesce(J.let(J.typed(text, schema), any_field), F.lit(False)))
+        .otherwise(False)
+    )
 
 
 def search_messages(messages: DataFrame, raw_keyword: str | None) -> DataFrame:
@@ -259,21 +269,18 @@ def parameter(ledger: DataFrame, target, param: str) -> DataFrame:
     No row means the parameter was never set.
     """
     rows = ledger.where((F.col("target") == F.lit(target)) & (F.col("type") == param))
-    value = J.parse(F.col("payload"))
-    return versioned.current_state(rows).select(
-        "target",
-        "type",
-        J.at(value, "$.value").alias("value"),
-        J.at(value, "$.value").isNull().alias("corrupt"),
-    )
+    current = versioned.current_state(rows).withColumn("value", J.field(F.col("payload"), "value"))
+    return current.select("target", "type", "value", F.col("value").isNull().alias("corrupt"))
 
 
 def positive_parameter(ledger: DataFrame, param: str, default: int) -> DataFrame:
     """One row: the current positive number of a parameter, else its default."""
     rows = ledger.where(F.col("type") == param)
     newest_payload = F.max_by("payload", F.struct("valid_from", "id"))
-    value = J.int_at(J.parse(newest_payload), "$.value")
-    return rows.agg(F.when(value > 0, value).otherwise(F.lit(default)).alias("value"))
+    number = rows.agg(newest_payload.alias("payload")).select(
+        J.int_field(F.col("payload"), "value").alias("value")
+    )
+    return number.select(F.when(F.col("value") > 0, F.col("value")).otherwise(default).alias("value"))
 
 
 def parameter_rows(requests: DataFrame, now: Column) -> DataFrame:

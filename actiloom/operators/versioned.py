@@ -175,16 +175,16 @@ def registry_status(entities: DataFrame, ledger: DataFrame) -> DataFrame:
     No descriptor: the row is dropped. No lifecycle: ``enabled``. No version: ''.
     """
     state = state_columns(ledger, MODULE_STATE)
-    descriptor = J.parse(F.col("descriptor"))
+    descriptor = F.col("descriptor")
     return (
         entities.select(F.col("id").alias("target"), F.col("type").alias("kind"))
         .join(state.where("descriptor is not null"), "target")
         .select(
             "target",
             "kind",
-            J.str_at(descriptor, "$.name").alias("name"),
-            F.coalesce(J.str_at(descriptor, "$.version"), F.lit("")).alias("version"),
-            F.coalesce(J.str_at(J.parse(F.col("lifecycle")), "$.tag"), F.lit("enabled")).alias(
+            J.str_field(descriptor, "name").alias("name"),
+            F.coalesce(J.str_field(descriptor, "version"), F.lit("")).alias("version"),
+            F.coalesce(J.str_field(F.col("lifecycle"), "tag"), F.lit("enabled")).alias(
                 "lifecycle"
             ),
         )
@@ -194,7 +194,7 @@ def registry_status(entities: DataFrame, ledger: DataFrame) -> DataFrame:
 def operator_intent(entities: DataFrame, ledger: DataFrame) -> DataFrame:
     """enabled or disabled per module; anything else is flagged corrupt."""
     state = state_columns(ledger, {"attr_module_status": "intent"})
-    status = J.str_at(J.parse(F.col("intent")), "$.status")
+    status = J.str_field(F.col("intent"), "status")
     return (
         entities.select(F.col("id").alias("target"))
         .join(state, "target", "left")
@@ -275,13 +275,13 @@ def module_inventory(modules: DataFrame, entities: DataFrame, ledger: DataFrame)
         F.coalesce("kind", "entity_type").alias("kind"),
         F.coalesce(
             F.nullif("version", F.lit("")),
-            J.str_at(J.parse(F.col("descriptor")), "$.version"),
+            J.str_field(F.col("descriptor"), "version"),
             F.lit("-"),
         ).alias("version"),
-        F.coalesce(J.str_at(J.parse(F.col("intent")), "$.status"), F.lit("enabled")).alias(
+        F.coalesce(J.str_field(F.col("intent"), "status"), F.lit("enabled")).alias(
             "intent"
         ),
-        F.coalesce(J.str_at(J.parse(F.col("lifecycle")), "$.tag"), F.lit("never-booted")).alias(
+        F.coalesce(J.str_field(F.col("lifecycle"), "tag"), F.lit("never-booted")).alias(
             "lifecycle"
         ),
         F.coalesce("provisioned", F.lit(False)).alias("provisioned"),

@@ -65,7 +65,7 @@ def identity_totals(spark, sf):
 
 def _module_states(spark, sf):
     state = V.current_state(M.ledger(spark, sf).where("type = '1-URGENT'"))
-    return state.select("target", J.str_at(J.parse(F.col("payload")), "$.tag").alias("lifecycle"))
+    return state.select("target", J.str_field(F.col("payload"), "tag").alias("lifecycle"))
 
 
 @query(

@@ -347,7 +347,7 @@ def _captured(spark, sf):
 def captured_identities(spark, sf):
     rows = _captured(spark, sf)
     named = rows["state_ledger"].select(
-        F.col("target").alias("id"), J.str_at(J.parse(F.col("payload")), "$.name").alias("name")
+        F.col("target").alias("id"), J.str_field(F.col("payload"), "name").alias("name")
     )
     return rows["entity"].join(named, "id").select("name", "type")
 

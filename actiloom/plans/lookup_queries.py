@@ -297,7 +297,7 @@ def queue_view(spark, sf):
 def parameter_values(spark, sf):
     """The parameter rule for every target at once: not positive means the default."""
     current = V.current_state(M.ledger(spark, sf).where("type = '5-LOW'"))
-    value = J.int_at(J.parse(F.col("payload")), "$.value")
+    value = J.int_field(F.col("payload"), "value")
     return current.select("target", F.when(value > 0, value).otherwise(500).alias("value"))
 
 
@@ -324,7 +324,7 @@ def parameter_write(spark, sf):
     after = V.current_state(
         ledger.withColumn("id", F.col("id").cast("string")).unionByName(rows)
     ).where("type = 'attr_stats_window'")
-    return after.select("target", J.int_at(J.parse(F.col("payload")), "$.value").alias("value"))
+    return after.select("target", J.int_field(F.col("payload"), "value").alias("value"))
 
 
 @query(

@@ -15,7 +15,7 @@ c = M.with_ctes
 @query("current_state", c("cur_led", "SELECT target, type, id, name, valid_from FROM cur_led"))
 def current_state(spark, sf):
     state = V.current_state(M.ledger(spark, sf))
-    name = J.str_at(J.parse(F.col("payload")), "$.name")
+    name = J.str_field(F.col("payload"), "name")
     return state.select("target", "type", "id", name.alias("name"), "valid_from")
 
 
@@ -257,7 +257,7 @@ def first_per_group(spark, sf):
 def supersede_state(spark, sf):
     """A new version for every chain with a positive value, read back as current."""
     ledger = M.ledger(spark, sf).withColumn("id", F.lpad(F.col("id").cast("string"), 20, "0"))
-    value = J.int_at(J.parse(F.col("payload")), "$.value")
+    value = J.int_field(F.col("payload"), "value")
     current = V.current_state(ledger)
     requests = current.where(value > 0).select(
         "target", "type", F.to_json(F.struct((value + 100).alias("value"))).alias("payload")

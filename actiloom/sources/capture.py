@@ -240,7 +240,7 @@ def enabled_sources(
     """
     status = lookup.versioned.current_state(ledger.where("type = 'attr_module_status'")).select(
         F.col("target").alias("_target"),
-        J.str_at(J.parse(F.col("payload")), "$.status").alias("_status"),
+        J.str_field(F.col("payload"), "status").alias("_status"),
     )
     named = modules.select(F.col("name").alias("adapter"), F.col("id").alias("_module"))
     return (

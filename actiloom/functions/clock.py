@@ -28,12 +28,6 @@ def iso_weekday(ts: Column) -> Column:
     return F.weekday(ts) + 1
 
 
-def seconds_between(later: Column, earlier: Column) -> Column:
-    """Whole seconds, truncated, for TIMESTAMP and TIMESTAMP_NTZ alike."""
-    micros = F.timestamp_diff("MICROSECOND", earlier, later)
-    return F.expr("bigint(0)") + (micros / 1_000_000).cast("bigint")
-
-
 def minus_seconds(ts: Column, seconds: int) -> Column:
     return ts - F.expr(f"make_dt_interval(0, 0, 0, {int(seconds)})")
 

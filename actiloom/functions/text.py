@@ -164,6 +164,6 @@ def context_band(percent: Column) -> Column:
 
 def context_percent(context: Column, window: Column) -> Column:
     """Share of the context window as a whole number from 0 to 100."""
-    return F.expr("bigint(0)") + F.greatest(
-        F.lit(0), F.least(F.lit(100), (context * 100 / window).cast("bigint"))
-    )
+    percent = (context * 100 / window).cast("bigint")
+    # greatest and least skip nulls, so an unknown size is kept out first.
+    return F.when(percent.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), percent)))

@@ -192,11 +192,13 @@ def check_attributes(rows: DataFrame, column: str = "attributes") -> Split:
     """Attributes must be a JSON object; blank text means no change."""
     text = F.col(column)
     blank = text.isNull() | (F.trim(text) == "")
-    value = J.parse_whole(text)
-    reason = F.when(blank, None).when(value.isNull(), F.lit("not JSON")).when(
-        ~J.is_object(value), F.lit("not an object")
+    verdict = J.let(
+        J.parse_whole(text),
+        lambda value: F.when(value.isNull(), F.lit("not JSON")).when(
+            ~J.is_object(value), F.lit("not an object")
+        ),
     )
-    return _split(rows, reason)
+    return _split(rows, F.when(~blank, verdict))
 
 
 def check_durations(rows: DataFrame, column: str) -> Split:

@@ -290,7 +290,7 @@ def session_counters(spark, sf):
 _VIEW = f"""{_SESSION_STATS}, {_ACTIONS}, view AS (
   SELECT sess.id AS session, agent_name || '/' || CAST(sess.id AS VARCHAR) AS identity, agent_name AS agent, source_key,
     coalesce(messages, 0) + coalesce(actions, 0) AS actions, context_tokens,
-    CAST(greatest(0, least(100, context_tokens * 100 // 5000)) AS BIGINT) AS context_pct, output_tokens, last_active, model
+    CASE WHEN context_tokens IS NOT NULL THEN CAST(greatest(0, least(100, context_tokens * 100 // 5000)) AS BIGINT) END AS context_pct, output_tokens, last_active, model
   FROM sess LEFT JOIN stats ON stats.session = sess.id LEFT JOIN acts ON acts.session = sess.id)"""
 
 

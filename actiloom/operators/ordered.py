@@ -24,7 +24,8 @@ _CHUNK, _STARTS = "_chunk", "_starts"
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: a count of rows, a sum, or the last non-null value."""
+    """One running value: a count of rows, a sum, the last non-null value, or the
+    value of the row before."""
 
     kind: str
     value: Column | None = None
@@ -43,11 +44,18 @@ def last_of(value: Column) -> Running:
     return Running("last", value)
 
 
+def previous_of(value: Column) -> Running:
+    """The value of the row before; ``value`` must not be null."""
+    return Running("previous", value)
+
+
 def _over(spec: Running, window) -> Column:
     if spec.kind == "count":
         return F.row_number().over(window.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
     if spec.kind == "sum":
         return F.sum(spec.value).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    if spec.kind == "previous":
+        return F.lag(spec.value).over(window)
     return F.last(spec.value, ignorenulls=True).over(
         window.rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -180,7 +188,8 @@ def _chunked(
     carried = []
     for name, spec in columns.items():
         part = F.col(f"_t_{name}")
-        value = F.last(part, ignorenulls=True) if spec.kind == "last" else F.sum(part)
+        keeps = spec.kind in ("last", "previous")
+        value = F.last(part, ignorenulls=True) if keeps else F.sum(part)
         carried.append(value.over(earlier).alias(f"_c_{name}"))
     on = [*keys, _CHUNK]
     carry = totals.select(*on, *carried).select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import clock
-from ..session import materialize
+from ..session import Levels, materialize
 from . import graph, versioned
 
 MAX_ROUNDS = 100_000
@@ -190,20 +190,19 @@ def waves(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
             deps.select("task", "dep").distinct().join(known, "task", "left_semi")
         )
     )
-    placed = []
+    placed = Levels()
     for wave in range(1, MAX_ROUNDS):
         ready = state.groupBy("task").agg(F.count("dep").alias("_open")).where("_open = 0")
         ready = materialize(ready.select("task"))
         if ready.isEmpty():
             break
-        placed.append(ready.withColumn("wave", F.lit(wave)))
+        placed.add(ready.withColumn("wave", F.lit(wave)))
         left = state.join(ready, "task", "left_anti")
         done = ready.select(F.col("task").alias("dep"))
         state = materialize(left.join(done, "dep", "left_anti").select("task", "dep"))
     stuck = state.where("dep is null").select("task")
-    if not placed:
-        return known.where("false").withColumn("wave", F.lit(0)), stuck
-    return reduce(DataFrame.unionAll, placed), stuck
+    none = known.where("false").withColumn("wave", F.lit(0))
+    return none if placed.union() is None else placed.union(), stuck
 
 
 def reverse_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -362,20 +361,21 @@ def blocked(deps: DataFrame, failed: DataFrame) -> DataFrame:
     behind another failed one is blocked as well.
     """
     links = materialize(deps.select("task", "dep").distinct())
-    frontier, levels = failed.select("task").distinct(), []
+    frontier, levels = failed.select("task").distinct(), Levels()
     for _ in range(MAX_ROUNDS):
         step = (
             links.join(frontier.select(F.col("task").alias("dep")), "dep", "left_semi")
             .select("task")
             .distinct()
         )
-        if levels:
-            step = step.join(reduce(DataFrame.unionAll, levels), "task", "left_anti")
+        seen = levels.union()
+        if seen is not None:
+            step = step.join(seen, "task", "left_anti")
         frontier = materialize(step)
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-    return reduce(DataFrame.unionAll, levels) if levels else frontier
+        levels.add(frontier)
+    return frontier if levels.union() is None else levels.union()
 
 
 def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import clock
 from ..functions import jsonval as J
 from ..functions import text as X
-from ..operators import ordered
+from ..operators import analytics, ordered
 from ..session import scratch_path
 from ..sources import adapters, capture, documents, logs, shape1, shape2, tail
 from ..sources import lines as L
@@ -435,7 +436,7 @@ def second_pass_identities(spark, sf):
     source = adapters.BlockTranscripts("/p", "agent_b")
     lines = _shape1_lines(spark, sf)
     messages = L.messages(shape1.route(lines))
-    wanted = capture.candidates(lines, messages, source)
+    wanted = capture.candidates(capture.file_summary(lines), messages, source)
     known = M.table(spark, sf, "conversations").where("conv_id >= 50").select("conv_id").distinct().select(
         F.expr("concat('l', conv_id)").alias("id"),
         F.expr("concat('e', conv_id)").alias("target"),
@@ -528,6 +529,41 @@ def json_roots(spark, sf):
     )
 
 
+@query(
+    "timestamps_parsed",
+    """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOUR END AS parsed FROM
+      (SELECT event_id, date_trunc('second', ts) AS ts FROM events)""",
+)
+def timestamps_parsed(spark, sf):
+    """RFC 3339 in UTC, with an offset, without a zone, and not a time at all."""
+    text = F.expr(
+        "CASE event_id % 4 WHEN 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+        " WHEN 1 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'+02:00'\")"
+        " WHEN 2 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") ELSE event_type END"
+    )
+    return M.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"),
+        clock.parse_rfc3339(text).cast("timestamp_ntz").alias("parsed"),
+    )
+
+
+@query(
+    "payload_session_keys",
+    """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) END AS key,
+      left(CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) END, 8) AS short FROM events""",
+)
+def payload_session_keys(spark, sf):
+    """A session key counts only when it is a string."""
+    payload = F.expr(
+        "CASE event_id % 3 WHEN 0 THEN to_json(named_struct('session', string(user_id)))"
+        " WHEN 1 THEN to_json(named_struct('session', user_id)) ELSE concat('\"', user_id, '\"') END"
+    )
+    key = analytics.session_key(payload)
+    return M.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), key.alias("key"), X.short_id(key).alias("short")
+    )
+
+
 @query(
     "tail_source",
     f"""WITH {_DOC_LINES} SELECT line, count(*) AS n FROM doc_lines GROUP BY 1""",

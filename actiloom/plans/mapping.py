@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonval as J
+from ..operators import ordered
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -338,14 +339,17 @@ def tree_states(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_deps(spark: SparkSession, sf: str) -> DataFrame:
     """Every order depends on the same customer's previous order."""
-    orders = table(spark, sf, "orders")
-    from pyspark.sql import Window
-
-    before = F.lag("o_orderkey").over(
-        Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus"
+    )
+    chained = ordered.with_running(
+        orders,
+        ["o_custkey"],
+        ["o_orderdate", "o_orderkey"],
+        {"dep": ordered.previous_of(F.col("o_orderkey"))},
     )
-    return orders.select(
-        F.col("o_custkey").alias("firing"), F.col("o_orderkey").alias("task"), before.alias("dep"), "o_orderstatus"
+    return chained.select(
+        F.col("o_custkey").alias("firing"), F.col("o_orderkey").alias("task"), "dep", "o_orderstatus"
     )
 
 

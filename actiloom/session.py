@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,32 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Levels:
+    """The results of a loop's rounds, kept few however long the loop runs.
+
+    Sixteen results of one tier are written together as one of the next, so a
+    loop of n rounds holds about 16 log n frames and writes each row log n
+    times; a plan never carries one branch per round.
+    """
+
+    WIDTH = 16
+
+    def __init__(self) -> None:
+        self.tiers: list[list[DataFrame]] = [[]]
+
+    def add(self, df: DataFrame) -> None:
+        tier = 0
+        self.tiers[0].append(df)
+        while len(self.tiers[tier]) == self.WIDTH:
+            merged = materialize(reduce(DataFrame.unionAll, self.tiers[tier]))
+            self.tiers[tier] = []
+            tier += 1
+            if tier == len(self.tiers):
+                self.tiers.append([])
+            self.tiers[tier].append(merged)
+
+    def union(self) -> DataFrame | None:
+        frames = [df for tier in self.tiers for df in tier]
+        return reduce(DataFrame.unionAll, frames) if frames else None

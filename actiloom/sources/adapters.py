@@ -123,11 +123,9 @@ def discover(spark: SparkSession, adapter: Adapter) -> DataFrame:
     )
 
 
-def announcements(lines: DataFrame) -> DataFrame:
+def announcements(files: DataFrame) -> DataFrame:
     """One event per file whose older part was skipped at first contact."""
-    skipped = lines.where("skipped is not null").groupBy("file").agg(
-        F.max("skipped").alias("skipped"), F.min("offset").alias("offset")
-    )
+    skipped = files.where("skipped is not null")
     body = L.payload(file=F.col("file"), skipped_bytes=F.col("skipped"))
     return skipped.select(
         "file",

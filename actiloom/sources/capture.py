@@ -53,11 +53,20 @@ def current_names(ledger: DataFrame) -> DataFrame:
     )
 
 
-def candidates(lines: DataFrame, messages: DataFrame, adapter: Adapter) -> DataFrame:
+def file_summary(lines: DataFrame) -> DataFrame:
+    """One row per file of a batch: where its reading ends and what a cap skipped."""
+    return lines.groupBy("file").agg(
+        F.max("next").alias("next"),
+        F.max("skipped").alias("skipped"),
+        F.min("offset").alias("offset"),
+    )
+
+
+def candidates(files: DataFrame, messages: DataFrame, adapter: Adapter) -> DataFrame:
     """Agent, sources and sessions a batch names: (kind, name, details as JSON)."""
     file = F.col("file")
     scoped = lambda key: F.concat(F.lit(f"{adapter.agent}/"), key)
-    sources = lines.groupBy(adapter.source_name(file).alias("key")).agg(
+    sources = files.groupBy(adapter.source_name(file).alias("key")).agg(
         F.min(adapter.locator(file)).alias("locator")
     )
     sessions = messages.groupBy(F.col("session_key").alias("key")).agg(
@@ -190,17 +199,16 @@ def event_rows(
 
 
 def cursor_rows(
-    lines: DataFrame, events: DataFrame, resolved: DataFrame, adapter: Adapter, batch: str, now: Column
+    files: DataFrame, events: DataFrame, resolved: DataFrame, adapter: Adapter, batch: str, now: Column
 ) -> DataFrame:
     """One cursor row per file that moved: its new offset and the events it gave."""
-    moved = lines.groupBy("file").agg(F.max("next").alias("_next"))
     counts = events.groupBy("file").agg(F.count(F.lit(1)).alias("_events"))
     sources = resolved.where("kind = 'source'").select(
         F.col("name").alias("_name"), F.col("id").alias("subject")
     )
     name = F.concat(F.lit(f"{adapter.agent}/"), adapter.source_name(F.col("file")))
     return (
-        moved.join(counts, "file", "left")
+        files.join(counts, "file", "left")
         .withColumn("_name", name)
         .join(sources, "_name", "left")
         .select(
@@ -208,7 +216,7 @@ def cursor_rows(
             "subject",
             F.lit(adapter.name).alias("cursor_type"),
             F.coalesce("_events", F.lit(0)).cast("string").alias("last_processed"),
-            F.create_map("file", "_next").alias("metadata"),
+            F.create_map("file", "next").alias("metadata"),
             now.alias("valid_from"),
         )
     )
@@ -264,20 +272,22 @@ def capture(
     """All rows one batch of lines adds, by table.
 
     ``hold`` may cache frames that several tables are made from, so a stream
-    parses every line once.
+    parses every line once. The lines themselves are never cached: they are
+    read for their files' summary and for what they become.
     """
     mine = lines.where(adapter.accepts(F.col("file")))
+    files = hold(file_summary(mine))
     routed = hold(adapter.route(mine, headers, seen, hold))
     messages = L.messages(routed)
-    events = L.events(routed).unionByName(announcements(mine))
-    resolved = hold(resolve(candidates(mine, messages, adapter), ledger))
+    events = L.events(routed).unionByName(announcements(files))
+    resolved = hold(resolve(candidates(files, messages, adapter), ledger))
     entities, states, discovered = discovery_rows(resolved, now)
     out = {
         "message": message_rows(messages, resolved, adapter, now),
         "telemetry_stream": event_rows(events, resolved, adapter, now).unionByName(discovered),
         "entity": entities,
         "state_ledger": states,
-        "cursor": cursor_rows(mine, events, resolved, adapter, batch, now),
+        "cursor": cursor_rows(files, events, resolved, adapter, batch, now),
     }
     if "is_header" in routed.columns:
         out["chat_header"] = shape2.headers_of(routed).withColumn("valid_from", now)

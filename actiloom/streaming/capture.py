@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import versioned
-from ..sources import capture, lines, shape2, tail
+from ..sources import capture, shape2, tail
 from ..sources.adapters import Adapter
 from ..sources.store import Store
 
@@ -34,8 +34,7 @@ def write_batch(batch: DataFrame, number: int, adapter: Adapter, store: Store) -
         return held[-1]
 
     try:
-        found = hold(batch)
-        if found.isEmpty():
+        if batch.isEmpty():
             return
         ledger = store.read("state_ledger", without_batch=name)
         headers = seen = None
@@ -45,21 +44,19 @@ def write_batch(batch: DataFrame, number: int, adapter: Adapter, store: Store) -
             )
         if adapter.grow_only:
             seen = store.read("chat_seen", without_batch=name)
-        added = capture.capture(found, adapter, ledger, now, str(number), headers, seen, hold)
+        added = capture.capture(batch, adapter, ledger, now, str(number), headers, seen, hold)
         for table, rows in added.items():
             store.append(table, rows, name)
         if adapter.grow_only:
-            store.append("chat_seen", _records_seen(found, now), name)
+            store.append("chat_seen", _records_seen(batch, now), name)
     finally:
         for df in held:
             df.unpersist()
 
 
-def _records_seen(held: DataFrame, now) -> DataFrame:
-    records = lines.parsed(held).select(
-        "file",
-        shape2.record_id(F.col("json")).alias("record_id"),
-        F.char_length("text").cast("bigint").alias("chars"),
+def _records_seen(lines: DataFrame, now) -> DataFrame:
+    records = shape2.read_records(lines).select(
+        "file", "record_id", F.char_length("text").cast("bigint").alias("chars")
     )
     return records.where("record_id is not null").groupBy("file", "record_id").agg(
         F.max("chars").alias("chars")

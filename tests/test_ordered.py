@@ -21,10 +21,10 @@ def chains(seed=3):
 def expected(rows):
     out, state = {}, {}
     for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
-        n, total, last = state.get(k, (0, None, None))
+        n, total, last, before = state.get(k, (0, None, None, None))
         total = total if v is None else (total or 0) + v
-        state[k] = (n + 1, total, last if v is None else v)
-        out[i] = state[k]
+        out[i] = (n + 1, total, last if v is None else v, before)
+        state[k] = (*out[i][:3], i)
     return out
 
 
@@ -33,6 +33,7 @@ def columns():
         "n": ordered.count_rows(),
         "total": ordered.sum_of(F.col("v")),
         "last": ordered.last_of(F.col("v")),
+        "before": ordered.previous_of(F.col("i")),
     }
 
 
@@ -42,7 +43,7 @@ def test_hot_chains(spark, limit, parts):
     rows = chains()
     df = spark.createDataFrame(rows, "k string, t int, i int, v int").repartition(parts)
     found = ordered.with_running(df, ["k"], ["t", "i"], columns(), rows_per_chunk=limit)
-    assert {r.i: (r.n, r.total, r["last"]) for r in found.collect()} == expected(rows)
+    assert {r.i: (r.n, r.total, r["last"], r.before) for r in found.collect()} == expected(rows)
 
 
 @pytest.mark.parametrize("width", [1, 4, 100])
@@ -52,7 +53,7 @@ def test_buckets(spark, width):
     found = ordered.with_running_in_buckets(
         df, ["k"], ["t", "i"], F.expr(f"t div {width}"), columns()
     )
-    assert {r.i: (r.n, r.total, r["last"]) for r in found.collect()} == expected(rows)
+    assert {r.i: (r.n, r.total, r["last"], r.before) for r in found.collect()} == expected(rows)
 
 
 def test_no_chunk_is_larger_than_asked(spark):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DURATION = "^([0-9]+)([smhd])$"
 
@@ -12,6 +13,15 @@ def instant(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def mark(df: DataFrame, value, column: str = "valid_from") -> Column:
+    """A moment as a literal of the column's own type, so comparisons reach the scan."""
+    if isinstance(value, Column):
+        return value
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 def parse_rfc3339(text: Column) -> Column:
     """RFC 3339 text to TIMESTAMP; text without a zone or malformed is null."""
     zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions import clock
 from ..functions import jsonval as J
 from ..functions import text as X
 from . import analytics, lookup
@@ -77,10 +78,14 @@ def rendered(rows: DataFrame) -> DataFrame:
 
 
 def _sides(
-    messages: DataFrame, events: DataFrame, before, q: str | None
+    messages: DataFrame, events: DataFrame, before, q: str | None, limit: int
 ) -> tuple[DataFrame, DataFrame]:
-    m = lookup.search_messages(lookup.before_mark(messages, before), q)
-    e = lookup.search_events(lookup.before_mark(events, before), q)
+    m, e = lookup.before_mark(messages, before), lookup.before_mark(events, before)
+    if lookup.keyword(q) is None:
+        n = lookup.page_limit(limit)
+        m, e = lookup.cut_to_newest(m, n), lookup.cut_to_newest(e, n)
+    else:
+        m, e = lookup.search_messages(m, q), lookup.search_events(e, q)
     return message_rows(m), event_rows(e)
 
 
@@ -92,7 +97,7 @@ def global_feed(
     q: str | None = None,
 ) -> DataFrame:
     """Everything, newest kept: optional time mark and keyword reach the scans."""
-    return merge_newest(*_sides(messages, events, before, q), limit)
+    return merge_newest(*_sides(messages, events, before, q, limit), limit)
 
 
 def session_scope(events: DataFrame, sessions: DataFrame, session) -> DataFrame:
@@ -126,7 +131,7 @@ def session_feed(
 ) -> DataFrame:
     """One session's messages and events; global events never appear."""
     m = messages.where(F.col("session") == F.lit(session))
-    return merge_newest(*_sides(m, session_scope(events, sessions, session), before, q), limit)
+    return merge_newest(*_sides(m, session_scope(events, sessions, session), before, q, limit), limit)
 
 
 def next_page(
@@ -140,14 +145,20 @@ def next_page(
     def older(rows: DataFrame) -> DataFrame:
         if mark is None:
             return rows
-        ts, kind, key = F.lit(mark[0]), F.lit(mark[1]), F.lit(mark[2])
+        ts = clock.mark(rows, mark[0])
+        kind, key = F.lit(mark[1]), F.lit(mark[2])
         # The plain comparison on the time alone is what the scan can skip by.
         return rows.where(
             (F.col("valid_from") <= ts)
             & (F.struct(*NEWEST) < F.struct(ts.alias("valid_from"), kind.alias("kind"), key.alias("id")))
         )
 
-    return merge_newest(older(message_rows(messages)), older(event_rows(events)), limit)
+    n = lookup.page_limit(limit)
+    return merge_newest(
+        lookup.cut_to_newest(older(message_rows(messages)), n),
+        lookup.cut_to_newest(older(event_rows(events)), n),
+        n,
+    )
 
 
 def merge_live(backlog: DataFrame, live: DataFrame, cap: int = model.LIVE_CAP) -> DataFrame:

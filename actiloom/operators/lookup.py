@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions import clock
 from ..functions import jsonval as J
 from ..functions import text as X
 from . import ordered, versioned
@@ -154,7 +155,7 @@ def before_mark(df: DataFrame, before=None, before_id=None) -> DataFrame:
     """Rows older than a mark. With an id, rows sharing the mark's instant are not skipped."""
     if before is None:
         return df
-    ts, mark = F.col("valid_from"), F.lit(before)
+    ts, mark = F.col("valid_from"), clock.mark(df, before)
     if before_id is None:
         return df.where(ts < mark)
     return df.where((ts <= mark) & ((ts < mark) | (F.col("id") < F.lit(before_id))))
@@ -164,6 +165,20 @@ def newest(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("valid_from"), F.desc("id")).limit(limit)
 
 
+def cut_to_newest(df: DataFrame, limit: int) -> DataFrame:
+    """Only rows that can be among the newest ``limit``, ties included.
+
+    A first pass over the time column alone finds the oldest time of the
+    newest rows; with it as a filter, the wide columns are read from the few
+    files and row groups that reach it instead of from the whole table.
+    """
+    times = df.select("valid_from").orderBy(F.desc("valid_from")).limit(limit)
+    oldest = times.agg(F.min("valid_from")).first()[0]
+    if oldest is None:
+        return df
+    return df.where(F.col("valid_from") >= clock.mark(df, oldest))
+
+
 def page(
     df: DataFrame,
     scope: Column | None = None,
@@ -183,7 +198,7 @@ def page(
 
 def since(df: DataFrame, after, limit: int, scope: Column | None = None) -> DataFrame:
     """Rows strictly newer than a mark, oldest first."""
-    rows = df.where(F.col("valid_from") > F.lit(after))
+    rows = df.where(F.col("valid_from") > clock.mark(df, after))
     if scope is not None:
         rows = rows.where(scope)
     return rows.orderBy("valid_from", "id").limit(limit)

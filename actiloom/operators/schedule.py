@@ -91,7 +91,7 @@ def run_rows(transitions: DataFrame, now: Column) -> DataFrame:
 def due(schedules: DataFrame, now) -> DataFrame:
     """Current schedules still waiting whose time has come."""
     current = versioned.current_schedules(schedules)
-    return current.where((F.col("status") == "scheduled") & (F.col("run_at") <= F.lit(now)))
+    return current.where((F.col("status") == "scheduled") & (F.col("run_at") <= clock.mark(schedules, now, "run_at")))
 
 
 def queue_view(schedules: DataFrame, names: DataFrame) -> DataFrame:

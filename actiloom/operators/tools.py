@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import jsonval as J
 from ..functions import text as X
+from ..session import materialize
 from . import lookup
 
 
 def recent_window(messages: DataFrame, window: int = model.STATS_WINDOW) -> DataFrame:
-    return lookup.newest(messages, window)
+    """The newest messages, fixed: what follows reads them more than once."""
+    return materialize(lookup.newest(lookup.cut_to_newest(messages, window), window))
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
@@ -107,19 +109,31 @@ def verdicts(window: DataFrame) -> DataFrame:
     first, blocks in order): a row pairs with the row before it when that one
     is of the other kind and still free; of two equal rows in a row the later
     replaces the earlier. An id that occurs once on each side simply joins.
+    The window bounds the rows, so it also bounds what one id can hold.
     """
-    calls = tool_uses(window).select(
-        "id", "session", "valid_from", "pos", "name", "call_id", "lines",
-        F.lit(True).alias("is_call"), F.lit(None).cast("boolean").alias("failed"),
-    )
-    results = tool_results(window).select(
-        "id", "session", "valid_from", "pos", F.lit(None).cast("string").alias("name"), "call_id",
-        F.lit(0).cast("bigint").alias("lines"), F.lit(False).alias("is_call"), "failed",
+    block = F.col("block")
+    kind = J.str_at(block, "$.type")
+    is_call = kind == "tool_use"
+    call_id = F.when(is_call, J.str_at(block, "$.id")).otherwise(J.str_at(block, "$.tool_use_id"))
+    rows = (
+        blocks(window)
+        .where(kind.isin("tool_use", "tool_result"))
+        .select(
+            "id",
+            "session",
+            "valid_from",
+            "pos",
+            is_call.alias("is_call"),
+            call_id.alias("call_id"),
+            F.when(is_call, F.coalesce(J.str_at(block, "$.name"), F.lit("tool"))).alias("name"),
+            F.when(~is_call, F.coalesce(J.bool_at(block, "$.is_error"), F.lit(False))).alias("failed"),
+        )
+        # Calls without an id stay among themselves and never pair.
+        .where("is_call or call_id is not null")
     )
     walk = Window.partitionBy("call_id").orderBy(
         F.desc("valid_from"), F.desc("id"), F.asc("pos")
     )
-    rows = calls.where("call_id is not null").unionByName(results)
     # A run is a stretch in which calls and results alternate.
     breaks = rows.withColumn(
         "_new",
@@ -138,8 +152,7 @@ def verdicts(window: DataFrame) -> DataFrame:
     scored = paired.withColumn(
         "failed", F.when(F.col("_nth") % 2 == 0, F.col("_before")).otherwise(F.col("_after"))
     )
-    kept = ["id", "session", "valid_from", "pos", "name", "call_id", "lines", "failed"]
-    return scored.select(*kept).unionByName(calls.where("call_id is null").select(*kept))
+    return scored.select("id", "session", "valid_from", "pos", "name", "call_id", "failed")
 
 
 def tool_usage(messages: DataFrame, window: int = model.STATS_WINDOW) -> DataFrame:

@@ -9,6 +9,7 @@ from .. import model
 from ..functions import clock
 from ..functions import jsonval as J
 from ..functions import text as X
+from ..session import materialize
 from . import lookup, versioned
 
 _STAMP = ("valid_from", "id")
@@ -307,6 +308,8 @@ def session_action_counts(events: DataFrame, sessions: DataFrame) -> DataFrame:
         .groupBy("subject", "e_agent", "key")
         .agg(_count("n"))
     )
+    # Both arms read the counts; the events are scanned and parsed once.
+    grouped = materialize(grouped)
     s = sessions.select(
         F.col("id").alias("session"), F.col("agent").alias("s_agent"), "source_key"
     )
@@ -447,7 +450,7 @@ def health_ratios(tokens: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def firing_summary(runs: DataFrame, order=versioned.ORDER) -> DataFrame:
     """done, failed, tasks seen and a cancelled flag per firing, from current runs."""
-    current = versioned.latest_by(runs, ["uid"], order)
+    current = versioned.latest_by(runs, ["uid"], order, ("firing", "task", "status"))
     status = F.col("status")
     return current.groupBy("firing").agg(
         F.count_if(status == "done").alias("done"),

@@ -9,6 +9,7 @@ from .. import model
 from ..functions import clock
 from ..functions import jsonval as J
 from ..functions import text as X
+from ..session import broadcast_if_small
 from . import analytics, lookup
 
 # Feed order. Times can tie across and inside the two tables.
@@ -218,7 +219,7 @@ def attribute(feed: DataFrame, sessions_view: DataFrame, agents: DataFrame) -> D
     )
     e = (
         feed.where("kind <> 'message'")
-        .join(names, F.col("agent_id") == F.col("a_id"), "left")
+        .join(broadcast_if_small(names), F.col("agent_id") == F.col("a_id"), "left")
         .join(first, F.col("session_src") == F.col("d_key"), "left")
         .join(
             named,

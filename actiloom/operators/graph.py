@@ -25,7 +25,8 @@ EDGE_COLUMNS = ("edge_uid", "in", "out", "rel_type")
 
 def active_edges(edges: DataFrame, order: Sequence[str] = versioned.ORDER) -> DataFrame:
     """Edges whose newest version is active."""
-    return versioned.current_edges(edges, order).where("active")
+    columns = ("in", "out", "rel_type", "active")
+    return versioned.latest_by(edges, ["edge_uid"], order, columns).where("active")
 
 
 def expand(edges: DataFrame, frontier: DataFrame, reverse: bool = False) -> DataFrame:
@@ -478,7 +479,8 @@ def entity_edges(edges: DataFrame, anchors: DataFrame, states: DataFrame) -> Dat
 def annotations(edges: DataFrame, states: DataFrame) -> DataFrame:
     """Texts hung on entities: current content, else name, else ''."""
     roles = edges.where(F.col("rel_type").isin(model.TEXT_ROLES))
-    now = versioned.latest_by(states, ["entity"]).select(
+    columns = ("name", "content", "valid_from")
+    now = versioned.latest_by(states, ["entity"], columns=columns).select(
         F.col("entity").alias("out"), "name", "content", F.col("valid_from").alias("version")
     )
     return roles.join(now, "out", "left").select(
@@ -497,7 +499,7 @@ def threads(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
 
 def attachments(edges: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents attached to entities, and those whose attributes name no file."""
-    now = versioned.latest_by(states, ["entity"]).select(
+    now = versioned.latest_by(states, ["entity"], columns=("name", "attributes")).select(
         F.col("entity").alias("out"), "name", "attributes"
     )
     rows = edges.where("rel_type = 'attached'").join(now, "out", "left")

@@ -239,7 +239,7 @@ def entity_list(
         rows = rows.where(F.col("entity_type") == entity_type)
     elif hide_text:
         rows = rows.where(F.col("entity_type") != "text")
-    now = versioned.latest_by(states, ["entity"]).select(
+    now = versioned.latest_by(states, ["entity"], columns=("name", "valid_from")).select(
         F.col("entity").alias("id"), "name", F.col("valid_from").alias("version")
     )
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import clock
 from ..functions import jsonval as J
+from ..session import broadcast_if_small
 from . import versioned
 
 Split = tuple[DataFrame, DataFrame]
@@ -56,7 +57,7 @@ def check_category(rows: DataFrame, types: DataFrame, expected: str, column: str
     lookup = types.select(
         F.col("uid").alias("_uid"), F.col("category").alias("_category")
     ).dropDuplicates(["_uid"])
-    joined = rows.join(lookup, F.col(column) == F.col("_uid"), "left")
+    joined = rows.join(broadcast_if_small(lookup), F.col(column) == F.col("_uid"), "left")
     reason = F.when(F.col("_uid").isNull(), F.lit("unknown type")).when(
         F.col("_category") != expected,
         F.concat(F.lit("is of category "), F.col("_category"), F.lit(f", not {expected}")),
@@ -75,10 +76,13 @@ def check_endpoint_roles(
     joined = rows
     reasons = []
     for column, (kind, optional) in roles.items():
-        side = entities.select(
+        # Only entities the column points at; a column with few values (agent)
+        # then has a small side, and the rows are not shuffled by it.
+        used = rows.select(F.col(column).alias("id")).where("id is not null").distinct()
+        side = entities.join(used, "id", "left_semi").select(
             F.col("id").alias(f"_{column}_id"), F.col("type").alias(f"_{column}_type")
         )
-        joined = joined.join(side, F.col(column) == F.col(f"_{column}_id"), "left")
+        joined = joined.join(broadcast_if_small(side), F.col(column) == F.col(f"_{column}_id"), "left")
         wrong = ~F.col(f"_{column}_type").eqNullSafe(F.lit(kind))
         if optional:
             wrong = wrong & F.col(column).isNotNull()
@@ -122,7 +126,8 @@ def _ends() -> list[Column]:
 
 def active_links(edges: DataFrame, order: Sequence[str] = versioned.ORDER) -> DataFrame:
     """(in, out, rel_type) of links that are active now, one row each."""
-    now = versioned.current_edges(edges, order).where("active")
+    columns = ("in", "out", "rel_type", "active")
+    now = versioned.latest_by(edges, ["edge_uid"], order, columns).where("active")
     return now.groupBy(*_ends()).agg(F.min("edge_uid").alias("edge_uid"))
 
 
@@ -151,7 +156,7 @@ def check_links(
     )
     joined = (
         requests.join(firsts, ["in", "out", "rel_type"], "left")
-        .join(relations, F.col("rel_type") == F.col("_rel"), "left")
+        .join(broadcast_if_small(relations), F.col("rel_type") == F.col("_rel"), "left")
         .join(taken, same, "left")
     )
     reason = (

@@ -15,16 +15,22 @@ ORDER = ("valid_from", "id")
 
 
 def latest_by(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str] = ORDER,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """The newest row per chain, ties broken by the last order column.
 
     ``max_by`` combines inside the map tasks: one row per chain and task is
     shuffled, so a chain with very many versions costs no more than others.
+    ``columns`` names what is needed besides the keys; Spark cannot prune
+    inside the aggregate, so naming them keeps the others out of the scan.
     """
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in (columns or df.columns) if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_newest")
-    return df.groupBy(*keys).agg(newest).select(*keys, "_newest.*").select(*df.columns)
+    latest = df.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+    return latest if columns is not None else latest.select(*df.columns)
 
 
 def current_state(ledger: DataFrame) -> DataFrame:
@@ -90,7 +96,8 @@ def current_meta(ids: DataFrame, anchors: DataFrame, states: DataFrame) -> DataF
 
     An anchor without states has empty fields; an unknown id is dropped.
     """
-    now = latest_by(states, ["entity"]).select(
+    wanted_columns = ("name", "content", "attributes", "valid_from")
+    now = latest_by(states, ["entity"], columns=wanted_columns).select(
         F.col("entity").alias("id"),
         "name",
         "content",

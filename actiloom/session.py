@@ -7,6 +7,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job of this package is written for. Sizes are left to AQE:
 # it coalesces small shuffle partitions and splits skewed ones at run time.
@@ -56,6 +57,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``rows`` rows, else as it is.
+
+    For dimensions that are joined on a key with few values (types, agents):
+    shuffling the large side by such a key would pile it up. Counting stops at
+    the limit. A larger side joins by sort-merge, where AQE splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Levels:
     """The results of a loop's rounds, kept few however long the loop runs.
 

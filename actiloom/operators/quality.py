@@ -14,13 +14,24 @@ from ..functions import jsonval as J
 from ..session import broadcast_if_small
 from . import versioned
 
-Split = tuple[DataFrame, DataFrame]
+class Split(tuple):
+    """(accepted, refused), and ``judged``: all rows with their ``reason`` or null.
 
+    A caller that keeps both sides works from ``judged``, so the checks run once.
+    """
+
+    judged: DataFrame
+
+    def __new__(cls, judged: DataFrame) -> Split:
+        accepted = judged.where("reason is null").drop("reason")
+        split = super().__new__(cls, (accepted, judged.where("reason is not null")))
+        split.judged = judged
+        return split
 
-def _split(df: DataFrame, reason: Column) -> Split:
-    """Rows without a reason are accepted."""
-    checked = df.withColumn("reason", reason)
-    return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
+
+def _split(df: DataFrame, reason: Column, keep: Sequence[str] | None = None) -> Split:
+    """Rows without a reason are accepted; ``keep`` names the columns to return."""
+    return Split(df.select(*(keep or df.columns), reason.alias("reason")))
 
 
 def ensure_types(existing: DataFrame, wanted: DataFrame, key: str = "uid") -> DataFrame:
@@ -45,8 +56,7 @@ def register_types(existing: DataFrame, requests: DataFrame) -> Split:
         .when(F.col("_known"), "already registered")
         .when(F.col("id") != F.col("_first"), "asked for twice")
     )
-    accepted, refused = _split(joined, reason)
-    return accepted.select(*requests.columns), refused.select(*requests.columns, "reason")
+    return _split(joined, reason, requests.columns)
 
 
 def check_category(rows: DataFrame, types: DataFrame, expected: str, column: str = "type") -> Split:
@@ -62,8 +72,7 @@ def check_category(rows: DataFrame, types: DataFrame, expected: str, column: str
         F.col("_category") != expected,
         F.concat(F.lit("is of category "), F.col("_category"), F.lit(f", not {expected}")),
     )
-    accepted, refused = _split(joined, reason)
-    return accepted.drop("_uid", "_category"), refused.drop("_uid", "_category")
+    return _split(joined, reason, rows.columns)
 
 
 def check_endpoint_roles(
@@ -87,8 +96,7 @@ def check_endpoint_roles(
         if optional:
             wrong = wrong & F.col(column).isNotNull()
         reasons.append(F.when(wrong, F.lit(f"{column} is not a {kind}")))
-    accepted, refused = _split(joined, F.coalesce(*reasons))
-    return accepted.select(*rows.columns), refused.select(*rows.columns, "reason")
+    return _split(joined, F.coalesce(*reasons), rows.columns)
 
 
 def check_enums(rows: DataFrame, allowed: Mapping[str, Sequence[str]]) -> Split:
@@ -116,8 +124,7 @@ def check_endpoints(edges: DataFrame, anchors: DataFrame) -> Split:
     reason = F.when(F.col("_in").isNull(), F.lit("unknown source")).when(
         F.col("_out").isNull(), F.lit("unknown target")
     )
-    accepted, refused = _split(joined, reason)
-    return accepted.drop("_in", "_out"), refused.drop("_in", "_out")
+    return _split(joined, reason, edges.columns)
 
 
 def _ends() -> list[Column]:
@@ -165,13 +172,12 @@ def check_links(
         .when(F.col("_in").isNotNull(), "already linked")
         .when(F.col("id") != F.col("_first"), "asked for twice")
     )
-    accepted, refused = _split(joined, reason)
-    return accepted.select(*requests.columns), refused.select(*requests.columns, "reason")
+    return _split(joined, reason, requests.columns)
 
 
 def unlink(
     requests: DataFrame, edges: DataFrame, now: Column, order: Sequence[str] = versioned.ORDER
-) -> Split:
+) -> tuple[DataFrame, DataFrame]:
     """Edge rows that end active links, and requests without an active link."""
     live = active_links(edges, order)
     ends = ["in", "out", "rel_type"]

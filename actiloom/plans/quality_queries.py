@@ -14,16 +14,7 @@ c = M.with_ctes
 
 def _both(split, *columns):
     """Accepted and refused rows in one frame; accepted have no reason."""
-    accepted, refused = split
-    return accepted.select(*columns, F.lit(None).cast("string").alias("reason")).unionAll(
-        refused.select(*columns, "reason")
-    )
-
-
-def _type_rows(spark, sf):
-    return M.types(spark, sf).groupBy(F.col("name").alias("uid")).agg(
-        F.min("category").alias("category")
-    )
+    return split.judged.select(*columns, "reason")
 
 
 @query(

@@ -13,7 +13,7 @@ from ..functions import jsonval as J
 from ..operators import ordered
 from . import lines as L
 
-# Record types of this format.
+# The record types of this format.
 USER, ASSISTANT = "user", "gemini"
 NOTICES = ["info", "error", "warning"]
 

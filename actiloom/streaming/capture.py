@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import versioned
+from ..functions import jsonval as J
+from ..operators import lookup, versioned
 from ..sources import capture, shape2, tail
 from ..sources.adapters import Adapter
 from ..sources.store import Store
@@ -82,34 +83,55 @@ def start(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def enabled(adapters: list[Adapter], store: Store) -> list[Adapter]:
+    """Adapters the operator has not disabled; a status never written means enabled.
+
+    Only the adapters' own names are asked for, so the answer is as short as the list.
+    """
+    ledger = store.read("state_ledger")
+    named = lookup.named_state(ledger, "attr_module_descriptor").select("target", "name")
+    status = versioned.current_state(ledger.where("type = 'attr_module_status'")).select(
+        "target", J.str_field(F.col("payload"), "status").alias("status")
+    )
+    asked = named.where(F.col("name").isin([a.name for a in adapters]))
+    off = asked.join(status, "target").where("status = 'disabled'").select("name").distinct()
+    disabled = {row["name"] for row in off.collect()}
+    return [a for a in adapters if a.name not in disabled]
+
+
 def run_once(adapters: list[Adapter], store: Store, checkpoint: str, **options) -> dict[str, str]:
-    """One capture pass over all adapters; returns the error of each that failed.
+    """One capture pass over all enabled adapters; returns the error of each that failed.
 
-    A failure becomes a ``capture_error`` event and does not stop the others.
+    A failure becomes a ``discovery_error`` (the files could not be looked for)
+    or ``capture_error`` event and does not stop the others. The failed adapter's
+    read position stays, so the next pass tries the same lines again.
     """
-    errors: dict[str, str] = {}
+    lost: dict[str, str] = {}
+    failed: dict[str, str] = {}
     running: dict[str, StreamingQuery] = {}
-    for adapter in adapters:
+    for adapter in enabled(adapters, store):
         try:
             running[adapter.name] = start(adapter, store, checkpoint, None, **options)
         except Exception as error:  # noqa: BLE001
-            errors[adapter.name] = str(error)
+            lost[adapter.name] = str(error)
     for name, query in running.items():
         try:
             query.awaitTermination()
         except Exception as error:  # noqa: BLE001
-            errors[name] = str(error)
-    if errors:
-        _log_errors(store, errors)
-    return errors
+            failed[name] = str(error)
+    _log_errors(store, lost, "discovery_error", "adapter")
+    _log_errors(store, failed, "capture_error", "source")
+    return lost | failed
 
 
-def _log_errors(store: Store, errors: dict[str, str], event: str = "capture_error") -> None:
+def _log_errors(store: Store, errors: dict[str, str], event: str, field: str) -> None:
+    if not errors:
+        return
     now = dt.datetime.now(dt.timezone.utc)
     stamp = now.strftime("%Y%m%d%H%M%S%f")
     rows = store.spark.createDataFrame(
         [(f"x-{stamp}-{name}", name, error[:2000], now) for name, error in errors.items()],
-        "id string, source string, error string, valid_from timestamp",
+        f"id string, {field} string, error string, valid_from timestamp",
     )
     none = F.lit(None).cast("string")
     store.append(
@@ -117,10 +139,10 @@ def _log_errors(store: Store, errors: dict[str, str], event: str = "capture_erro
         rows.select(
             "id",
             F.lit(event).alias("lifecycle_event"),
-            F.to_json(F.struct("source", "error")).alias("payload"),
+            F.to_json(F.struct(field, "error")).alias("payload"),
             none.alias("subject"),
             none.alias("agent"),
             "valid_from",
         ),
-        f"errors-{stamp}",
+        f"{event}-{stamp}",
     )

@@ -247,3 +247,38 @@ def test_disabled_adapters_are_left_out(spark):
       t(id, target, type, payload, valid_from)""")
     kept = capture.enabled_sources(sources, modules, ledger)
     assert sorted(r.name for r in kept.collect()) == ["p1", "p3"]
+
+
+class Broken(adapters.BlockTranscripts):
+    def route(self, lines, headers=None, seen=None, hold=None):
+        raise ValueError("cannot route")
+
+
+def test_one_failing_adapter_leaves_the_others(spark, project):
+    root, _ = project
+    store = Store(spark, str(root / "store"))
+    good = adapters.BlockTranscripts(str(root / "projects"), "agent_b", "good")
+    bad = Broken(str(root / "projects"), "agent_x", "bad")
+    errors = run_once([bad, good], store, str(root / "cp"))
+    assert list(errors) == ["bad"] and "cannot route" in errors["bad"]
+    assert store.read("message").count() == 3
+    assert kinds(store)["capture_error"] == 1
+    # The failed lines are read again once the adapter works.
+    mended = adapters.BlockTranscripts(str(root / "projects"), "agent_x", "bad")
+    assert run_once([mended], store, str(root / "cp")) == {}
+    assert store.read("message").count() == 6
+
+
+def test_disabled_adapter_is_not_run(spark, project):
+    import datetime as dt
+
+    root, _ = project
+    store = Store(spark, str(root / "store"))
+    now = dt.datetime(2026, 1, 1)
+    store.append("state_ledger", spark.createDataFrame([
+        ("1", "mod", "attr_module_descriptor", '{"name":"block_transcripts"}', now),
+        ("2", "mod", "attr_module_status", '{"status":"disabled"}', now),
+    ], store.schema("state_ledger")), "setup")
+    source = adapters.BlockTranscripts(str(root / "projects"), "agent_b")
+    assert run_once([source], store, str(root / "cp")) == {}
+    assert store.read("message").count() == 0

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 2_000_000
+# Rows of one chunk that the sample for hot chains should hold.
+SAMPLED_PER_CHUNK = 2_000
 MAX_HOT = 10_000
 MAX_CHUNKS = 1_000
 _CHUNK, _STARTS = "_chunk", "_starts"
@@ -87,16 +89,22 @@ def chunk_starts(
 ) -> DataFrame | None:
     """Where the chunks of each hot chain begin, or None when no chain is hot.
 
-    One column-pruned count with map-side combine finds the hot chains; only
-    their (key, order) columns are then range-partitioned for cut points. At
-    most MAX_HOT chains and MAX_CHUNKS cut points reach the driver, whatever
-    the size of the data, so the result is small enough to broadcast.
+    A sample of the (key, order) columns finds them: where a chain is cut only
+    decides how even the tasks are, never what comes out, so neither a full
+    count nor a full sort is needed. With few rows per chunk the sample is
+    everything. At most MAX_HOT chains and MAX_CHUNKS cut points reach the
+    driver, whatever the size of the data, so the result can be broadcast.
     """
     spark = df.sparkSession
+    narrow = df.select(*keys, *[c for c in order if c not in keys])
+    fraction = min(1.0, SAMPLED_PER_CHUNK / rows_per_chunk)
+    if fraction < 1.0:
+        narrow = narrow.sample(fraction, seed=17)
+    per_chunk = rows_per_chunk * fraction
     hot = (
-        df.groupBy(*keys)
+        narrow.groupBy(*keys)
         .count()
-        .where(F.col("count") > rows_per_chunk)
+        .where(F.col("count") > per_chunk)
         .orderBy(F.desc("count"))
         .limit(MAX_HOT)
         .collect()
@@ -105,8 +113,7 @@ def chunk_starts(
         return None
     key_schema = T.StructType([df.schema[k] for k in keys])
     hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema)
-    chunks = min(MAX_CHUNKS, max(2, sum(-(-r["count"] // rows_per_chunk) for r in hot)))
-    narrow = df.select(*keys, *[c for c in order if c not in keys])
+    chunks = min(MAX_CHUNKS, max(2, sum(-int(-r["count"] // per_chunk) for r in hot)))
     rows = narrow.join(F.broadcast(hot_keys), _same(narrow, hot_keys, keys), "left_semi")
     starts = (
         rows.repartitionByRange(int(chunks), *keys, *order)

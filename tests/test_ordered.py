@@ -64,6 +64,19 @@ def test_no_chunk_is_larger_than_asked(spark):
     assert max(b - a for a, b in zip(cuts, [*cuts[1:], 1000])) <= 300
 
 
+def test_sampled_cut_points_change_no_result(spark):
+    """Above 2,000 rows per chunk the cut points come from a sample."""
+    df = spark.range(120_000).select(
+        F.expr("if(id % 10 = 0, id % 50, -1)").alias("k"), F.col("id").alias("t"), F.lit(1).alias("v")
+    )
+    found = ordered.with_running(
+        df, ["k"], ["t"], {"n": ordered.count_rows(), "s": ordered.sum_of(F.col("v"))}, rows_per_chunk=20_000
+    )
+    assert ordered.chunk_starts(df, ["k"], ["t"], 20_000).count() == 1
+    wrong = found.where("n <> s or (k = -1 and n <> t - t div 10)")
+    assert found.count() == 120_000 and wrong.count() == 0
+
+
 def test_current_state_ignores_row_order(spark):
     rows = [("a", "x", f"{i:02d}", i // 3) for i in range(30)] + [("b", "x", "00", 1)]
     want = {("a", "29"), ("b", "00")}

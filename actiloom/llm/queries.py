@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiloom.llm import decontam, jaccard
+from actiloom.llm import decontam, jaccard, packing, tokenfile
+from actiloom.llm.encoder import DROPPED, LEADING
 from actiloom.llm.frames import table
 
 QUERIES = {}
@@ -17,6 +18,13 @@ def query(function):
     return function
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizer file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
@@ -35,3 +43,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(ids, 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), DROPPED, size=2048, end=0)
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_index(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), LEADING, end=2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiloom.llm import decontam, jaccard, packing, tokenfile
+from actiloom.llm import decontam, jaccard, language, licenses, packing, quality, sharding, tokenfile, topk, urls
 from actiloom.llm.encoder import DROPPED, LEADING
 from actiloom.llm.frames import table
 
@@ -53,3 +53,95 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), LEADING, end=2)
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, docs.filter(~language.held_out()))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, docs.filter(~quality.held_out()), table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", predicted)
+
+
+#: The shards' byte limit of the query; a production limit would be some hundred MB.
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+ORACLES["op8_sharding"] = f"""
+WITH r AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents
+), d AS (
+  SELECT doc_id, n_bytes, h, depth, h >> (60 - depth) AS bucket FROM r, generate_series(0, 40) AS g(depth)
+), s AS (
+  SELECT doc_id, n_bytes, h, depth, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_rows
+  FROM d WINDOW w AS (PARTITION BY depth, bucket)
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k
+  FROM s WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
+)
+SELECT doc_id, n_bytes, left(lpad(bin(h), 60, '0'), depth::INT) AS shard, depth::INT AS depth,
+       shard_bytes::BIGINT AS shard_bytes, shard_rows
+FROM f WHERE k = 1
+"""
+
+URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), [urls.parse_rule(line) for line in URL_RULES])
+
+
+ORACLES["op2_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM p
+), r(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), m AS (
+  SELECT q.page_id, host, path, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY q.page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+  FROM q LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+ORACLES["op7_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""

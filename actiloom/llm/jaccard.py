@@ -14,10 +14,11 @@ than d pieces at least one is equal (the pigeonhole).
   most d others before it in either, so it is entered by both; nearly empty
   pieces, which anything could share, are not entered.
 * Equal sets are one node: they link whatever they enter.
-* Inside a piece, all sets are verified against the smallest id first, not
-  against each other. What is in one component needs no further look. Only pairs
-  of different components that share a piece are verified afterwards, so no
-  link between components is lost and a group of copies costs a row per copy.
+* Inside a piece, sets are verified against one of them, not against each other:
+  each set against the one it meets so in most of its pieces. What is in one
+  component needs no further look. Pairs of different components that share a
+  piece are all verified in the end, so no link between components is lost and
+  a group of copies costs a few rows per copy.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def _linked(members: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     tested = spark.createDataFrame([], "a long, b long")
     open_rows = members.withColumn("component", F.col("doc"))
     for star in range(STARS + 1):
-        if star == STARS or (star and _pairs_left(open_rows) <= 4 * open_rows.count()):
+        if star == STARS or (star and _pairs_left(open_rows) <= open_rows.count()):
             other = open_rows.select("entry", F.col("doc").alias("other"), F.col("component").alias("component_2"))
             pairs = open_rows.join(other, "entry").filter("doc < other and component <> component_2")
             pairs = pairs.select(F.col("doc").alias("a"), F.col("other").alias("b"))
@@ -202,8 +203,12 @@ def _linked(members: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             order = F.struct((F.xxhash64("doc", F.lit(star)) if star else F.col("doc")).alias("rank"), "doc", "component")
             hubs = open_rows.groupBy("entry").agg(F.min(order).alias("hub"))
             hubs = hubs.select("entry", F.col("hub.doc").alias("hub"), F.col("hub.component").alias("hub_component"))
-            pairs = open_rows.join(hubs, "entry").filter("component <> hub_component")
-            pairs = pairs.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
+            near = open_rows.join(hubs, "entry").filter("component <> hub_component")
+            # Of its hubs, the one with which a set shares the most entries.
+            near = near.groupBy("doc", "hub").agg(F.count("*").alias("n"))
+            near = near.groupBy("doc").agg(F.max(F.struct("n", (-F.col("hub")).alias("least"))).alias("best"))
+            hub = -F.col("best.least")
+            pairs = near.select(F.least("doc", hub).alias("a"), F.greatest("doc", hub).alias("b"))
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links = verified(pairs, docs, width, percent)
         before = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -39,6 +39,8 @@ from actiloom.llm.words import BASE, SPACED, mixed, windows, words_of
 U = np.uint64
 #: A band's largest set has about this many times the shingles of its smallest.
 BAND_RATIO = 2.0
+#: A piece has two to this many bits, so that different sets hardly share a filled piece by chance.
+PIECE_BITS = 16
 #: Pieces of a band over what its largest sets must enter.
 SPARE = 1.25
 #: Star rounds before the pairs that are left between components are listed.
@@ -79,13 +81,21 @@ class Sketch:
     def _keys(self, shingles: np.ndarray, band: int) -> np.ndarray:
         kept = self.differences(len(shingles)) + 1
         count = int(SPARE * (self.differences(self.bands[band + 1] - 1) + 1)) + 1
-        place = ((shingles >> U(32)) * U(count)) >> U(32)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        # Place and bit of each shingle; a bit that an even number of them flips is unset.
+        bits = (((shingles >> U(32)) * U(count)) >> U(32)) << U(PIECE_BITS) | shingles & U((1 << PIECE_BITS) - 1)
+        bits.sort()
+        first = np.flatnonzero(np.concatenate([[True], bits[1:] != bits[:-1]]))
+        bits = bits[first[np.diff(first, append=len(bits)) % 2 == 1]]
+        place = (bits >> U(PIECE_BITS)).astype(np.int64)
+        set_bits = np.bincount(place, minlength=count)
+        # A piece's content as the xor of its set bits' hashes; an empty one is 0.
         sketch = np.zeros(count, U)
-        sketch[place[first].astype(np.int64)] = np.bitwise_xor.reduceat(U(1) << (shingles & U(63)), first)
+        if len(bits):
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            sketch[place[first]] = np.bitwise_xor.reduceat(mixed(bits + U(BASE)), first)
         where = np.arange(band << 32, (band << 32) + count, dtype=U) * U(BASE)
         keys = mixed(sketch ^ mixed(where))
-        full = np.minimum(np.bitwise_count(sketch), 31).astype(U) << U(59) | keys >> U(5)
+        full = np.minimum(set_bits, 31).astype(U) << U(59) | keys >> U(5)
         return keys[np.argpartition(full, count - kept)[count - kept :]]
 
 

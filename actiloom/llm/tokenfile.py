@@ -197,7 +197,7 @@ def read_files(files: DataFrame) -> DataFrame:
                         }
                     )
 
-    each = files.select("path", "before").repartition(F.xxhash64("path"))
+    each = files.select("path", "before").repartition(max(1, files.count()))
     return each.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

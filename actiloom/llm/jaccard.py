@@ -16,9 +16,11 @@ than d pieces at least one is equal (the pigeonhole).
 * Equal sets are one node: they link whatever they enter.
 * Inside a piece, sets are verified against one of them, not against each other:
   each set against the one it meets so in most of its pieces. What is in one
-  component needs no further look. Pairs of different components that share a
-  piece are all verified in the end, so no link between components is lost and
-  a group of copies costs a few rows per copy.
+  component needs no further look.
+* In the end all sets of different components that share a piece are compared by
+  whole sketches, in blocks inside the tasks. Only pairs whose Hamming distance
+  allows a link leave a task, and are verified from the texts. No link between
+  components is lost, and a group of copies costs a few rows per copy.
 """
 
 from __future__ import annotations
@@ -43,8 +45,10 @@ BAND_RATIO = 2.0
 PIECE_BITS = 16
 #: Pieces of a band over what its largest sets must enter.
 SPARE = 1.25
-#: Star rounds before the pairs that are left between components are listed.
-STARS = 8
+#: Rounds of verifying sets against hubs before the comparison of whole sketches.
+STARS = 2
+#: Sets of a piece that one block holds.
+BLOCK = 16_384
 
 
 class Sketch:
@@ -99,6 +103,20 @@ class Sketch:
         return keys[np.argpartition(full, count - kept)[count - kept :]]
 
 
+def whole_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles by their low hash bits: two to four bits for each."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    return np.packbits(np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set with ``size`` bytes: halves are laid over each other."""
+    out = np.frombuffer(sketch, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Each text's distinct runs of ``width`` words, hashed and sorted.
 
@@ -115,26 +133,28 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row its set's size, a digest of the set, and its entries."""
+    """Per row its set's size, a digest of the set, its entries and its whole sketch."""
 
     def sign(batches):
         sketch = Sketch(percent)
         for batch in portions(batches, "text"):
-            sizes, digests, entries = [], [], []
+            sizes, digests, entries, sketches = [], [], [], []
             for shingles in shingle_sets(batch["text"], width):
                 sizes.append(len(shingles))
                 digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
                 entries.append(sketch.entries(shingles).view(np.int64))
+                sketches.append(whole_sketch(shingles))
             yield pa.record_batch(
                 {
                     "doc_id": batch["doc_id"],
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "digest": pa.array(digests, pa.binary()),
                     "entries": _lists(entries),
+                    "sketch": pa.array(sketches, pa.binary()),
                 }
             )
 
-    return pick(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, entries array<long>")
+    return pick(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, entries array<long>, sketch binary")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -190,25 +210,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     entries = entries.repartition("entry")
     shared = entries.groupBy("entry").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     members = written(entries.join(shared.select("entry"), "entry"), "members")
-    reached = _linked(members, docs, width, percent)
+    whole = signed.filter(F.size("entries") > 0).join(first, "doc_id", "left_semi")
+    whole = whole.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
+    reached = _linked(members, whole, docs, width, percent)
     named = classes.join(reached, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return signed.join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-def _linked(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(members: DataFrame, whole: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``node``, ``component`` of all that have a link; members: the nodes of each entry that several have."""
     spark = members.sparkSession
     reached = spark.createDataFrame([], "node long, component long")
     tested = spark.createDataFrame([], "a long, b long")
     open_rows = members.withColumn("component", F.col("doc"))
     for star in range(STARS + 1):
-        if star == STARS or (star and _pairs_left(open_rows) <= open_rows.count()):
-            other = open_rows.select("entry", F.col("doc").alias("other"), F.col("component").alias("component_2"))
-            pairs = open_rows.join(other, "entry").filter("doc < other and component <> component_2")
-            pairs = pairs.select(F.col("doc").alias("a"), F.col("other").alias("b"))
-            star = STARS
+        if star == STARS:
+            pairs = _near(open_rows, whole, percent)
         else:
             order = F.struct((F.xxhash64("doc", F.lit(star)) if star else F.col("doc")).alias("rank"), "doc", "component")
             hubs = open_rows.groupBy("entry").agg(F.min(order).alias("hub"))
@@ -236,8 +255,67 @@ def _linked(members: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return reached
 
 
-def _pairs_left(rows: DataFrame) -> int:
-    """How many pairs of different components share an entry."""
-    each = rows.groupBy("entry", "component").agg(F.count("*").alias("n"))
-    total = each.groupBy("entry").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    return int(total.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0)
+def _near(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share an entry and whose sketches allow a link.
+
+    An entry with more sets than a block holds is dealt to blocks, and every two
+    of its blocks meet in a task.
+    """
+    blocks = rows.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = rows.join(blocks, "entry").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(
+        F.xxhash64("entry", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "doc", "component"
+    ).join(whole, "doc")
+    rows = rows.select("meeting", "doc", "component", "n", "sketch").repartition("meeting").sortWithinPartitions("meeting")
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            meeting = part["meeting"].to_numpy()
+            whole_until = int(np.searchsorted(meeting, meeting[-1])) if len(meeting) else 0
+            held = part.slice(whole_until)
+            yield from _close_pairs(part.slice(0, whole_until), percent)
+        if held is not None:
+            yield from _close_pairs(held, percent)
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def _close_pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``meeting``: pairs of different components whose sketches differ little enough."""
+    if not len(rows):
+        return
+    meeting, doc, component, n = (rows[c].to_numpy() for c in ("meeting", "doc", "component", "n"))
+    sketches = rows["sketch"].to_pylist()
+    sizes = np.array([len(x) for x in sketches])
+    last = np.searchsorted(meeting, meeting, "right")
+    by_size = {}
+    for size in np.unique(sizes).tolist():
+        # Neighbours differ by a factor of two or three, so a sketch is folded once or twice.
+        some = np.flatnonzero((sizes >= size) & (sizes <= 8 * size))
+        place = np.full(len(sizes), -1)
+        place[some] = np.arange(len(some))
+        by_size[size] = place, np.stack([_folded(sketches[k], size) for k in some.tolist()]).view(np.uint64)
+    active, step = np.arange(len(meeting)), 0
+    while True:
+        step += 1
+        active = active[active + step < last[active]]
+        if not len(active):
+            return
+        i, j = active, active + step
+        other = component[i] != component[j]
+        i, j = i[other], j[other]
+        most = (100 - percent) * (n[i] + n[j]) // (100 + percent)
+        fits = np.abs(n[i] - n[j]) <= most
+        i, j, most = i[fits], j[fits], most[fits]
+        size = np.minimum(sizes[i], sizes[j])
+        for one in np.unique(size).tolist():
+            k = np.flatnonzero(size == one)
+            place, matrix = by_size[one]
+            apart = np.bitwise_count(matrix[place[i[k]]] ^ matrix[place[j[k]]]).sum(axis=1, dtype=np.int64)
+            k = k[apart <= most[k]]
+            if len(k):
+                x, y = doc[i[k]], doc[j[k]]
+                yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})

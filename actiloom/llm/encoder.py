@@ -133,3 +133,8 @@ def encoder(path: str, cut: str | None) -> Encoder:
     if (path, cut) not in _encoders:
         _encoders[path, cut] = Encoder(path, cut)
     return _encoders[path, cut]
+
+
+def release() -> None:
+    """Gives back what earlier tasks of this worker remembered; for tasks that need the memory."""
+    _encoders.clear()

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actiloom.llm.encoder import release
 from actiloom.llm.frames import pick, portions, written
 from actiloom.llm.graph import components
 from actiloom.llm.words import BASE, SPACED, mixed, windows, words_of
@@ -136,6 +137,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row its set's size, a digest of the set, its entries and its whole sketch."""
 
     def sign(batches):
+        release()
         sketch = Sketch(percent)
         for batch in portions(batches, "text"):
             sizes, digests, entries, sketches = [], [], [], []
@@ -173,6 +175,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     )
 
     def compare(batches):
+        release()
         for batch in portions(batches, "text_a"):
             sets = zip(shingle_sets(batch["text_a"], width), shingle_sets(batch["text_b"], width), strict=True)
             close = []
@@ -270,6 +273,7 @@ def _near(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("meeting", "doc", "component", "n", "sketch").repartition("meeting").sortWithinPartitions("meeting")
 
     def compare(batches):
+        release()
         held = None
         for batch in batches:
             part = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actiloom.llm.encoder import release
 from actiloom.llm.frames import pick, portions
 
 GRAMS = 3
@@ -87,6 +88,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
         labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(rows / count * (1 << 32)))
 
     def tally(batches):
+        release()
         sums: dict[str, list] = {}
         for batch in portions(batches, "text"):
             for lang, (buckets, counts) in zip(batch["lang"].to_pylist(), gram_counts(batch["text"].to_pylist()), strict=True):
@@ -139,6 +141,7 @@ def identify(docs: DataFrame, training: DataFrame, rows: int = FIT_ROWS) -> Data
     model = docs.sparkSession.sparkContext.broadcast(fit(training, rows))
 
     def predict(batches):
+        release()
         for batch in portions(batches, "text", 2 << 20):
             names, scores = model.value.predict(batch["text"].to_pylist())
             yield pa.record_batch({"doc_id": batch["doc_id"], "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
@@ -151,6 +154,7 @@ def identified(docs: DataFrame, training: DataFrame, rows: int = FIT_ROWS) -> Da
     model = docs.sparkSession.sparkContext.broadcast(fit(training, rows))
 
     def keep(batches):
+        release()
         for batch in portions(batches, "text", 2 << 20):
             names, _ = model.value.predict(batch["text"].to_pylist())
             yield batch.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actiloom.llm.encoder import release
 from actiloom.llm.frames import pick, portions
 from actiloom.llm.words import SPACED, words_of, windows
 
@@ -146,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
         known, docs = known.filter(share), docs.filter(share)
 
     def measure(batches):
+        release()
         for batch in portions(batches, "text"):
             values = statistics(batch["text"])
             yield pa.record_batch({"doc_id": batch["doc_id"], "values": pa.array(list(values), pa.list_(pa.float64()))})
@@ -172,6 +174,7 @@ def score(docs: DataFrame, training: DataFrame, labels: DataFrame, rows: int = F
     forest = docs.sparkSession.sparkContext.broadcast(fit(training, labels, rows))
 
     def rate(batches):
+        release()
         for batch in portions(batches, "text"):
             yield pa.record_batch({"doc_id": batch["doc_id"], "score": pa.array(forest.value.score(statistics(batch["text"])))})
 
@@ -183,6 +186,7 @@ def accepted(docs: DataFrame, training: DataFrame, labels: DataFrame, least: flo
     forest = docs.sparkSession.sparkContext.broadcast(fit(training, labels, rows))
 
     def keep(batches):
+        release()
         for batch in portions(batches, "text"):
             yield batch.filter(pa.array(forest.value.score(statistics(batch["text"])) >= least))
 

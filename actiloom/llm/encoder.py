@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 DROPPED, LEADING = "dropped", "leading"
 #: Distinct parts, and distinct units, that are remembered; with more, the memory starts anew.
@@ -27,15 +29,16 @@ _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u20
 
 
 class Encoder:
-    def __init__(self, path: str, cut: str | None) -> None:
+    def __init__(self, path: str, cut: str | None, kept: int = KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = cut
+        self.kept = kept
         self.plain = re.compile(r"\S+" if cut == DROPPED else r"[^\s\0]\S*(?:\n\S+)*")
-        self.units: dict[str, tuple[int, ...]] = {}
+        self.units: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers
         self._forget()
 
     def _forget(self) -> None:
@@ -81,20 +84,20 @@ class Encoder:
         starts = starts if self.cut == LEADING else [0, *starts]
         if len(starts) != len(parts):  # white space came or went: each by itself
             return
-        if len(self.units) > KEPT:
+        if len(self.units) > self.kept:
             self.units = {}
         units = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         names = [unit for unit, _ in units]
         merge = self.tokenizer.model.tokenize
         for unit in {*names}.difference(self.units):
-            self.units[unit] = tuple([token.id for token in merge(unit)])
+            self.units[unit] = array("I", [token.id for token in merge(unit)]).tobytes()
         ids = list(map(self.units.__getitem__, names))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         places = np.fromiter((place[0] for _, place in units), np.int64, len(units))
         begin = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(places, starts)]
-        self._add(parts, list(chain.from_iterable(ids)), begin)
+        self._add(parts, np.frombuffer(b"".join(ids), np.uint32), begin)
 
-    def _add(self, parts: list[str], flat: list[int], begin) -> None:
+    def _add(self, parts: list[str], flat: list[int] | np.ndarray, begin) -> None:
         n = len(self.known)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -108,7 +111,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts in them; null is empty."""
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self._forget()
         each = [self._parts(text) if text else [] for text in texts]
         parts = list(chain.from_iterable(each))
@@ -125,16 +128,18 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
 
 
-_encoders: dict[tuple[str, str | None], Encoder] = {}
+_encoders: dict[tuple[str, str | None, int], Encoder] = {}
 
 
-def encoder(path: str, cut: str | None) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
-    if (path, cut) not in _encoders:
-        _encoders[path, cut] = Encoder(path, cut)
-    return _encoders[path, cut]
+def encoder(path: str, cut: str | None, kept: int = KEPT) -> Encoder:
+    """The worker's encoder for a tokenizer file, which remembers about ``kept`` parts and units."""
+    key = path, cut, kept
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, cut, kept)
+    return _encoders[key]
 
 
 def release() -> None:
     """Gives back what earlier tasks of this worker remembered; for tasks that need the memory."""
     _encoders.clear()
+    pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from actiloom.llm.encoder import encoder
+from actiloom.llm.encoder import KEPT, encoder
 from actiloom.llm.frames import pick, portions, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -95,7 +95,9 @@ def plan(counts: dict[int, int], size: int) -> Plan:
     return Plan((rows[:, 0] << 44) + rows[:, 1], rows[:, 1], rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4], bins)
 
 
-def pieces(docs: DataFrame, tokenizer: str, cut: str | None, size: int, end: int | None, ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, cut: str | None, size: int, end: int | None, ids: bool = False, kept: int = KEPT
+) -> DataFrame:
     """Per piece of at most ``size`` ids: where it is, a checksum, its ``ids`` if asked for.
 
     ``nth`` numbers the pieces of one length within a task.
@@ -105,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, cut: str | None, size: int, end: int
         task, seen = TaskContext.get().partitionId(), {}
         tail = np.array([] if end is None else [end], np.uint32)
         for batch in portions(batches, "text", 1 << 20):
-            flat, offsets = encoder(tokenizer, cut).encode(batch["text"].to_pylist())
+            flat, offsets = encoder(tokenizer, cut, kept).encode(batch["text"].to_pylist())
             rows, held = [], []
             for k, doc_id in enumerate(batch["doc_id"].to_pylist()):
                 own = np.concatenate([flat[offsets[k] : offsets[k + 1]], tail])
@@ -127,7 +129,15 @@ def pieces(docs: DataFrame, tokenizer: str, cut: str | None, size: int, end: int
     return pick(docs, "doc_id", "text").mapInArrow(split, PIECES + (", ids array<int>" if ids else ""))
 
 
-def pack(docs: DataFrame, tokenizer: str, cut: str | None, size: int = 2048, end: int | None = 0, ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    cut: str | None,
+    size: int = 2048,
+    end: int | None = 0,
+    ids: bool = False,
+    kept: int = KEPT,
+) -> DataFrame:
     """Per piece ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset`` (and ``ids``).
 
     A document is its ids and the id ``end``; longer ones are cut into pieces of
@@ -135,9 +145,10 @@ def pack(docs: DataFrame, tokenizer: str, cut: str | None, size: int = 2048, end
     gaps. A null text is empty and has the end id alone; without an end id such
     a document has no piece. Each row is packed for itself, so equal rows and
     rows that share a doc_id or have none are all there. An empty table gives no
-    rows; other columns are not looked at.
+    rows; other columns are not looked at. ``kept`` bounds what a worker
+    remembers of the tokenizer's work; it changes speed and memory alone.
     """
-    cuts = written(pieces(docs, tokenizer, cut, size, end, ids), "pieces")
+    cuts = written(pieces(docs, tokenizer, cut, size, end, ids, kept), "pieces")
     each = cuts.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
     each = written(each.withColumn("before", before), "lengths")

@@ -12,6 +12,8 @@ from actiloom.llm.queries import tokenizer_path
 
 #: Trained models and components are outside SQL; the stages are tested against brute force.
 ORACLE_SQL = None
+#: Words whose ids a worker remembers while packing, beside what the earlier stages left in its executor.
+REMEMBERED = 150_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all texts and their places in sequences of 2048 ids."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), DROPPED, size=2048, end=0)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), DROPPED, size=2048, end=0, kept=REMEMBERED)
 
 
 STAGES = [

@@ -9,7 +9,6 @@ from .. import model
 from ..functions import clock
 from ..functions import jsonval as J
 from ..functions import text as X
-from ..session import broadcast_if_small
 from . import analytics, lookup
 
 # Feed order. Times can tie across and inside the two tables.
@@ -162,8 +161,8 @@ def next_page(
     )
 
 
-def merge_live(backlog: DataFrame, live: DataFrame, cap: int = model.LIVE_CAP) -> DataFrame:
-    """Backlog and live rows by id, the backlog copy winning; the newest ``cap``, oldest first.
+def merge_live(backlog: DataFrame, live: DataFrame, cap: int | None = model.LIVE_CAP) -> DataFrame:
+    """Backlog and live rows by id, the backlog copy winning; the newest ``cap`` (None: all), oldest first.
 
     The winner per id is an aggregate with map-side combine.
     """
@@ -176,7 +175,9 @@ def merge_live(backlog: DataFrame, live: DataFrame, cap: int = model.LIVE_CAP) -
         .select(*backlog.columns)
     )
     order = [c for c in ("valid_from", "id") if c in backlog.columns]
-    return kept.orderBy(*[F.desc(c) for c in order]).limit(cap).orderBy(*order)
+    if cap is not None:
+        kept = kept.orderBy(*[F.desc(c) for c in order]).limit(cap)
+    return kept.orderBy(*order)
 
 
 def directory(sessions_view: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ def attribute(feed: DataFrame, sessions_view: DataFrame, agents: DataFrame) -> D
     )
     e = (
         feed.where("kind <> 'message'")
-        .join(broadcast_if_small(names), F.col("agent_id") == F.col("a_id"), "left")
+        .join(names, F.col("agent_id") == F.col("a_id"), "left")
         .join(first, F.col("session_src") == F.col("d_key"), "left")
         .join(
             named,

@@ -40,16 +40,22 @@ def find_by_current_name(
     chosen = entities if entity_type is None else entities.where(F.col("type") == entity_type)
     ids = chosen.select(F.col("id").alias("target"))
     rows = ledger.where(F.col("type") == attr_type).join(ids, "target", "left_semi")
-    named = rows.withColumn("name", J.str_field(F.col("payload"), "name"))
+    return resolving_names(rows).select("name", "target")
+
+
+def resolving_names(ledger: DataFrame) -> DataFrame:
+    """(type, name, target) of the names of each descriptor type that still resolve."""
+    named = ledger.withColumn("name", J.str_field(F.col("payload"), "name"))
+    newest_row = F.struct("valid_from", "id")
     claims = (
         named.where("name is not null")
-        .groupBy("name")
-        .agg(F.max_by("target", F.struct("valid_from", "id")).alias("target"))
+        .groupBy("type", "name")
+        .agg(F.max_by("target", newest_row).alias("target"))
     )
-    current = named.groupBy("target").agg(
-        F.max_by("name", F.struct("valid_from", "id")).alias("now")
+    current = named.groupBy("type", "target").agg(
+        F.max_by(F.struct("name"), newest_row).alias("now")
     )
-    return claims.join(current, "target").where("name = now").select("name", "target")
+    return claims.join(current, ["type", "target"]).where("name = now.name").select("type", "name", "target")
 
 
 def list_named(entities: DataFrame, ledger: DataFrame, attr_type: str) -> DataFrame:
@@ -148,7 +154,13 @@ def search_events(events: DataFrame, raw_keyword: str | None) -> DataFrame:
 
 
 def page_limit(limit: int | None) -> int:
-    return max(0, min(model.FEED_DEFAULT if limit is None else int(limit), model.FEED_MAX))
+    """The rows asked for; without a number the usual page."""
+    return max(0, model.FEED_DEFAULT if limit is None else int(limit))
+
+
+def request_limit(limit: int | None) -> int:
+    """``page_limit`` for a number that a remote caller sent: larger ones mean the largest page."""
+    return min(page_limit(limit), model.FEED_MAX)
 
 
 def before_mark(df: DataFrame, before=None, before_id=None) -> DataFrame:
@@ -211,10 +223,10 @@ def agent_newest(df: DataFrame, limit: int, agent=None) -> DataFrame:
     return ordered.newest_per_key(df, ["agent"], versioned.ORDER, limit)
 
 
-def transcript(messages: DataFrame, session, limit: int = model.TRANSCRIPT_LIMIT) -> DataFrame:
-    """One session's messages, oldest first."""
-    rows = messages.where(F.col("session") == F.lit(session))
-    return rows.orderBy("valid_from", "id").limit(limit)
+def transcript(messages: DataFrame, session, limit: int | None = None) -> DataFrame:
+    """One session's messages, oldest first; all of them or the first ``limit``."""
+    rows = messages.where(F.col("session") == F.lit(session)).orderBy("valid_from", "id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def high_water(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,6 @@ from ..functions import clock
 from ..session import Levels, materialize
 from . import graph, versioned
 
-MAX_ROUNDS = 100_000
-
 
 # -- chains ------------------------------------------------------------------
 
@@ -119,7 +118,7 @@ def recurrence(schedules: DataFrame, now) -> DataFrame:
     at = clock.instant(now)
     fired = versioned.current_schedules(schedules).where("status = 'fired'")
     every = fired.where(F.startswith("recurrence", F.lit("every:")))
-    token = F.substring("recurrence", len("every:") + 1, 1_000)
+    token = F.substr("recurrence", F.lit(len("every:") + 1))
     next_run = clock.add_duration(at, token)
     return every.withColumn("_next", next_run).where("_next is not null").select(
         F.concat(F.col("id").cast("string"), F.lit("-next")).alias("id"),
@@ -190,7 +189,7 @@ def waves(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     placed = Levels()
-    for wave in range(1, MAX_ROUNDS):
+    for wave in count(1):
         ready = state.groupBy("task").agg(F.count("dep").alias("_open")).where("_open = 0")
         ready = materialize(ready.select("task"))
         if ready.isEmpty():
@@ -361,7 +360,7 @@ def blocked(deps: DataFrame, failed: DataFrame) -> DataFrame:
     """
     links = materialize(deps.select("task", "dep").distinct())
     frontier, levels = failed.select("task").distinct(), Levels()
-    for _ in range(MAX_ROUNDS):
+    while True:
         step = (
             links.join(frontier.select(F.col("task").alias("dep")), "dep", "left_semi")
             .select("task")

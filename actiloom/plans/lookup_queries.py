@@ -37,7 +37,7 @@ def find_types(spark, sf):
 
 @query(
     "find_by_current_name",
-    c("led", """, urgent AS (SELECT * FROM led WHERE type = '1-URGENT' AND target % 2 = 0),
+    c("led", """, urgent AS (SELECT * FROM led WHERE type = '1-URGENT'),
       claims AS (SELECT name, target FROM (SELECT *, row_number() OVER (
         PARTITION BY name ORDER BY valid_from DESC, id DESC) AS n FROM urgent) WHERE n = 1),
       cur AS (SELECT target, name FROM (SELECT *, row_number() OVER (
@@ -45,8 +45,7 @@ def find_types(spark, sf):
       SELECT name, target FROM claims JOIN cur USING (target, name)"""),
 )
 def find_by_current_name(spark, sf):
-    even = M.customers_as_entities(spark, sf).where("id % 2 = 0")
-    return L.find_by_current_name(even, M.ledger(spark, sf), "1-URGENT")
+    return L.find_by_current_name(M.customers_as_entities(spark, sf), M.ledger(spark, sf), "1-URGENT")
 
 
 @query(

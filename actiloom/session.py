@@ -7,7 +7,6 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every job of this package is written for. Sizes are left to AQE:
 # it coalesces small shuffle partitions and splits skewed ones at run time.
@@ -32,11 +31,14 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """The folder checkpoints and scratch tables go to.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a test on one machine) is a temporary folder chosen instead.
+    A cluster names it in ``spark.checkpoint.dir``. Only on a local master, where
+    driver and tasks share one disk, is a temporary folder chosen if that is unset.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    local = context.master == "local" or context.master.startswith("local[")
+    if configured is None and context.getCheckpointDir() is None and not local:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="actiloom-"))
     return configured or context.getCheckpointDir()
@@ -57,16 +59,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``rows`` rows, else as it is.
-
-    For dimensions that are joined on a key with few values (types, agents):
-    shuffling the large side by such a key would pile it up. Counting stops at
-    the limit. A larger side joins by sort-merge, where AQE splits hot keys.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 class Levels:
     """The results of a loop's rounds, kept few however long the loop runs.
 

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import model
 from . import logs, shape1, shape2, tail
 from . import lines as L
 
@@ -25,6 +24,8 @@ class Adapter:
     max_backfill_bytes: int | None = None
     # Which chat records of an earlier batch make a later copy redundant.
     grow_only: bool = False
+    # Whether a header line names the session of the lines behind it.
+    has_headers = False
 
     def glob(self) -> str:
         return f"{self.root.rstrip('/')}/{self.pattern}"
@@ -62,14 +63,20 @@ class BlockTranscripts(Adapter):
 
 
 class ChatTranscripts(Adapter):
-    """``<root>/tmp/<project>/chats/*.jsonl`` in shape 2."""
+    """``<root>/tmp/<project>/chats/*.jsonl`` in shape 2.
+
+    ``max_backfill_bytes`` skips all but the end of a file met for the first
+    time; without it every file is read from its start.
+    """
+
+    has_headers = True
 
     def __init__(
         self,
         root: str,
         agent: str,
         name: str = "chat_transcripts",
-        max_backfill_bytes: int = model.BACKFILL_MAX_BYTES,
+        max_backfill_bytes: int | None = None,
         grow_only: bool = False,
     ):
         super().__init__(root, agent, name, "tmp/*/chats/*.jsonl", max_backfill_bytes, grow_only)

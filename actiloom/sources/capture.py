@@ -36,21 +36,23 @@ def row_id(prefix: str) -> Column:
         "-",
         F.lit(prefix),
         F.left(F.sha2("file", 256), F.lit(16)),
-        F.lpad(F.col("offset").cast("string"), 16, "0"),
-        F.lpad(F.col("nth").cast("string"), 6, "0"),
+        _padded("offset", 16),
+        _padded("nth", 6),
     )
 
 
+def _padded(column: str, width: int) -> Column:
+    """A number with leading zeros; a longer one stays whole."""
+    text = F.col(column).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def current_names(ledger: DataFrame) -> DataFrame:
-    """(kind, name, id) every identity goes by now; the newest claim of a name counts."""
+    """(kind, name, id) of every name that resolves, by the rule of ``lookup.find_by_current_name``."""
     attrs = {attr: kind for kind, (_, attr) in KINDS.items()}
-    names = F.create_map(*[F.lit(x) for pair in attrs.items() for x in pair])
-    current = lookup.named_state(ledger.where(F.col("type").isin(list(attrs)))).where(
-        "name is not null"
-    )
-    return current.groupBy(names[F.col("type")].alias("kind"), "name").agg(
-        F.max_by("target", F.struct("valid_from", "id")).alias("id")
-    )
+    kinds = F.create_map(*[F.lit(x) for pair in attrs.items() for x in pair])
+    found = lookup.resolving_names(ledger.where(F.col("type").isin(list(attrs))))
+    return found.select(kinds[F.col("type")].alias("kind"), "name", F.col("target").alias("id"))
 
 
 def file_summary(lines: DataFrame) -> DataFrame:
@@ -119,6 +121,11 @@ def resolve(wanted: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def agent_id(resolved: DataFrame) -> Column:
+    """The id of the one agent that a batch's identities belong to."""
+    return resolved.where("kind = 'agent'").agg(F.max("id").alias("id")).scalar()
+
+
 def _by_kind(place: int) -> Column:
     pairs = [F.lit(x) for kind, names in KINDS.items() for x in (kind, names[place])]
     return F.create_map(*pairs)[F.col("kind")]
@@ -137,13 +144,12 @@ def discovery_rows(
         F.col("descriptor").alias("payload"),
         now.alias("valid_from"),
     )
-    agent = F.substring_index("name", "/", 1)
     telemetry = fresh.select(
         F.concat(F.lit("dc-"), "id").alias("id"),
         F.concat("kind", F.lit("_discovered")).alias("lifecycle_event"),
         F.col("announcement").alias("payload"),
         F.col("id").alias("subject"),
-        identity("agent", agent).alias("agent"),
+        agent_id(resolved).alias("agent"),
         now.alias("valid_from"),
     )
     return entities, ledger, telemetry
@@ -163,7 +169,7 @@ def message_rows(
         .select(
             row_id("m").alias("id"),
             F.coalesce("_session", identity("session", F.col("_name"))).alias("session"),
-            identity("agent", F.lit(adapter.agent)).alias("agent"),
+            agent_id(resolved).alias("agent"),
             "role",
             "content",
             "raw",
@@ -192,7 +198,7 @@ def event_rows(
             "lifecycle_event",
             "payload",
             "subject",
-            identity("agent", F.lit(adapter.agent)).alias("agent"),
+            agent_id(resolved).alias("agent"),
             now.alias("valid_from"),
         )
     )

@@ -39,7 +39,7 @@ def write_batch(batch: DataFrame, number: int, adapter: Adapter, store: Store) -
             return
         ledger = store.read("state_ledger", without_batch=name)
         headers = seen = None
-        if adapter.max_backfill_bytes is not None:
+        if adapter.has_headers:
             headers = versioned.latest_by(
                 store.read("chat_header", without_batch=name), ["file"], ("valid_from", "session")
             )
@@ -130,7 +130,7 @@ def _log_errors(store: Store, errors: dict[str, str], event: str, field: str) ->
     now = dt.datetime.now(dt.timezone.utc)
     stamp = now.strftime("%Y%m%d%H%M%S%f")
     rows = store.spark.createDataFrame(
-        [(f"x-{stamp}-{name}", name, error[:2000], now) for name, error in errors.items()],
+        [(f"x-{stamp}-{name}", name, error, now) for name, error in errors.items()],
         f"id string, {field} string, error string, valid_from timestamp",
     )
     none = F.lit(None).cast("string")

@@ -27,10 +27,13 @@ def merged_feed(messages: DataFrame, events: DataFrame, watermark: str = "10 min
     """New messages and events in the feed's row shape, each id once.
 
     A batch written again after a crash shows up as new files; within the
-    watermark its rows are recognised by their ids.
+    watermark its rows are recognised by their ids. Each table has its own
+    watermark and the slower one counts, so rows of a table that lags are kept;
+    while one table is silent, the ids of the other stay remembered.
     """
-    rows = feed.message_rows(messages).unionByName(feed.event_rows(events))
-    return rows.withWatermark("valid_from", watermark).dropDuplicatesWithinWatermark(["kind", "id"])
+    sides = feed.message_rows(messages), feed.event_rows(events)
+    slow, fast = (side.withWatermark("valid_from", watermark) for side in sides)
+    return slow.unionByName(fast).dropDuplicatesWithinWatermark(["kind", "id"])
 
 
 def windowed_counts(

@@ -10,25 +10,25 @@ from actiloom.sources import adapters, capture, lines, logs, shape2, tail
 from actiloom.sources.store import Store
 from actiloom.streaming.capture import run_once
 
+TALK = "night-7"
 SHAPE1 = [
-    {"type": "user", "sessionId": "s-1", "timestamp": "2026-05-20T14:30:00.5Z",
-     "origin": {"kind": "human"}, "message": {"role": "user", "content": "hello there"}},
-    {"type": "assistant", "sessionId": "s-1", "message": {"role": "assistant", "model": "m", "content": [
-        {"type": "text", "text": "hi there"},
-        {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls"}}]}},
-    {"type": "user", "sessionId": "s-1", "message": {"role": "user", "content": [
-        {"type": "tool_result", "tool_use_id": "t1", "content": "file_a\nfile_b"}]}},
-    {"type": "ai-title", "title": "x"},
-]
-SHAPE2 = [
-    {"sessionId": "g-sess-1", "projectHash": "h", "startTime": "x", "kind": "main"},
-    {"$set": {"lastUpdated": "y"}},
-    {"id": "u-1", "type": "user", "content": [{"text": "hello chat"}, {"text": "second part"}]},
-    {"id": "g-1", "type": "gemini", "content": "here"},
-    {"id": "g-1", "type": "gemini", "content": "here you go", "model": "g", "tokens": {"output": 3},
-     "toolCalls": [{"id": "c", "name": "shell", "status": "success", "resultDisplay": "junk"}]},
-    {"id": "i-1", "type": "info", "content": "note"},
+    {"type": "summary", "leafUuid": "z"},
+    {"type": "assistant", "sessionId": TALK, "timestamp": "2025-11-02T03:04:05.25Z", "message": {"content": [
+        {"type": "tool_use", "name": "Grep", "id": "call-9", "input": {"pattern": "moss"}},
+        {"type": "text", "text": "looking for moss"}, {"type": "text", "text": "in both beds"}]}},
+    {"type": "user", "sessionId": TALK, "message": {"content": [
+        {"type": "tool_result", "tool_use_id": "call-9", "content": "bed 4"}]}},
+    {"type": "user", "sessionId": TALK, "origin": {"kind": "human"}, "message": {"content": "then water bed 4"}},
+    {"type": "assistant", "sessionId": TALK, "message": {"content": [{"type": "text", "text": "watered"}]}},
 ]
+HEADER = {"kind": "main", "sessionId": "plot-3", "startTime": "t0", "projectHash": "ph"}
+NOTICE = {"type": "warning", "id": "w-4", "content": "sensor 9 is old"}
+ASK = {"type": "user", "id": "q-7", "content": [{"text": "which rows"}, {"text": "are dry"}, {"text": "today"}]}
+SHORT = {"type": "gemini", "id": "r-2", "content": "rows"}
+LONG = {"type": "gemini", "id": "r-2", "content": "rows 2 and 9 are dry", "model": "q", "tokens": {"output": 11}, "toolCalls": [
+    {"name": "probe", "id": "k-1", "status": "error", "resultDisplay": ["long"]}, {"name": "probe", "id": "k-2", "status": "success"}]}
+SHAPE2 = [HEADER, NOTICE, ASK, SHORT, {"$set": {"lastUpdated": "t1"}}, LONG]
+ASKED = "which rows\nare dry\ntoday"
 
 
 def write(path, rows, mode="w"):
@@ -45,8 +45,8 @@ def kinds(store):
 
 @pytest.fixture
 def project(tmp_path):
-    file = tmp_path / "projects" / "proj" / "s-1.jsonl"
-    write(file, [*SHAPE1, "this is { not json"])
+    file = tmp_path / "projects" / "garden" / f"{TALK}.jsonl"
+    write(file, [*SHAPE1, "[broken, line"])
     return tmp_path, file
 
 
@@ -56,35 +56,33 @@ def test_shape1_rows_resume_and_append(spark, project):
     source = adapters.BlockTranscripts(str(root / "projects"), "agent_b")
     assert run_once([source], store, str(root / "cp")) == {}
     messages = store.read("message").orderBy("id").collect()
-    assert [m.role for m in messages] == ["user", "assistant", "tool"]
-    assert messages[0].content == "hello there"
-    assert messages[1].content == "hi there"
-    assert messages[2].content == "file_a\nfile_b"
-    assert messages[0].emitted_at.isoformat() == "2026-05-20T14:30:00.500000"
-    assert messages[1].emitted_at is None
+    assert [(m.role, m.content) for m in messages] == [
+        ("assistant", "looking for moss\nin both beds"), ("tool", "bed 4"), ("user", "then water bed 4"), ("assistant", "watered")]
+    assert messages[0].emitted_at.isoformat() == "2025-11-02T03:04:05.250000"
+    assert messages[3].emitted_at is None
     assert kinds(store) == {
-        "message_captured": 3, "transcript_event": 1, "transcript_raw": 1,
+        "message_captured": 4, "transcript_event": 1, "transcript_raw": 1,
         "agent_discovered": 1, "source_discovered": 1, "session_discovered": 1,
     }
     names = {r.name for r in capture.current_names(store.read("state_ledger")).collect()}
-    assert names == {"agent_b", "agent_b/proj", "agent_b/s-1"}
+    assert names == {"agent_b", "agent_b/garden", f"agent_b/{TALK}"}
     # Nothing new: nothing written. A partial line waits for its newline.
     with file.open("a") as out:
         out.write('{"type":"user","message":{"content":"part')
     run_once([source], store, str(root / "cp"))
-    assert store.read("message").count() == 3
+    assert store.read("message").count() == 4
     with file.open("a") as out:
         out.write('ial"}}\n')
     run_once([source], store, str(root / "cp"))
     assert store.read("message").where("content = 'partial'").count() == 1
     found = kinds(store)
-    assert found["message_captured"] == 4
+    assert found["message_captured"] == 5
     assert found["session_discovered"] == 1
     offsets = capture.latest_offsets(store.read("cursor")).collect()
     assert [o.offset for o in offsets] == [file.stat().st_size]
     report = {r.name: r.captured for r in capture.report(
         store.read("telemetry_stream"), store.read("state_ledger")).collect()}
-    assert report["agent_b/s-1"] == 5
+    assert report[f"agent_b/{TALK}"] == 6
 
 
 def test_shape2_rows(spark, tmp_path):
@@ -96,15 +94,16 @@ def test_shape2_rows(spark, tmp_path):
     assert run_once([source], store, str(tmp_path / "cp")) == {}
     messages = store.read("message").orderBy("id").collect()
     assert [(m.role, m.content) for m in messages] == [
-        ("user", "hello chat\nsecond part"), ("assistant", "here you go")]
+        ("user", ASKED), ("assistant", LONG["content"])]
     assert "resultDisplay" not in messages[1].raw
-    assert json.loads(messages[1].raw)["toolCalls"] == [{"id": "c", "name": "shell", "status": "success"}]
+    kept = [{k: v for k, v in call.items() if k != "resultDisplay"} for call in LONG["toolCalls"]]
+    assert json.loads(messages[1].raw)["toolCalls"] == kept
     found = kinds(store)
-    assert found["tool_call"] == 1 and found["transcript_event"] == 1
+    assert found["tool_call"] == 2 and found["transcript_event"] == 1
     names = {r.name for r in capture.current_names(store.read("state_ledger")).collect()}
-    assert "agent_g/g-sess-1" in names
+    assert "agent_g/plot-3" in names
     # The header of the first batch still names the session of later lines.
-    write(file, [{"id": "u-2", "type": "user", "content": "later"}], "a")
+    write(file, [{"id": "q-8", "type": "user", "content": "and now"}], "a")
     run_once([source], store, str(tmp_path / "cp"))
     sessions = store.read("message").select("session").distinct().count()
     assert store.read("message").count() == 3 and sessions == 1
@@ -112,24 +111,24 @@ def test_shape2_rows(spark, tmp_path):
 
 def test_grow_only_keeps_longer_copies(spark, tmp_path):
     file = tmp_path / "tmp" / "proj" / "chats" / "s.jsonl"
-    write(file, SHAPE2[:4])
+    write(file, [HEADER, ASK, SHORT])
     store = Store(spark, str(tmp_path / "store"))
     source = adapters.ChatTranscripts(str(tmp_path), "agent_g", grow_only=True)
     run_once([source], store, str(tmp_path / "cp"))
-    write(file, [SHAPE2[3], SHAPE2[2], SHAPE2[4]], "a")
+    write(file, [SHORT, ASK, LONG], "a")
     run_once([source], store, str(tmp_path / "cp"))
     contents = Counter(r.content for r in store.read("message").collect())
-    assert contents == {"hello chat\nsecond part": 1, "here": 1, "here you go": 1}
+    assert contents == {ASKED: 1, SHORT["content"]: 1, LONG["content"]: 1}
 
 
 def test_backfill_cap(spark, tmp_path):
     file = tmp_path / "tmp" / "proj" / "chats" / "s.jsonl"
-    tail_line = {"id": "u-9", "type": "user", "content": [{"text": "tail msg"}]}
+    tail_line = {"id": "q-99", "type": "user", "content": [{"text": "the last question"}]}
     write(file, [*SHAPE2, tail_line])
     store = Store(spark, str(tmp_path / "store"))
     source = adapters.ChatTranscripts(str(tmp_path), "agent_g", max_backfill_bytes=100)
     run_once([source], store, str(tmp_path / "cp"))
-    assert [m.content for m in store.read("message").collect()] == ["tail msg"]
+    assert [m.content for m in store.read("message").collect()] == ["the last question"]
     event = store.read("telemetry_stream").where("lifecycle_event = 'backfill_capped'").collect()
     skipped = json.loads(event[0].payload)["skipped_bytes"]
     assert skipped == file.stat().st_size - len(json.dumps(tail_line)) - 1
@@ -178,7 +177,7 @@ def test_discovery_lists_without_reading(spark, project):
     write(root / "projects" / "alpha" / "a.jsonl", [])
     write(root / "projects" / "alpha" / "deep" / "b.jsonl", ["x"])
     source = adapters.BlockTranscripts(str(root / "projects"), "agent_b")
-    assert [r.name for r in adapters.discover(spark, source).collect()] == ["alpha", "proj"]
+    assert [r.name for r in adapters.discover(spark, source).collect()] == ["alpha", "garden"]
     assert adapters.discover(spark, adapters.BlockTranscripts(str(root / "none"), "a")).count() == 0
 
 
@@ -261,12 +260,12 @@ def test_one_failing_adapter_leaves_the_others(spark, project):
     bad = Broken(str(root / "projects"), "agent_x", "bad")
     errors = run_once([bad, good], store, str(root / "cp"))
     assert list(errors) == ["bad"] and "cannot route" in errors["bad"]
-    assert store.read("message").count() == 3
+    assert store.read("message").count() == 4
     assert kinds(store)["capture_error"] == 1
     # The failed lines are read again once the adapter works.
     mended = adapters.BlockTranscripts(str(root / "projects"), "agent_x", "bad")
     assert run_once([mended], store, str(root / "cp")) == {}
-    assert store.read("message").count() == 6
+    assert store.read("message").count() == 8
 
 
 def test_disabled_adapter_is_not_run(spark, project):
@@ -282,3 +281,23 @@ def test_disabled_adapter_is_not_run(spark, project):
     source = adapters.BlockTranscripts(str(root / "projects"), "agent_b")
     assert run_once([source], store, str(root / "cp")) == {}
     assert store.read("message").count() == 0
+
+
+def test_a_known_agent_keeps_its_id(spark, project):
+    import datetime as dt
+
+    root, _ = project
+    store = Store(spark, str(root / "store"))
+    store.append("state_ledger", spark.createDataFrame([
+        ("1", "known", "attr_agent_descriptor", '{"name":"agent_b"}', dt.datetime(2026, 1, 1)),
+    ], store.schema("state_ledger")), "setup")
+    run_once([adapters.BlockTranscripts(str(root / "projects"), "agent_b")], store, str(root / "cp"))
+    for table in ("message", "telemetry_stream"):
+        assert {r.agent for r in store.read(table).select("agent").distinct().collect()} == {"known"}
+
+
+def test_a_name_given_away_does_not_resolve(spark):
+    ledger = spark.sql("""select id, target, 'attr_source_descriptor' as type, to_json(named_struct('name', name)) as payload,
+      timestamp'2024-01-01' + make_dt_interval(0, 0, 0, n) as valid_from from values
+      ('1', 'old', 'x', 1), ('2', 'new', 'x', 2), ('3', 'new', 'y', 3), ('4', 'old', 'x', 0) t(id, target, name, n)""")
+    assert {(r.name, r.id) for r in capture.current_names(ledger).collect()} == {("y", "new")}

@@ -234,29 +234,32 @@ def test_role_texts_and_deep_chain(spark):
     assert V.history(chain, ["entity"]).agg(F.max("version")).first()[0] == 26
 
 
-def test_planning(spark):
-    anchors, states, edges = store(
-        spark,
-        [(i, "task" if i != "repo" else "repo", i.upper(), None) for i in ("k", "a", "b", "qa", "qb", "repo")],
-        [("a", "k", "depends_on"), ("b", "k", "depends_on"), ("qa", "a", "depends_on"), ("qb", "b", "depends_on"), ("a", "repo", "depends_on")],
-    )
+@pytest.mark.parametrize("seed", range(2))
+def test_planning(spark, seed):
+    rng = random.Random(seed)
+    names = [f"t{i:02d}" for i in range(12)]
+    needs = {name: set(rng.sample(names[:i], min(i, rng.randrange(3)))) for i, name in enumerate(names)}
+    noted = rng.sample(names, 3)
+    links = [(t, d, "depends_on") for t in names for d in sorted(needs[t])] + [(t, "note", "depends_on") for t in noted]
+    entities = [(n, "task", n.upper(), None) for n in names] + [("note", "document", "NOTE", None)]
+    anchors, states, edges = store(spark, entities, links)
     nodes = anchors.join(states.select("entity", "name"), anchors["id"] == states["entity"]).select(
         F.col("id").alias("node"), "entity_type", "name")
     tasks, deps, warnings = S.dependencies(nodes, edges)
+    assert sorted((r.task, r.dep) for r in warnings.collect()) == sorted((t, "note") for t in noted)
+    wave, back, behind = {}, {}, set()
+    bad = rng.choice(names[:4])
+    for name in names:
+        wave[name] = 1 + max((wave[d] for d in needs[name]), default=0)
+        if needs[name] & (behind | {bad}):
+            behind.add(name)
+    for name in reversed(names):
+        back[name] = 1 + max((back[t] for t in names if name in needs[t]), default=0)
     placed, stuck = S.waves(tasks, deps)
-    waves = defaultdict(list)
-    for r in placed.collect():
-        waves[r.wave].append(r.task)
-    assert {w: sorted(t) for w, t in waves.items()} == {1: ["k"], 2: ["a", "b"], 3: ["qa", "qb"]}
-    assert stuck.count() == 0 and [r.dep for r in warnings.collect()] == ["repo"]
-    failed = spark.createDataFrame([("a",)], "task string")
-    assert [r.task for r in S.blocked(deps, failed).collect()] == ["qa"]
-    reverse = {r.task: r.wave for r in S.reverse_waves(tasks, deps).collect()}
-    assert reverse == {"qa": 1, "qb": 1, "a": 2, "b": 2, "k": 3}
-    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "task string, dep string")
-    two = spark.createDataFrame([("a",), ("b",)], "task string")
-    assert S.waves(two, loop)[0].count() == 0
-    assert sorted(r.task for r in S.waves(two, loop)[1].collect()) == ["a", "b"]
+    assert {r.task: r.wave for r in placed.collect()} == wave and stuck.count() == 0
+    failed = spark.createDataFrame([(bad,)], "task string")
+    assert {r.task for r in S.blocked(deps, failed).collect()} == behind
+    assert {r.task: r.wave for r in S.reverse_waves(tasks, deps).collect()} == back
 
 
 def test_outcomes(spark):

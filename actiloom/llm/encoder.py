@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 DROPPED, LEADING = "dropped", "leading"
-#: Distinct parts, and distinct units, that are remembered; with more, the memory starts anew.
+#: Distinct parts, and distinct units, that are remembered; with more, the parts that came once and all units go.
 KEPT = 900_000
 #: Before the first word of a text, which has no space in front.
 _FIRST = "\0"
@@ -39,15 +39,28 @@ class Encoder:
         self.kept = kept
         self.plain = re.compile(r"\S+" if cut == DROPPED else r"[^\s\0]\S*(?:\n\S+)*")
         self.units: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers
-        self._forget()
+        self._start()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def _start(self) -> None:
+        self.known: dict[str, int] = {}  # parts in the order of their numbers
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)  # met in a later call too
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keeps the parts that came again, if they leave half of the memory free."""
+        stay = np.flatnonzero(self.again[: len(self.known)])
+        if len(stay) > self.kept // 2:
+            stay = stay[:0]
+        names = [part for part, again in zip(self.known, self.again.tolist(), strict=False) if again] if len(stay) else []
+        sizes = self.size[stay]
+        begin = np.cumsum(sizes) - sizes
+        flat = self.ids[np.repeat(self.begin[stay] - begin, sizes) + np.arange(int(sizes.sum()))]
+        self._start()
+        self._add(names, flat, begin)
+
     def _parts(self, text: str) -> list[str]:
         if self.cut == DROPPED:
             return text.replace("\n", " ").split(" ")
@@ -102,7 +115,7 @@ class Encoder:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(parts) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+            self.begin, self.size, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.again))
         self.ids[self.used : self.used + len(flat)] = flat
         self.begin[n : n + len(parts)] = np.asarray(begin) + self.used
         self.size[n : n + len(parts)] = np.diff(begin, append=len(flat))
@@ -117,6 +130,7 @@ class Encoder:
         parts = list(chain.from_iterable(each))
         index = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
         absent = np.flatnonzero(index < 0)
+        self.again[index[index >= 0]] = True
         if len(absent):
             new = [parts[k] for k in absent.tolist()]
             self._learn(list(dict.fromkeys(new)))

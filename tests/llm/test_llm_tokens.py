@@ -40,12 +40,12 @@ def frame(spark, rows):
 
 
 @pytest.mark.parametrize("path,cut", [(WORD, DROPPED), (BYTE, LEADING), (BYTE, None)])
-def test_encoder(path, cut, monkeypatch):
-    monkeypatch.setattr("actiloom.llm.encoder.KEPT", 40)
+@pytest.mark.parametrize("kept", [0, 40, 400])
+def test_encoder(path, cut, kept):
     random.seed(1)
     texts = ODD + ["".join(random.choices(["a", "B'", " ", "\n", "é", "7", "　", "'s"], k=30)) for _ in range(400)]
-    encoder, plain = Encoder(path, cut), library(path)
-    for at in range(0, len(texts), 50):
+    encoder, plain = Encoder(path, cut, kept), library(path)
+    for at in [*range(0, len(texts), 50), 0]:
         ids, offsets = encoder.encode(texts[at : at + 50])
         for k, text in enumerate(texts[at : at + 50]):
             assert ids[offsets[k] : offsets[k + 1]].tolist() == plain(text), text

@@ -2,10 +2,10 @@
 
 A text's sentences that hold a word of licensing are candidates; neighbours make
 one block. A block is compressed alone and with each template as a zstandard raw
-dictionary. The more of its bytes a template saves, the closer they are; the
-templates are ranked by that. The best ones are then compared with the block
-word by word, and the first whose wording differs little enough is confirmed,
-with the words that are missing and those that are added.
+dictionary, case aside. The more of its bytes a template saves, the closer they
+are. Every template is compared with the block word by word, and the one whose
+wording differs least, by compression if several do, is confirmed if that is
+little enough, with the words that are missing and those that are added.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ _MARKER = re.compile(MARKERS, re.I)
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|\Z)\s*")
 _WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
 LEVEL = 19
-#: Ranked templates whose wording is looked at; confirmed with at most this share of a template's words missing.
-LOOKS, TOLERANCE = 3, 0.2
+#: Confirmed with at most this share of a template's words missing.
+TOLERANCE = 0.2
 
 
 def blocks(text: str | None) -> list[tuple[int, int]]:
@@ -71,14 +71,14 @@ class Matcher:
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         kind = zstandard.DICT_TYPE_RAWCONTENT
         self.given = {
-            name: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=kind))
+            name: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=kind))
             for name, text in templates.items()
         }
         self.judge = lru_cache(10_000)(self._judge)
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """Share of the block's compressed size that each template saves, best first, ties by name."""
-        raw = block.encode("utf-8", "surrogatepass")
+        raw = block.lower().encode("utf-8", "surrogatepass")
         size = len(self.alone.compress(raw))
         saved = ((1 - len(c.compress(raw)) / size, name) for name, c in self.given.items())
         return sorted(saved, key=lambda x: (-x[0], x[1]))
@@ -87,7 +87,7 @@ class Matcher:
         """Name, share saved, missing and added words of the confirmed template; None if none is."""
         words = [w.lower() for w in _WORD.findall(block)]
         close = []
-        for place, (saved, name) in enumerate(self.ranked(block)[:LOOKS]):
+        for place, (saved, name) in enumerate(self.ranked(block)):
             missing, added = differences(self.templates[name], words)
             if len(missing) <= TOLERANCE * len(self.templates[name]):
                 close.append((len(missing) + len(added), place, name, saved, missing, added))

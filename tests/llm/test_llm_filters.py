@@ -65,6 +65,20 @@ def test_licences(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_licences_compare_every_template(spark):
+    rows, cases = [], {}
+    for name, text in licenses.TEMPLATES.items():
+        for said in (text, text.lower(), text.upper()):
+            cases[len(rows)] = name
+            rows.append((len(rows), said))
+    words = {name: [w.lower() for w in licenses._WORD.findall(text)] for name, text in licenses.TEMPLATES.items()}
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        said = [w.lower() for w in licenses._WORD.findall(text[got[i].first : got[i].last])]
+        brute = min((sum(map(len, licenses.differences(t, said))), name) for name, t in words.items())
+        assert got[i].template == cases[i] == brute[1] and len(got[i].missing) + len(got[i].added) == brute[0]
+
+
 def test_language(spark):
     got = queries.QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

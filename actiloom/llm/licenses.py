@@ -1,19 +1,22 @@
-"""License scans by conditional compression.
-
-A text's sentences that hold a word of licensing are candidates; neighbours make
-one block. A block is compressed alone and with each template as a zstandard raw
-dictionary, case aside. The more of its bytes a template saves, the closer they
-are. Every template is compared with the block word by word, and the one whose
-wording differs least, by compression if several do, is confirmed if that is
-little enough, with the words that are missing and those that are added.
+"""License scans by wording and conditional compression.
+
+Each template is aligned word by word, case and line ends aside, with the whole
+text of every document that holds a word of licensing: the span that differs in
+the fewest words, if it lacks few enough of the template's. Of the templates the
+one with the most words in common wins, by compression if several do; its span is
+reported with the words that are missing and those that are added and is cut
+out, and what is left on either side is searched again. ``saved`` is the share
+of the span's compressed bytes that the template saves as a zstandard raw
+dictionary.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,65 +46,154 @@ TEMPLATES = {
 }
 MARKERS = r"licen[cs]e|licen[cs]ing|copyright|rights reserved|creative commons|\bcc[ -](by|0)|\bcc0\b|public domain|\b[al]?gpl\b|unencumbered"
 _MARKER = re.compile(MARKERS, re.I)
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|\Z)\s*")
 _WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
 LEVEL = 19
 #: Confirmed with at most this share of a template's words missing.
 TOLERANCE = 0.2
 
 
-def blocks(text: str | None) -> list[tuple[int, int]]:
-    """Spans of neighbouring sentences that each hold a marker."""
-    out: list[tuple[int, int]] = []
-    if not text or not _MARKER.search(text):
+class Template:
+    def __init__(self, name: str, text: str, codes: dict[str, int]) -> None:
+        self.name, self.words = name, [w.lower() for w in _WORD.findall(text)]
+        self.codes = [codes.setdefault(w, len(codes)) for w in self.words]
+        self.counts = Counter(self.codes)
+        self.most = int(TOLERANCE * len(self.words) + 1e-9)
+        self.given = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+    def possible(self, counts: Counter) -> bool:
+        """Whether enough of the template's words occur at all."""
+        return sum(n - min(n, counts[w]) for w, n in self.counts.items()) <= self.most
+
+    def ends(self, codes: np.ndarray) -> np.ndarray:
+        """For each end of a span: differing words, missing ones and the latest start of the closest one, in one number.
+
+        A closest span differs in no more words than the template has, so it is at
+        most twice as long; longer texts are aligned in overlapping parts.
+        """
+        size = len(self.words)
+        out = np.full(len(codes) + 1, size * (DIFFERS + MISSING) + START)
+        for first in range(0, len(codes) + 1, PART):
+            begin = max(0, first - 2 * size)
+            part = codes[begin : first + PART - 1]
+            if self.possible(Counter(part[part >= 0].tolist())):
+                out[first : first + PART] = self._align(part, begin)[first - begin :]
         return out
-    for m in _SENTENCE.finditer(text):
-        if _MARKER.search(m.group()):
-            begin, end = m.start(), m.start() + len(m.group().rstrip())
-            if out and not text[out[-1][1] : begin].strip():
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((begin, end))
-    return out
+
+    def _align(self, codes: np.ndarray, begin: int) -> np.ndarray:
+        row = (START - begin - np.arange(len(codes) + 1)).astype(np.int64)
+        across = np.arange(len(codes) + 1) * DIFFERS
+        for code in self.codes:
+            below = row + DIFFERS + MISSING
+            np.minimum(below[1:], np.where(codes == code, row[:-1], row[:-1] + DIFFERS + MISSING), out=below[1:])
+            row = np.minimum.accumulate(below - across) + across
+        return row
+
+
+#: Parts of the number that an alignment minimises: words that differ, words missing, START less the start.
+DIFFERS, MISSING, START = 1 << 47, 1 << 32, (1 << 32) - 1
+#: Words of a text that are aligned at a time.
+PART = 8192
 
 
 class Matcher:
     def __init__(self, templates: dict[str, str]) -> None:
-        self.templates = {name: [w.lower() for w in _WORD.findall(text)] for name, text in templates.items()}
+        self.codes: dict[str, int] = {}
+        self.templates = [Template(name, text, self.codes) for name, text in sorted(templates.items())]
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
-        kind = zstandard.DICT_TYPE_RAWCONTENT
-        self.given = {
-            name: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=kind))
-            for name, text in templates.items()
-        }
-        self.judge = lru_cache(10_000)(self._judge)
-
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Share of the block's compressed size that each template saves, best first, ties by name."""
-        raw = block.lower().encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(raw))
-        saved = ((1 - len(c.compress(raw)) / size, name) for name, c in self.given.items())
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
-
-    def _judge(self, block: str):
-        """Name, share saved, missing and added words of the confirmed template; None if none is."""
-        words = [w.lower() for w in _WORD.findall(block)]
-        close = []
-        for place, (saved, name) in enumerate(self.ranked(block)):
-            missing, added = differences(self.templates[name], words)
-            if len(missing) <= TOLERANCE * len(self.templates[name]):
-                close.append((len(missing) + len(added), place, name, saved, missing, added))
-        return min(close)[2:] if close else None
+        self.saved = lru_cache(10_000)(self._saved)
+
+    def _saved(self, place: int, span: str) -> float:
+        """Share of the span's compressed size that the template saves, case aside."""
+        raw = span.lower().encode("utf-8", "surrogatepass")
+        given = zstandard.ZstdCompressor(level=LEVEL, dict_data=self.templates[place].given)
+        return 1 - len(given.compress(raw)) / len(self.alone.compress(raw))
+
+    def notices(self, text: str | None) -> list[tuple]:
+        """Span of characters, name, share saved, missing and added words of each notice, in order."""
+        if not text or not _MARKER.search(text):
+            return []
+        places = [m.span() for m in _WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in places]
+        codes = np.array([self.codes.get(w, -1) for w in words], np.int64)
+        out, open_parts = [], [(0, len(words))]
+        while open_parts:
+            low, high = open_parts.pop()
+            found = self._best(text, places, codes, low, high)
+            if not found:
+                continue
+            place, spans = found
+            template = self.templates[place]
+            for begin, end in spans:
+                first, last = places[begin][0], places[end - 1][1]
+                saved = self.saved(place, text[first:last])
+                last += text[last : last + 1] in (".", "!", "?", ";", ":")
+                out.append((first, last, template.name, saved, *differences(template.words, words[begin:end])))
+            open_parts += zip([low, *(end for _, end in spans)], [*(begin for begin, _ in spans), high], strict=True)
+        return sorted(out)
+
+    def _best(self, text: str, places: list[tuple[int, int]], codes: np.ndarray, low: int, high: int):
+        """The template with the most words in common within the words from low to high, and its closest spans."""
+        part, best = codes[low:high], None
+        counts = Counter(part[part >= 0].tolist())
+        for place, template in enumerate(self.templates):
+            if not template.possible(counts):
+                continue
+            size, row = len(template.words), template.ends(part)
+            differing, missing = row // DIFFERS, row % DIFFERS // MISSING
+            start = START - row % MISSING
+            ends = np.flatnonzero(missing <= template.most)
+            for least in np.unique(differing[ends]).tolist():
+                # Of a start's ends the last: a replaced last word belongs to the span.
+                last = {int(start[end]): int(end) for end in ends[differing[ends] == least]}
+                spans, until = [], 0
+                for begin, end in sorted(last.items(), key=lambda x: x[1]):
+                    first, stop = places[low + begin][0], places[low + end - 1][1]
+                    if begin >= until and end > begin and _MARKER.search(text[first:stop]):
+                        added = end - begin - (size - int(missing[end]))
+                        rank = size - 2 * int(missing[end]) - added
+                        spans.append((rank, low + begin, low + end))
+                        until = end
+                if spans:
+                    rank = max(spans)[0]
+                    spans = [x[1:] for x in spans if x[0] == rank]
+                    if best is None or rank >= best[0]:
+                        first, stop = places[spans[0][0]][0], places[spans[0][1] - 1][1]
+                        key = (rank, -least, self.saved(place, text[first:stop]))
+                        if best is None or key > best[:3]:
+                            best = (*key, place, spans)
+                    break
+        return best and best[3:]
 
 
 def differences(template: list[str], words: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the block lacks, and words that it adds, in order."""
+    """Words of the template that the span lacks, and words that it adds, in order, of the fewest differing words."""
+    told = {w: k for k, w in enumerate(dict.fromkeys(template))}
+    codes = np.array([told.get(w, -1) for w in words], np.int64)
+    across = np.arange(len(words) + 1) * DIFFERS
+    row, steps = across, []
+    for word in template:
+        same = codes == told[word]
+        below = row + DIFFERS + MISSING
+        step = np.zeros(len(row), np.uint8)
+        beside = np.where(same, row[:-1], row[:-1] + DIFFERS + MISSING)
+        step[1:][beside <= below[1:]] = 1
+        np.minimum(below[1:], beside, out=below[1:])
+        row = np.minimum.accumulate(below - across) + across
+        step[row < below] = 2
+        steps.append(step)
     missing, added = [], []
-    for what, a, b, c, d in SequenceMatcher(None, template, words, autojunk=False).get_opcodes():
-        if what != "equal":
-            missing += template[a:b]
-            added += words[c:d]
-    return missing, added
+    i, j = len(template), len(words)
+    while i or j:
+        step = steps[i - 1][j] if i else 2
+        if step == 1 and template[i - 1] == words[j - 1]:
+            pass
+        else:
+            if step != 2:
+                missing.append(template[i - 1])
+            if step:
+                added.append(words[j - 1])
+        i, j = i - (step != 2), j - (step > 0)
+    return missing[::-1], added[::-1]
 
 
 ROWS = "doc_id long, first long, last long, template string, saved double, missing array<string>, added array<string>"
@@ -110,10 +202,11 @@ ROWS = "doc_id long, first long, last long, template string, saved double, missi
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row for each confirmed notice: ``doc_id``, span of characters, ``template``, ``saved``, ``missing``, ``added``.
 
-    Whole texts are searched; sentences without a marker give nothing, nor does a
-    null or empty text. Equal rows give equal notices each; of templates that
-    differ by as many words the one that saves more wins, then the first by name.
-    An empty table gives no rows; other columns are not looked at.
+    Whole texts are searched, across sentences and lines; a span without a marker
+    is none, nor does a null or empty text give any. Spans of a text do not
+    overlap. Equal rows give equal notices each; of templates with as many words
+    in common the one that saves more wins, then the first by name. An empty table
+    gives no rows; other columns are not looked at.
     """
     templates = TEMPLATES if templates is None else templates
 
@@ -122,9 +215,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         for batch in portions(batches, "text"):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for begin, end in blocks(text):
-                    if found := matcher.judge(text[begin:end]):
-                        rows.append((doc_id, begin, end, *found))
+                rows += ((doc_id, *found) for found in matcher.notices(text))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
                 names = ["doc_id", "first", "last", "template", "saved", "missing", "added"]

@@ -79,6 +79,30 @@ def test_licences_compare_every_template(spark):
         assert got[i].template == cases[i] == brute[1] and len(got[i].missing) + len(got[i].added) == brute[0]
 
 
+def test_licences_beside_each_other(spark):
+    both = "Licensed under CC BY 4.0. All rights reserved."
+    texts = [
+        both,
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0.",
+        "Released under the MIT License.\nAll rights reserved.\n\nReleased under the MIT License.",
+        "A licence. " + "All rights reserved.\n" * 900,
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "licensed under a CC licence by 4.0",
+        "x " * 8189 + "Released under the MIT License. " + "y " * 90_000 + "All rights reserved.",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(licenses.scan(frame).collect(), key=lambda r: (r.doc_id, r.first)):
+        got.setdefault(r.doc_id, []).append((texts[r.doc_id][r.first : r.last], r.template, r.missing, r.added))
+    assert got[0] == [(both[:25], "cc-by-4.0", [], []), (both[26:], "all-rights-reserved", [], [])]
+    assert [x[1] for x in got[1]] == ["mit", "apache-2.0"] and all(x[2:] == ([], []) for x in got[1])
+    assert [x[1] for x in got[2]] == ["mit", "all-rights-reserved", "mit"]
+    assert [x[1] for x in got[3]] == ["all-rights-reserved"] * 900
+    assert got[4] == [(texts[4], "mpl-2.0", [], [])]
+    assert got[5] == [(texts[5], "cc-by-4.0", [], ["a", "licence"])]
+    assert [x[:2] for x in got[6]] == [("Released under the MIT License.", "mit"), ("All rights reserved.", "all-rights-reserved")]
+
+
 def test_language(spark):
     got = queries.QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actiloom.llm.frames import pick, portions
+from actiloom.llm.licence_forms import forms
 
-#: Short notices by which works name their licence.
+#: Short notices by which works name their licence; ``licence_forms`` has longer ones.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "mit": "Released under the MIT License.",
@@ -44,7 +45,7 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
-MARKERS = r"licen[cs]e|licen[cs]ing|copyright|rights reserved|creative commons|\bcc[ -](by|0)|\bcc0\b|public domain|\b[al]?gpl\b|unencumbered"
+MARKERS = r"licen[cs]e|licen[cs]ing|copyright|rights reserved|creative ?commons|\bcc[ -](by|0)|\bcc0\b|public domain|\b[al]?gpl(v\d)?\b|unencumbered"
 _MARKER = re.compile(MARKERS, re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
 LEVEL = 19
@@ -53,8 +54,9 @@ TOLERANCE = 0.2
 
 
 class Template:
-    def __init__(self, name: str, text: str, codes: dict[str, int]) -> None:
+    def __init__(self, name: str, text: str, codes: dict[str, int], needed: str = "") -> None:
         self.name, self.words = name, [w.lower() for w in _WORD.findall(text)]
+        self.needed = {codes.setdefault(w, len(codes)) for w in needed.split() if w in self.words}
         self.codes = [codes.setdefault(w, len(codes)) for w in self.words]
         self.counts = Counter(self.codes)
         self.most = int(TOLERANCE * len(self.words) + 1e-9)
@@ -62,6 +64,8 @@ class Template:
 
     def possible(self, counts: Counter) -> bool:
         """Whether enough of the template's words occur at all."""
+        if any(not counts[w] for w in self.needed):
+            return False
         return sum(n - min(n, counts[w]) for w, n in self.counts.items()) <= self.most
 
     def ends(self, codes: np.ndarray) -> np.ndarray:
@@ -96,9 +100,11 @@ PART = 8192
 
 
 class Matcher:
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str] | None = None) -> None:
         self.codes: dict[str, int] = {}
-        self.templates = [Template(name, text, self.codes) for name, text in sorted(templates.items())]
+        given = [(name, text, "") for name, text in (TEMPLATES if templates is None else templates).items()]
+        given += forms() if templates is None else []
+        self.templates = [Template(name, text, self.codes, needed) for name, text, needed in sorted(given)]
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         self.saved = lru_cache(10_000)(self._saved)
 
@@ -148,7 +154,7 @@ class Matcher:
                 spans, until = [], 0
                 for begin, end in sorted(last.items(), key=lambda x: x[1]):
                     first, stop = places[low + begin][0], places[low + end - 1][1]
-                    if begin >= until and end > begin and _MARKER.search(text[first:stop]):
+                    if begin >= until and end > begin and template.needed <= set(part[begin:end].tolist()) and _MARKER.search(text[first:stop]):
                         added = end - begin - (size - int(missing[end]))
                         rank = size - 2 * int(missing[end]) - added
                         spans.append((rank, low + begin, low + end))
@@ -206,9 +212,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     is none, nor does a null or empty text give any. Spans of a text do not
     overlap. Equal rows give equal notices each; of templates with as many words
     in common the one that saves more wins, then the first by name. An empty table
-    gives no rows; other columns are not looked at.
+    gives no rows; other columns are not looked at. Unless templates are given,
+    the short notices and the forms of ``licence_forms`` are searched for.
     """
-    templates = TEMPLATES if templates is None else templates
 
     def search(batches):
         matcher = Matcher(templates)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from actiloom.llm import language, licenses, quality, queries, sharding, topk, urls
+from actiloom.llm import language, licence_forms, licenses, quality, queries, sharding, topk, urls
 
 SF = "/root/testdata/sf0.001"
 RULES = [urls.parse_rule(line) for line in queries.URL_RULES]
@@ -92,7 +92,7 @@ def test_licences_beside_each_other(spark):
     ]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
-    for r in sorted(licenses.scan(frame).collect(), key=lambda r: (r.doc_id, r.first)):
+    for r in sorted(licenses.scan(frame, licenses.TEMPLATES).collect(), key=lambda r: (r.doc_id, r.first)):
         got.setdefault(r.doc_id, []).append((texts[r.doc_id][r.first : r.last], r.template, r.missing, r.added))
     assert got[0] == [(both[:25], "cc-by-4.0", [], []), (both[26:], "all-rights-reserved", [], [])]
     assert [x[1] for x in got[1]] == ["mit", "apache-2.0"] and all(x[2:] == ([], []) for x in got[1])
@@ -103,6 +103,65 @@ def test_licences_beside_each_other(spark):
     assert [x[:2] for x in got[6]] == [("Released under the MIT License.", "mit"), ("All rights reserved.", "all-rights-reserved")]
 
 
+def brute_differences(template, words):
+    """The fewest differing words and, of those spans, the fewest missing words, over all spans."""
+    row = [(0, 0)] * (len(words) + 1)
+    for t in template:
+        below = [(row[0][0] + 1, row[0][1] + 1)]
+        for j, w in enumerate(words):
+            (a, b), (c, d) = row[j], row[j + 1]
+            below.append(min((a, b) if t == w else (a + 1, b + 1), (c + 1, d + 1), (below[j][0] + 1, below[j][1])))
+        row = below
+    return row
+
+
+def test_licence_forms(spark):
+    wrapped = licence_forms.TEXTS["apache-2.0"][0].replace("Version 2.0", "\n * Version 2.0")
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + licence_forms.TEXTS["mit"][0].replace("conditions: ", "conditions:\n\n").replace(". THE", ".\n\nTHE")
+    said = {
+        "This project is licensed under the MIT license.": "mit",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "# spdx-license-identifier: GPL-3.0-or-later": "gpl-3.0",
+        "SPDX-License-Identifier: LGPL-3.0-only": "lgpl-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+        "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "cc-by-nc-nd-4.0",
+        "Licensed under the Apache License,\nVersion 2.0.": "apache-2.0",
+        "This library is distributed under the GNU Lesser General Public License v3": "lgpl-3.0",
+        wrapped: "apache-2.0",
+        mit: "mit",
+        licence_forms.TEXTS["gpl-3.0"][0].replace(" either", "\n# either"): "gpl-3.0",
+        licence_forms.TEXTS["agpl-3.0"][0]: "agpl-3.0",
+        licence_forms.TEXTS["bsd-2-clause"][0]: "bsd-2-clause",
+        licence_forms.TEXTS["bsd-3-clause"][0].upper(): "bsd-3-clause",
+        licence_forms.TEXTS["gpl-2.0"][2].upper(): "gpl-2.0",
+        "This project is licensed under the ISC license.": None,
+        "SPDX-License-Identifier: CC-BY-3.0": None,
+    }
+    for licence, text, _ in licence_forms.forms():
+        said |= {x: licence for x in (text, text.lower(), text.upper(), text.replace(" ", "\n"))}
+    texts = list(said)
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, text in enumerate(texts):
+        assert [r.template for r in got.get(i, [])] == ([said[text]] if said[text] else []), text
+    # No template has a closer span or more words in common than the one reported.
+    matcher = licenses.Matcher()
+    random.seed(4)
+    pool = [*list(said)[:8], "some other words", "all rights", *(random.choice(matcher.templates).words and " ".join(random.choice(matcher.templates).words[:12]) for _ in range(8))]
+    for _ in range(25):
+        text = " ".join(random.sample(pool, 3)) + " copyright"
+        words = [w.lower() for w in licenses._WORD.findall(text)]
+        codes = np.array([matcher.codes.get(w, -1) for w in words])
+        for t in random.sample(matcher.templates, 12):
+            if t.possible(licenses.Counter(codes.tolist())):
+                row = t.ends(codes)
+                assert [(int(x) // licenses.DIFFERS, int(x) % licenses.DIFFERS // licenses.MISSING) for x in row] == brute_differences(t.words, words)
+        for first, last, name, _, missing, added in matcher.notices(text):
+            span = [w.lower() for w in licenses._WORD.findall(text[first:last])]
+            assert any(len(t.words) - len(missing) == len(span) - len(added) for t in matcher.templates if t.name == name)
+
+
 def test_language(spark):
     got = queries.QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -27,15 +27,21 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 over five-word shingles, the document with the smallest id stays.
+    """Of each group linked at 0.8 over five-word shingles, one row stays.
 
-    Rows that share that id all stay; so do rows without an id whose text no
-    document with an id has.
+    It is the one with the smallest id, a null id being the largest; of equal ids
+    the first row as they are numbered here. Each row counts for itself, so
+    different texts under one id are no copies. Rows without a word all stay.
     """
-    found = jaccard.jaccard_components(docs, width=5, percent=80)
-    rest = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped")).distinct()
-    doc_id = docs["doc_id"].cast("long")
-    return docs.join(rest, doc_id == rest["dropped"], "left_anti")
+    nth = "nth"
+    while nth in {c.lower() for c in docs.columns}:
+        nth += "_"
+    rows = written(docs.withColumn(nth, F.monotonically_increasing_id()), "rows")
+    found = jaccard.jaccard_components(rows.select(F.col(nth).alias("doc_id"), "text"), width=5, percent=80)
+    ids = rows.select(F.col(nth).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
+    least = found.join(ids, found["doc_id"] == ids["row"]).groupBy("component_id").agg(F.min(order).alias("least"))
+    return rows.join(least.select(F.col("least.row").alias(nth)), nth, "left_semi").drop(nth)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,23 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept["decontamination"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    def text(seed, changed=0):
+        return " ".join(f"w{seed * 7919 + k}" for k in range(200 - changed)) + " changed" * changed
+
+    rows = [(None, text(1)), (9, text(1)), (8, text(1, 1)), (9, text(1))]
+    rows += [(None, text(2))] * 3000 + [(None, text(2, 1))] * 5
+    rows += [(4, text(3))] * 2000 + [(4, text(4)), (5, text(4)), (3, text(3)), (3, text(3))]
+    rows += [(None, text(5)), (7, text(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("nth", F.lit("n"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert len(kept) == 6
+    assert {(8, text(1, 1)), (4, text(4)), (3, text(3)), (None, text(5)), (7, text(6))} < set(kept)
+    assert ({(None, text(2)), (None, text(2, 1))} & set(kept)) and not {(9, text(1)), (5, text(4))} & set(kept)
+
+
 def test_empty(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -20,6 +20,8 @@ WORD_BITS = 60
 #: Bits by which a round of splitting looks ahead.
 ROUND_BITS = 10
 WORDS = ["h0", "h1", "h2"]
+#: What is said of a row's shard.
+PLACE = ["shard", "depth", "shard_bytes", "shard_rows"]
 
 
 def _bits(digest: Column) -> Column:
@@ -35,17 +37,23 @@ def shards(docs: DataFrame, limit: int) -> DataFrame:
     empty string. Rows count each for itself. An empty table gives no rows; other
     columns are not looked at.
     """
+    rows = pick(docs, "doc_id", "text").withColumn("nth", F.monotonically_increasing_id())
+    return _placed(rows, limit).select("doc_id", "n_bytes", *PLACE)
+
+
+def _placed(docs: DataFrame, limit: int, *kept: str) -> DataFrame:
+    """The columns of ``shards`` and those of ``kept``; docs: ``doc_id``, ``text`` and ``nth``, each row's number."""
     if limit < 1:
         raise ValueError("the limit must be positive")
-    rows = pick(docs, "doc_id", "text").select(
+    rows = docs.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         _bits(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h0"),
         _bits(F.md5(F.coalesce("text", F.lit("")))).alias("h1"),
-        F.monotonically_increasing_id().alias("nth"),
+        "nth",
     )
     rows = written(rows, "rows")
-    rows = rows.withColumn("h2", _bits(F.md5(F.col("nth").cast("string")))).drop("nth")
+    rows = rows.withColumn("h2", _bits(F.md5(F.col("nth").cast("string")))).select("doc_id", "n_bytes", *WORDS, *kept)
     # The buckets that are not split further, and what is still too large.
     done, prefix = [], F.lit("")
     open_rows = rows.withColumn("prefix", prefix)
@@ -74,13 +82,27 @@ def shards(docs: DataFrame, limit: int) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows")
+    return out.withColumn("depth", F.length("shard"))
 
 
 def write_shards(docs: DataFrame, limit: int, path: str) -> DataFrame:
-    """Writes each shard's documents to a folder of its own; returns the directory."""
-    placed = shards(docs, limit)
-    directory = placed.select("shard", "depth", "shard_bytes", "shard_rows").distinct()
-    where = placed.select("doc_id", "shard").distinct()
-    docs.join(where, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
-    return directory
+    """Writes each shard's rows to a folder of its own; returns the directory.
+
+    Every row of ``docs`` is written once, with all its columns. The folders are
+    named by the column ``shard``, with underscores appended if ``docs`` has it.
+    """
+    nth, shard = _free(docs, "nth"), _free(docs, "shard")
+    rows = written(docs.withColumn(nth, F.monotonically_increasing_id()), "numbered")
+    placed = _placed(rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(nth).alias("nth")), limit, "nth")
+    placed = written(placed.select("nth", *PLACE), "placed")
+    where = placed.select(F.col("nth").alias(nth), F.col("shard").alias(shard))
+    rows.join(where, nth).drop(nth).repartition(shard).write.partitionBy(shard).parquet(path)
+    return placed.select(*PLACE).distinct()
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -220,6 +220,24 @@ def test_sharding(spark):
     assert sharding.shards(docs.limit(0), 100).count() == 0
 
 
+def test_written_shards(spark, tmp_path):
+    rows = [(i, "x" * (i % 150), "s") for i in range(300)] + [(7, f"same {k % 3}", None) for k in range(200)]
+    rows += [(None, "é" * (k % 40), str(k)) for k in range(150)] + [(None, None, "n"), (9, "y" * 500, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").withColumn("nth", F.lit(1))
+    directory = sharding.write_shards(docs, 100, str(tmp_path / "out")).collect()
+    schema = "doc_id long, text string, shard string, nth int, shard_ string"
+    back = spark.read.schema(schema).parquet(str(tmp_path / "out"))
+    held = {}
+    for r in back.collect():
+        held.setdefault(r.shard_, []).append(len((r.text or "").encode()))
+    assert sorted(map(str, rows)) == sorted(str((r.doc_id, r.text, r.shard)) for r in back.collect())
+    assert all(sum(x) <= 100 or len(x) == 1 for x in held.values())
+    assert {r.shard: (r.shard_bytes, r.shard_rows) for r in directory} == {k: (sum(x), len(x)) for k, x in held.items()}
+    assert len(directory) == len(held)
+    sharding.write_shards(docs.drop("shard"), 10**9, str(tmp_path / "one"))
+    assert spark.read.parquet(str(tmp_path / "one")).count() == len(rows)
+
+
 def brute_top(rows, k, every):
     valid = [(i, [np.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     size, out = max((len(v) for _, v in valid), default=0), set()

@@ -215,17 +215,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     members = written(entries.join(shared.select("entry"), "entry"), "members")
     whole = signed.filter(F.size("entries") > 0).join(first, "doc_id", "left_semi")
     whole = whole.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
-    reached = _linked(members, whole, docs, width, percent)
+    # An id with several texts links their classes, whichever row names them.
+    named = signed.filter("n_shingles > 0 and doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x < y").select("doc_id")
+    shown = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes, "digest")
+    shown = shown.select(F.col("doc_id").alias("node"), F.col("node").alias("component")).filter("node <> component")
+    reached = _linked(members, whole, docs, width, percent, shown)
     named = classes.join(reached, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return signed.join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-def _linked(members: DataFrame, whole: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``node``, ``component`` of all that have a link; members: the nodes of each entry that several have."""
+def _linked(members: DataFrame, whole: DataFrame, docs: DataFrame, width: int, percent: int, reached: DataFrame) -> DataFrame:
+    """``node``, ``component`` of all that have a link, with those of ``reached``; members: the nodes of each entry that several have."""
     spark = members.sparkSession
-    reached = spark.createDataFrame([], "node long, component long")
     tested = spark.createDataFrame([], "a long, b long")
     open_rows = members.withColumn("component", F.col("doc"))
     for star in range(STARS + 1):

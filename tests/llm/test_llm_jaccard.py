@@ -99,3 +99,10 @@ def test_components(spark):
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(i, 1) for i in range(1, 61)} | {(i, 100) for i in (100, 150, 200)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_of_one_id_link(spark):
+    x, y = "a b c d e f g h", "q r s t u v w z"
+    rows = [(3, x), (5, x), (5, y), (12, y), (20, "k l m n o p")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (12, 3), (20, 20)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiloom.llm import decontam, jaccard, language, licenses, packing, quality, sharding, tokenfile, topk, urls
+from actiloom.llm import bytepiece, decontam, jaccard, language, licenses, merkle, packing, quality, sharding, tokenfile, topk, urls
 from actiloom.llm.encoder import DROPPED, LEADING
 from actiloom.llm.frames import table
 
@@ -145,3 +145,82 @@ WITH v AS (
 )
 SELECT * FROM r WHERE rank <= 5
 """
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    ids = bytepiece.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    both = bytepiece.decode(ids, path, public_tokenizers.PATTERN)
+    n_tokens = F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens")
+    return both.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.col("n_chars").cast("long")
+    made = merkle.manifest(docs, later={"n_chars": F.when(altered, F.try_add(n_chars, F.lit(1))).otherwise(n_chars)})
+    verified = F.col("folded_root") == F.col("root")
+    proof = F.sha2("others", 256).alias("proof_sha256")
+    return merkle.proofs(made).select("doc_id", "leaf", "subroot", "root", proof, "folded_root", verified.alias("verified"))
+
+
+ORACLES["op11_merkle_manifest"] = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, n_chars, text,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda h, b: list_reduce(list_prepend(xor(h, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM documents
+), p AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS later_chars
+  FROM d
+), l AS (
+  SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(later_chars::VARCHAR) || ':' || later_chars, '-') || tail) AS later
+  FROM p
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+    coalesce('=' || lang, '') AS tree
+  FROM l
+), t AS (
+  SELECT tree, 0 AS level, idx, leaf AS h, n FROM r
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY tree, level, idx // 2
+), s AS (
+  SELECT tree, h AS subroot, level AS levels, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS level, idx, subroot AS h, n FROM s
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY level, idx // 2
+), steps AS (
+  SELECT r.rid, t.level AS step, t.idx < r.idx >> t.level AS before, o.h AS other
+  FROM r JOIN t ON t.tree = r.tree AND t.idx = r.idx >> t.level AND t.n > 1
+  LEFT JOIN t AS o ON o.tree = t.tree AND o.level = t.level AND o.idx = xor(t.idx, 1)
+  UNION ALL
+  SELECT r.rid, s.levels + u.level, false, o.h
+  FROM r JOIN s ON s.tree = r.tree JOIN u ON u.idx = s.idx >> u.level AND u.n > 1
+  LEFT JOIN u AS o ON o.level = u.level AND o.idx = xor(u.idx, 1)
+), w AS (
+  SELECT steps.rid, step, other, CASE WHEN step < s.levels THEN (r.idx >> step) % 2 = 1 ELSE (s.idx >> (step - s.levels)) % 2 = 1 END AS before
+  FROM steps JOIN r ON r.rid = steps.rid JOIN s ON s.tree = r.tree
+), f AS (
+  SELECT rid, 0 AS step, later AS h FROM r
+  UNION ALL
+  SELECT f.rid, f.step + 1, sha256(CASE WHEN w.other IS NULL THEN f.h WHEN before THEN w.other || f.h ELSE f.h || w.other END)
+  FROM f JOIN w ON w.rid = f.rid AND w.step = f.step
+), proof AS (
+  SELECT r.rid, sha256(coalesce(string_agg(other, '' ORDER BY step), '')) AS proof_sha256 FROM r LEFT JOIN w ON w.rid = r.rid GROUP BY r.rid
+), folded AS (
+  SELECT rid, arg_max(h, step) AS folded_root FROM f GROUP BY rid
+)
+SELECT doc_id, leaf, subroot, root.h AS root, proof_sha256, folded_root, folded_root = root.h AS verified
+FROM r JOIN s ON s.tree = r.tree JOIN proof ON proof.rid = r.rid JOIN folded ON folded.rid = r.rid, (SELECT h FROM u WHERE n = 1) AS root
+"""

@@ -144,7 +144,8 @@ def manifest(
         leaf_digest(first).alias("digest"),
         (leaf_digest(second) if later else F.lit(None).cast("binary")).alias("later"),
     )
-    leaves = _ranked(rows, F.col("doc_id").asc_nulls_first(), F.col("digest"))
+    # Sorting by ranges reads its input twice: of the digests, not of the texts.
+    leaves = _ranked(written(rows, "digests"), F.col("doc_id").asc_nulls_first(), F.col("digest"))
     leaves = leaves.withColumn("later", F.coalesce("later", "digest"))
     tiers = _forest(leaves, height)
     roots = _roots(tiers, height)

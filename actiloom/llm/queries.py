@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiloom.llm import bytepiece, decontam, jaccard, language, licenses, merkle, packing, quality, sharding, tokenfile, topk, urls
+from actiloom.llm import bytepiece, decontam, jaccard, language, lexical, licenses, merkle, packing, quality, sharding, tokenfile, topk, urls
 from actiloom.llm.encoder import DROPPED, LEADING
 from actiloom.llm.frames import table
 
@@ -224,3 +224,35 @@ WITH RECURSIVE d AS (
 SELECT doc_id, leaf, subroot, root.h AS root, proof_sha256, folded_root, folded_root = root.h AS verified
 FROM r JOIN s ON s.tree = r.tree JOIN proof ON proof.rid = r.rid JOIN folded ON folded.rid = r.rid, (SELECT h FROM u WHERE n = 1) AS root
 """
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH r AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), q AS (
+  SELECT row_number() OVER () AS nth, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark
+), w AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(t, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM r
+), d AS (
+  SELECT rid, doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY rid)::BIGINT AS n FROM w GROUP BY rid, doc_id, term
+), s AS (
+  SELECT count(DISTINCT rid) AS big_n, count(*) AS big_l FROM w
+), f AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM d, s GROUP BY term, big_n
+), i AS (
+  SELECT nth, item_id, unnest(regexp_extract_all(t, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM q
+), c AS (
+  SELECT nth, item_id, term, count(*) AS repeats FROM i GROUP BY nth, item_id, term
+), a AS (
+  SELECT nth, item_id, rid, doc_id, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+  FROM c JOIN f USING (term) JOIN d USING (term), s GROUP BY nth, item_id, rid, doc_id
+), k AS (
+  SELECT item_id, row_number() OVER (PARTITION BY nth ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM a WHERE score > 0
+)
+SELECT * FROM k WHERE rank <= 10
+"""

@@ -13,14 +13,15 @@ than d pieces at least one is equal (the pigeonhole).
   a piece's content alone. The fullest piece that two linked sets share has at
   most d others before it in either, so it is entered by both; nearly empty
   pieces, which anything could share, are not entered.
-* Equal sets are one node: they link whatever they enter.
-* Inside a piece, sets are verified against one of them, not against each other:
-  each set against the one it meets so in most of its pieces. What is in one
-  component needs no further look.
-* In the end all sets of different components that share a piece are compared by
-  whole sketches, in blocks inside the tasks. Only pairs whose Hamming distance
-  allows a link leave a task, and are verified from the texts. No link between
-  components is lost, and a group of copies costs a few rows per copy.
+* Equal sets are one node: only the first of them is entered.
+* The pieces in which several sets meet are gathered under the first set they
+  hold, so that a set comes to a meeting once, however many pieces it shares there.
+* A first meeting compares whole sketches and lets those sets go on that have some
+  other within the Hamming distance of a link. A second one, of these alone,
+  compares the sets themselves. It holds a union-find: two sets already connected
+  are not compared, and a meeting tells no more links than connect its sets. A
+  group of copies so costs a few rows per copy, and no link between components is lost.
+* A meeting with more bytes than a block is dealt to blocks; every two of them meet.
 """
 
 from __future__ import annotations
@@ -46,10 +47,10 @@ BAND_RATIO = 2.0
 PIECE_BITS = 16
 #: Pieces of a band over what its largest sets must enter.
 SPARE = 1.25
-#: Rounds of verifying sets against hubs before the comparison of whole sketches.
-STARS = 2
-#: Sets of a piece that one block holds.
-BLOCK = 16_384
+#: Bytes of sketches or sets that one block of a meeting holds.
+BLOCK = 16 << 20
+#: Bits, as a power of two, of the map that says which sets are still wanted; more bits only save work.
+WANTED = 23
 
 
 class Sketch:
@@ -133,58 +134,47 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield windows(words.hashes[a:b], int(b - a)) if b > a else np.zeros(0, U)
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row its set's size, a digest of the set, its entries and its whole sketch."""
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """Per row its set's size, a digest of the set, its whole sketch and the sorted set itself."""
 
     def sign(batches):
         release()
-        sketch = Sketch(percent)
         for batch in portions(batches, "text"):
-            sizes, digests, entries, sketches = [], [], [], []
+            sizes, digests, sketches, sets = [], [], [], []
             for shingles in shingle_sets(batch["text"], width):
                 sizes.append(len(shingles))
-                digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-                entries.append(sketch.entries(shingles).view(np.int64))
+                sets.append(shingles.tobytes())
+                digests.append(hashlib.blake2b(sets[-1], digest_size=16).digest() if len(shingles) else None)
                 sketches.append(whole_sketch(shingles))
             yield pa.record_batch(
                 {
                     "doc_id": batch["doc_id"],
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "digest": pa.array(digests, pa.binary()),
-                    "entries": _lists(entries),
                     "sketch": pa.array(sketches, pa.binary()),
+                    "shingles": pa.array(sets, pa.binary()),
                 }
             )
 
-    return pick(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, entries array<long>, sketch binary")
+    return pick(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, sketch binary, shingles binary")
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+def entries_of(signed: DataFrame, percent: int) -> DataFrame:
+    """The entries of all sets, (``entry``, ``row``); of equal sets in one task the first alone enters."""
 
-
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity, from the whole texts."""
-    docs = pick(docs, "doc_id", "text")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-
-    def compare(batches):
+    def enter(batches):
         release()
-        for batch in portions(batches, "text_a"):
-            sets = zip(shingle_sets(batch["text_a"], width), shingle_sets(batch["text_b"], width), strict=True)
-            close = []
-            for x, y in sets:
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                close.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+        sketch, met = Sketch(percent), set()
+        for batch in batches:
+            keys, rows = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for row, digest, shingles in zip(*(batch[c].to_pylist() for c in ("row", "digest", "shingles")), strict=True):
+                if digest not in met:
+                    met.add(digest)
+                    keys.append(sketch.entries(np.frombuffer(shingles, U)))
+                    rows.append(np.full(len(keys[-1]), row))
+            yield pa.record_batch({"entry": pa.array(np.concatenate(keys).view(np.int64)), "row": pa.array(np.concatenate(rows))})
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct()
+    return signed.filter("n_shingles > 0").select("row", "digest", "shingles").mapInArrow(enter, "entry long, row long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -194,136 +184,170 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     similarity of at least ``percent`` in a hundred; ``component_id`` is the
     smallest doc_id that links reach, the document's own included. A null or
     wordless text has no shingles and is alone. Rows that share a doc_id are one
-    document, linked by each of its texts. A null doc_id takes the component of
-    equal texts with an id, else null. An empty table gives no rows. Other
-    columns are not looked at.
+    document, linked by each of its texts. A row without a doc_id links like any
+    other; its component is null where links reach no id. An empty table gives
+    no rows. Other columns are not looked at.
     """
-    signed = written(signatures(docs, width, percent), "signatures")
-    classes = written(
-        signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")).filter("node is not null"), "classes"
-    )
-    first = classes.select(F.col("node").alias("doc_id")).distinct()
-    # One row of each set and id: copies enter nothing.
-    entries = (
-        signed.filter(F.size("entries") > 0)
-        .join(first, "doc_id", "left_semi")
-        .select(F.explode("entries").alias("entry"), F.col("doc_id").alias("doc"))
-    )
+    # Rows are told apart by a number from here on, so that no id gathers many texts.
+    signed = written(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min(order).alias("first"))
+    classes = written(classes.select("digest", F.col("first.row").alias("row"), F.col("first.doc_id").alias("node")), "classes")
     # Both reads of this exchange share one shuffle.
-    entries = entries.repartition("entry")
-    shared = entries.groupBy("entry").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    members = written(entries.join(shared.select("entry"), "entry"), "members")
-    whole = signed.filter(F.size("entries") > 0).join(first, "doc_id", "left_semi")
-    whole = whole.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
+    entries = entries_of(signed, percent).repartition("entry")
+    shared = entries.groupBy("entry").agg(F.min("row").alias("hub"), F.max("row").alias("most")).filter("hub < most")
+    members = entries.join(shared.select("entry", "hub"), "entry").join(classes.select("row"), "row", "left_semi")
+    members = written(members.groupBy("hub", "row").agg(F.collect_list("entry").alias("entries")), "members")
+    sizes = signed.select("row", F.col("n_shingles").alias("n"))
+    # A sketch has up to half a byte for a shingle, a set eight bytes.
+    near = _met(members.join(sizes, "row"), signed.select("row", F.col("sketch").alias("data")), 1, percent, _hopeful)
+    near = written(near.distinct(), "near")
+    close = members.join(near, ["hub", "row"], "left_semi").join(sizes, "row")
+    links = _met(close, signed.select("row", F.col("shingles").alias("data")), 8, percent, _forest)
+    links = links.select(F.col("hub").alias("a"), F.col("row").alias("b"))
     # An id with several texts links their classes, whichever row names them.
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x < y").select("doc_id")
     shown = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes, "digest")
-    shown = shown.select(F.col("doc_id").alias("node"), F.col("node").alias("component")).filter("node <> component")
-    reached = _linked(members, whole, docs, width, percent, shown)
-    named = classes.join(reached, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return signed.join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
-
-
-def _linked(members: DataFrame, whole: DataFrame, docs: DataFrame, width: int, percent: int, reached: DataFrame) -> DataFrame:
-    """``node``, ``component`` of all that have a link, with those of ``reached``; members: the nodes of each entry that several have."""
-    spark = members.sparkSession
-    tested = spark.createDataFrame([], "a long, b long")
-    open_rows = members.withColumn("component", F.col("doc"))
-    for star in range(STARS + 1):
-        if star == STARS:
-            pairs = _near(open_rows, whole, percent)
-        else:
-            order = F.struct((F.xxhash64("doc", F.lit(star)) if star else F.col("doc")).alias("rank"), "doc", "component")
-            hubs = open_rows.groupBy("entry").agg(F.min(order).alias("hub"))
-            hubs = hubs.select("entry", F.col("hub.doc").alias("hub"), F.col("hub.component").alias("hub_component"))
-            near = open_rows.join(hubs, "entry").filter("component <> hub_component")
-            # Of its hubs, the one with which a set shares the most entries.
-            near = near.groupBy("doc", "hub").agg(F.count("*").alias("n"))
-            near = near.groupBy("doc").agg(F.max(F.struct("n", (-F.col("hub")).alias("least"))).alias("best"))
-            hub = -F.col("best.least")
-            pairs = near.select(F.least("doc", hub).alias("a"), F.greatest("doc", hub).alias("b"))
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = verified(pairs, docs, width, percent)
-        before = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        reached = written(components(links.unionAll(before)), "reached")
-        if star == STARS:
-            break
-        tested = tested.unionAll(pairs)
-        now = members if not star else open_rows.select("entry", "doc")
-        now = now.join(reached.withColumnRenamed("node", "doc"), "doc", "left")
-        now = now.withColumn("component", F.coalesce("component", "doc"))
-        several = now.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-        open_rows = written(now.join(several.select("entry"), "entry").select("entry", "doc", "component"), "open")
-        if open_rows.isEmpty():
-            break
-    return reached
-
-
-def _near(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share an entry and whose sketches allow a link.
-
-    An entry with more sets than a block holds is dealt to blocks, and every two
-    of its blocks meet in a task.
+    least = shown.groupBy("doc_id").agg(F.min("row").alias("b"))
+    shown = shown.select("doc_id", F.col("row").alias("a")).join(least, "doc_id").select("a", "b")
+    reached = written(components(links.unionAll(shown)), "reached").withColumnRenamed("node", "row")
+    linked = reached.join(classes, "row")
+    linked = linked.select("digest", "component").join(linked.groupBy("component").agg(F.min("node").alias("least")), "component")
+    found = classes.join(linked.select("digest", "least"), "digest", "left").select("digest", F.coalesce("least", "node").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _met(members: DataFrame, data: DataFrame, scale: int, percent: int, judge) -> DataFrame:
+    """What ``judge`` says of every meeting, (``hub``, ``row``).
+
+    ``members``: ``hub``, ``row``, ``entries``, ``n``. A hub whose members have
+    more bytes than a block is dealt to blocks, and every two of its blocks meet.
     """
-    blocks = rows.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = rows.join(blocks, "entry").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    weight = F.sum(F.lit(scale) * F.col("n") + 8 * F.size("entries") + 64)
+    totals = members.groupBy("hub").agg(F.count("*").alias("many"), F.ceil(weight / BLOCK).alias("blocks")).filter("many > 1")
+    rows = members.join(totals.drop("many"), "hub").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(
-        F.xxhash64("entry", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "doc", "component"
-    ).join(whole, "doc")
-    rows = rows.select("meeting", "doc", "component", "n", "sketch").repartition("meeting").sortWithinPartitions("meeting")
+    meeting = F.xxhash64("hub", F.least("block", "other"), F.greatest("block", "other")).alias("meeting")
+    across = (F.col("block") != F.col("other")).alias("across")
+    rows = written(rows.select(meeting, "hub", "row", "block", across, "n", "entries"), "meetings")
+    rows = rows.join(_wanted(data, rows), "row")
+    rows = rows.select("meeting", "hub", "row", "block", "across", "n", "entries", "data")
+    rows = rows.repartition("meeting").sortWithinPartitions("meeting")
+
+    def judged(part: pa.Table) -> pa.RecordBatch:
+        meeting = part["meeting"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1], [True]])) if len(meeting) else np.zeros(1, int)
+        found = [judge(Meeting(part.slice(a, b - a), percent)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.record_batch({"hub": pa.array(found[:, 0]), "row": pa.array(found[:, 1])})
 
     def compare(batches):
         release()
         held = None
         for batch in batches:
-            part = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            part = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
             meeting = part["meeting"].to_numpy()
-            whole_until = int(np.searchsorted(meeting, meeting[-1])) if len(meeting) else 0
-            held = part.slice(whole_until)
-            yield from _close_pairs(part.slice(0, whole_until), percent)
+            last = int(np.searchsorted(meeting, meeting[-1])) if len(meeting) else 0
+            held = part.slice(last)
+            if last:
+                yield judged(part.slice(0, last).combine_chunks())
         if held is not None:
-            yield from _close_pairs(held, percent)
+            yield judged(held.combine_chunks())
+
+    return rows.mapInArrow(compare, "hub long, row long")
 
-    return rows.mapInArrow(compare, "a long, b long")
 
+def _wanted(data: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of ``data`` those rows that may be among ``rows``: a bitmap of fixed size leaves out the others before they move."""
+    slot = (F.pmod(F.xxhash64("row"), F.lit(1 << WANTED)) + 1).alias("slot")
+    maps = rows.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("nth"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    placed = data.select("*", slot).withColumn("nth", F.bitmap_bucket_number("slot")).withColumn("place", F.bitmap_bit_position("slot"))
+    byte = "cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)"
+    return placed.join(F.broadcast(maps), "nth").filter(f"(shiftright({byte}, cast(place % 8 as int)) & 1) = 1").select("row", "data")
 
-def _close_pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``meeting``: pairs of different components whose sketches differ little enough."""
-    if not len(rows):
-        return
-    meeting, doc, component, n = (rows[c].to_numpy() for c in ("meeting", "doc", "component", "n"))
-    sketches = rows["sketch"].to_pylist()
-    sizes = np.array([len(x) for x in sketches])
-    last = np.searchsorted(meeting, meeting, "right")
-    by_size = {}
+
+class Meeting:
+    """The sets that one meeting holds; ``others`` gives each pair with a common entry once."""
+
+    def __init__(self, rows: pa.Table, percent: int) -> None:
+        self.percent = percent
+        self.hub, self.row, self.n = (rows[c].to_numpy() for c in ("hub", "row", "n"))
+        self.data = rows["data"].to_pylist()
+        block = rows["block"].to_numpy()
+        self.block = block if rows["across"][0].as_py() else None
+        entries = rows["entries"].combine_chunks()
+        self.ptr = entries.offsets.to_numpy().astype(np.int64)
+        self.ptr -= self.ptr[0]
+        keys = entries.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(rows)), np.diff(self.ptr))
+        order = np.argsort(keys, kind="stable")
+        _, key = np.unique(keys, return_inverse=True)
+        self.key, self.owner = key, owner[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(key))])
+
+    def others(self, k: int) -> np.ndarray:
+        """Later sets that share an entry with set k, were not met in another block and have a size that allows a link."""
+        own = self.key[self.ptr[k] : self.ptr[k + 1]]
+        found = np.concatenate([self.owner[self.first[e] : self.first[e + 1]] for e in own.tolist()])
+        found = np.unique(found[found > k])
+        if self.block is not None:
+            found = found[self.block[found] != self.block[k]]
+        return found[np.abs(self.n[found] - self.n[k]) <= self.allowed(k, found)]
+
+    def allowed(self, k: int, others: np.ndarray) -> np.ndarray:
+        """The most differences that a link leaves."""
+        return (100 - self.percent) * (self.n[k] + self.n[others]) // (100 + self.percent)
+
+
+def _hopeful(meeting: Meeting) -> np.ndarray:
+    """The sets that have another one within the Hamming distance of a link."""
+    sizes = np.array([len(x) for x in meeting.data])
+    by_size, hopeful = {}, np.zeros(len(sizes), bool)
     for size in np.unique(sizes).tolist():
         # Neighbours differ by a factor of two or three, so a sketch is folded once or twice.
         some = np.flatnonzero((sizes >= size) & (sizes <= 8 * size))
         place = np.full(len(sizes), -1)
         place[some] = np.arange(len(some))
-        by_size[size] = place, np.stack([_folded(sketches[k], size) for k in some.tolist()]).view(np.uint64)
-    active, step = np.arange(len(meeting)), 0
-    while True:
-        step += 1
-        active = active[active + step < last[active]]
-        if not len(active):
-            return
-        i, j = active, active + step
-        other = component[i] != component[j]
-        i, j = i[other], j[other]
-        most = (100 - percent) * (n[i] + n[j]) // (100 + percent)
-        fits = np.abs(n[i] - n[j]) <= most
-        i, j, most = i[fits], j[fits], most[fits]
-        size = np.minimum(sizes[i], sizes[j])
-        for one in np.unique(size).tolist():
-            k = np.flatnonzero(size == one)
-            place, matrix = by_size[one]
-            apart = np.bitwise_count(matrix[place[i[k]]] ^ matrix[place[j[k]]]).sum(axis=1, dtype=np.int64)
-            k = k[apart <= most[k]]
-            if len(k):
-                x, y = doc[i[k]], doc[j[k]]
-                yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+        by_size[size] = place, np.stack([_folded(meeting.data[k], size) for k in some.tolist()]).view(np.uint64)
+    for k in range(len(sizes) - 1):
+        others = meeting.others(k)
+        others = others[~hopeful[others]] if hopeful[k] else others
+        smaller = np.minimum(sizes[others], sizes[k])
+        for size in np.unique(smaller).tolist():
+            some = others[smaller == size]
+            place, matrix = by_size[size]
+            apart = np.bitwise_count(matrix[place[some]] ^ matrix[place[k]]).sum(axis=1, dtype=np.int64)
+            some = some[apart <= meeting.allowed(k, some)]
+            hopeful[some] = True
+            hopeful[k] |= len(some) > 0
+    return np.stack([meeting.hub[hopeful], meeting.row[hopeful]], axis=1)
+
+
+def _forest(meeting: Meeting) -> np.ndarray:
+    """Links that connect what links connect in this meeting, at most one for each set."""
+    n = len(meeting.data)
+    ptr = np.cumsum([0, *(len(x) // 8 for x in meeting.data)])
+    flat = np.unique(np.frombuffer(b"".join(meeting.data), U), return_inverse=True)[1]
+    marked = np.zeros(int(flat.max()) + 1, bool)
+    root, links = np.arange(n), []
+    for k in range(n - 1):
+        others = meeting.others(k)
+        others = others[root[others] != root[k]]
+        if not len(others):
+            continue
+        own = flat[ptr[k] : ptr[k + 1]]
+        marked[own] = True
+        sizes = ptr[others + 1] - ptr[others]
+        ends = np.cumsum(sizes)
+        places = np.repeat(ptr[others] - (ends - sizes), sizes) + np.arange(ends[-1])
+        shared = np.add.reduceat(marked[flat[places]].astype(np.int64), ends - sizes)
+        marked[own] = False
+        close = others[100 * shared >= meeting.percent * (sizes + len(own) - shared)]
+        for other in close.tolist():
+            if root[other] != root[k]:
+                root[root == root[other]] = root[k]
+                links.append((meeting.row[k], meeting.row[other]))
+    return np.array(links, np.int64).reshape(-1, 2)

@@ -4,6 +4,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,21 +81,80 @@ def test_documents(spark):
     assert {d: (n, c) for d, n, c in run(spark, rows, 4, 85)} == brute(sets_of(rows, 4), 85)
 
 
-def test_more_rounds_than_stars(spark, monkeypatch):
-    """Many unlinked sets share an entry: pairs between components are listed in the end."""
-    monkeypatch.setattr(jaccard, "STARS", 1)
-    random.seed(5)
-    base = [f"w{i}" for i in range(120)]
+def near_copies(n, seed=5, words=120, changes=3):
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
     rows = []
-    for i in range(40):
-        words = list(base)
-        for k in random.sample(range(0, 120, 6), 3):
-            words[k] = f"x{random.randrange(6)}"
-        rows.append((i, " ".join(words)))
+    for i in range(n):
+        own = list(base)
+        for k in rng.sample(range(0, words, 6), changes):
+            own[k] = f"x{rng.randrange(6)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_many_sets_that_hardly_link(spark):
+    rows = near_copies(60)
     got = {d: (n, c) for d, n, c in run(spark, rows, 4, 85)}
     assert got == brute(sets_of(rows, 4), 85)
 
 
+@pytest.mark.parametrize("blocks", [0, 1])
+def test_meetings_tell_forests(blocks):
+    """Of a group of near copies a meeting tells fewer links than it has sets, and connects what links connect."""
+    for n in (150, 300, 600):
+        rows = near_copies(n, n, 200)
+        sets = list(jaccard.shingle_sets(pa.array([text for _, text in rows]), 5))
+        sketch = jaccard.Sketch(80)
+        entries = [sketch.entries(x).view(np.int64).tolist() for x in sets]
+        columns = {"hub": [0] * n, "row": range(n), "n": [len(x) for x in sets], "entries": entries, "block": [k % 2 for k in range(n)], "across": [bool(blocks)] * n}
+        make = lambda data: jaccard.Meeting(pa.table({**{k: list(v) for k, v in columns.items()}, "data": data}), 80)  # noqa: E731, B023
+        hopeful = set(jaccard._hopeful(make([jaccard.whole_sketch(x) for x in sets]))[:, 1].tolist())
+        links = jaccard._forest(make([x.tobytes() for x in sets])).tolist()
+        assert len(links) < n
+        expected = {k: c for k, (_, c) in brute(sets_of(rows, 5), 80).items()}
+        found = {k: k for k in range(n)}
+        for a, b in links:
+            assert {a, b} <= hopeful
+            x, y = sorted((found[a], found[b]))
+            found = {k: x if c == y else c for k, c in found.items()}
+        if not blocks:
+            assert found == expected
+        else:
+            inside = {(expected[a], a % 2) for a, _ in rows}
+            assert all(expected[a] == expected[b] and a % 2 != b % 2 for a, b in links) and inside
+
+
+def test_large_meetings_are_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 20_000)
+    rows = near_copies(150, 3, 200, 1) + [(150 + k, text) for k, text in near_copies(40, 4)]
+    got = {d: (n, c) for d, n, c in run(spark, rows, 5, 80)}
+    assert got == brute(sets_of(rows, 5), 80)
+
+
+def test_one_id_with_many_texts_and_rows_without_id(spark):
+    """A third of the rows under one id, a third without: every one links by its own text."""
+    texts = [text for _, text in near_copies(40, 8, 90, 2)]
+    rows = [(7, text) for text in texts[:20]] + [(None, text) for text in texts[20:]] + [(100 + k, text) for k, text in enumerate(texts[10:30])]
+    got = run(spark, rows, 4, 85)
+    numbered = {k: text for k, (_, text) in enumerate(rows)}
+    plain = brute(sets_of(numbered.items(), 4), 85)
+    group = {}
+    for k in numbered:  # one id is one document
+        group.setdefault(plain[k][1], set()).add("id7" if rows[k][0] == 7 else k)
+    merged = []
+    for own in group.values():
+        same = [g for g in merged if g & own]
+        merged = [g for g in merged if not g & own] + [own.union(*same)]
+    least = {}
+    for own in merged:
+        ids = [7 if k == "id7" else rows[k][0] for k in own]
+        for k in own:
+            least[k] = min((i for i in ids if i is not None), default=None)
+    expected = sorted(((rows[k][0], plain[k][0], least["id7" if rows[k][0] == 7 else k]) for k in numbered), key=str)
+    assert sorted(got, key=str) == expected
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

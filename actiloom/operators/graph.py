@@ -2,8 +2,8 @@
 
 Edges are (in, out, edge_uid, rel_type, active, valid_from); ``in`` is where
 an edge starts. Every walk runs for many roots at once, keeps one row per
-(root, node), and is computed level by level with a reliable checkpoint after
-each, so plans stay short and a lost executor repeats no earlier level.
+(root, node), and is computed level by level, each written once in the shared
+folder, so plans stay short and a lost executor repeats no earlier level.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import jsonval as J
 from ..functions import text as X
-from ..session import materialize
+from ..session import Rounds, materialize, written
 from . import ordered, versioned
+from .adjacency import Adjacency
 
 EDGE_COLUMNS = ("edge_uid", "in", "out", "rel_type")
 
@@ -45,30 +46,17 @@ def walk(
     """
     near, far = ("out", "in") if reverse else ("in", "out")
     # Parallel edges add nothing to reachability.
-    steps = materialize(
-        edges.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct()
-    )
-    level = materialize(
-        roots.select(F.col("id").alias("root"), F.col("id").alias("node"))
-        .distinct()
-        .withColumn("depth", F.lit(0))
-    )
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        if level.isEmpty():
-            break
-        seen = reduce(DataFrame.unionAll, levels).select("root", "node")
-        reached = (
-            level.select("root", F.col("node").alias("near"))
-            .join(steps, "near")
-            .select("root", F.col("far").alias("node"))
-            .distinct()
-            .join(seen, ["root", "node"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        level = materialize(reached)
-        levels.append(level)
-    nodes = reduce(DataFrame.unionAll, levels)
+    steps = Adjacency(edges.select(F.col(near).alias("near"), F.col(far).alias("far")), "near")
+    levels = Rounds(edges.sparkSession, "walk")
+    here = F.col("id")
+    level = levels.add(roots.select(here.alias("root"), here.alias("node")).distinct())
+    while not levels.empty and levels.count <= max_depth:
+        found = steps.meet(level.select("root", F.col("node").alias("near")))
+        found = written(found.select("root", F.col("far").alias("node")).distinct(), "found")
+        # What was visited is looked up by what was found, and not moved.
+        old = levels.read().select("root", "node").join(found, ["root", "node"], "left_semi")
+        level = levels.add(found.join(old, ["root", "node"], "left_anti"))
+    nodes = levels.read().select("root", "node", F.col("round").alias("depth"))
     return nodes.withColumn("frontier", F.col("depth") == F.lit(max_depth))
 
 
@@ -178,60 +166,75 @@ def ancestors(
     """The ancestor path of every start: (start, step, ancestor, rel_type), step 1 nearest.
 
     One parent per level: best relation first, then the smallest id, never a
-    node already on the path. A path holds at most ``max_depth`` nodes besides
-    its start, so the best ``max_depth + 1`` distinct parents of a node always
-    include the right one; with that exact bound each node carries its parents
-    as a short array and a level is one join, whatever the in-degree.
+    node already on the path. Which parent comes first does not depend on the
+    start, so every node's path along first parents is found for all nodes at
+    once, by jumps of doubling length: a node's path goes on with the path of the
+    node where it ends, in about log2(max_depth) rounds. A path that comes back to
+    a node of its own is cut before the first repeat, and goes on from there step by
+    step with the next best parents; without cycles there are none of these.
     """
-    parents = (
-        edges.groupBy("out", "in")
-        .agg(F.min(F.struct(_priority(F.col("rel_type")).alias("p"), F.col("rel_type"))).alias("_b"))
-        .select("out", "_b.p", F.col("in").alias("parent"), "_b.rel_type")
-    )
-    best = Window.partitionBy("out").orderBy("p", "parent")
-    short = parents.withColumn("_rank", F.row_number().over(best)).where(
-        F.col("_rank") <= max_depth + 1
-    )
-    choices = materialize(
-        short.groupBy("out").agg(
-            F.array_sort(F.collect_list(F.struct("p", "parent", "rel_type"))).alias("choices")
-        )
-    )
-    here = materialize(
-        starts.select(F.col("id").alias("start")).distinct().select(
-            "start", F.col("start").alias("here"), F.array("start").alias("path")
-        )
-    )
-    steps = []
-    for step in range(1, max_depth + 1):
-        pick = F.get(
-            F.filter("choices", lambda c: ~F.array_contains(F.col("path"), c["parent"])), F.lit(0)
-        )
-        moved = (
-            here.join(choices, here["here"] == choices["out"])
-            .select("start", "path", pick.alias("_pick"))
-            .where("_pick is not null")
-            .select(
+    priced = F.struct(_priority(F.col("rel_type")).alias("p"), F.col("in").alias("parent"), "rel_type")
+    links = edges.where(F.col("in") != F.col("out"))
+    first = links.groupBy("out").agg(F.min(priced).alias("_b"))
+    step = F.struct("_b.parent", "_b.rel_type")
+    jumps = written(first.select(F.col("out").alias("node"), F.array(step).alias("path")), "jumps")
+    length = 1
+    while length < max_depth:
+        # Paths as long as all their jumps may go on; the others have met a node without a parent.
+        going = F.size("path") == length
+        end = F.element_at("path", -1)["parent"]
+        on = jumps.select(F.col("node").alias("_end"), F.col("path").alias("_on"))
+        longer = jumps.where(going).withColumn("_end", end).join(on, "_end", "left")
+        longer = longer.select("node", F.concat("path", F.coalesce("_on", F.array().cast(on.schema["_on"].dataType))).alias("path"))
+        jumps = written(jumps.where(~going).unionByName(longer), "jumps")
+        length *= 2
+    ids = starts.select(F.col("id").alias("start")).distinct()
+    paths = ids.join(jumps, ids["start"] == jumps["node"]).select("start", F.slice("path", 1, max_depth).alias("path"))
+    nodes = F.concat(F.array("start"), F.col("path")["parent"])
+    fresh = F.transform("_nodes", lambda n, k: F.array_position(F.col("_nodes"), n) == k + 1)
+    paths = paths.withColumn("_nodes", nodes).withColumn("_repeat", F.array_position(fresh, F.lit(False)))
+    # Nodes count from the start, so the repeated one is two behind the last kept step.
+    kept = F.when(F.col("_repeat") == 0, F.col("path")).otherwise(F.slice("path", 1, F.col("_repeat").cast("int") - 2))
+    paths = written(paths.select("start", kept.alias("path"), (F.col("_repeat") > 0).alias("cut")), "paths")
+    cut = paths.where("cut")
+    if not cut.isEmpty():
+        paths = paths.where("not cut").unionByName(_next_best(links.select("out", priced.alias("c")), cut, max_depth))
+    steps = paths.select("start", F.posexplode("path").alias("step", "_s"))
+    return steps.select("start", F.col("step") + 1, F.col("_s.parent").alias("ancestor"), "_s.rel_type").toDF(
+        "start", "step", "ancestor", "rel_type"
+    )
+
+
+def _next_best(links: DataFrame, paths: DataFrame, max_depth: int) -> DataFrame:
+    """Paths (start, path) gone on with, one step at a time, by the best parent that is not on them.
+
+    A path holds at most ``max_depth`` nodes besides its start, so the best
+    ``max_depth + 1`` distinct parents of a node always include the right one:
+    a node carries these, and a level is one join whatever the in-degree.
+    """
+    parents = links.groupBy("out", "c.parent").agg(F.min("c").alias("c"))
+    best = Window.partitionBy("out").orderBy("c")
+    short = parents.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= max_depth + 1)
+    choices = written(short.groupBy("out").agg(F.array_sort(F.collect_list("c")).alias("choices")), "choices")
+    done, here = Rounds(links.sparkSession, "paths"), paths.select("start", "path")
+    for _ in range(max_depth + 1):
+        end = F.coalesce(F.element_at("path", -1)["parent"], F.col("start"))
+        end = F.when(F.size("path") > 0, end).otherwise(F.col("start"))
+        on = F.concat(F.array("start"), F.col("path")["parent"])
+        pick = F.get(F.filter("choices", lambda c: ~F.array_contains(F.col("_on"), c["parent"])), F.lit(0))
+        moved = here.withColumn("out", end).withColumn("_on", on).join(choices, "out", "left").withColumn("_pick", pick)
+        stays = F.col("_pick").isNull() | (F.size("path") >= max_depth)
+        moved = done.add(
+            moved.select(
                 "start",
-                F.col("_pick.parent").alias("here"),
-                F.concat("path", F.array("_pick.parent")).alias("path"),
-                F.col("_pick.rel_type").alias("rel_type"),
+                F.when(stays, F.col("path")).otherwise(F.concat("path", F.array(F.struct("_pick.parent", "_pick.rel_type")))).alias("path"),
+                stays.alias("done"),
             )
         )
-        moved = materialize(moved)
-        if moved.isEmpty():
+        here = moved.where("not done").select("start", "path")
+        if here.isEmpty():
             break
-        steps.append(
-            moved.select(
-                "start", F.lit(step).alias("step"), F.col("here").alias("ancestor"), "rel_type"
-            )
-        )
-        here = moved.drop("rel_type")
-    if not steps:
-        return here.select(
-            "start", F.lit(0).alias("step"), F.col("here").alias("ancestor"), F.lit("").alias("rel_type")
-        ).where("false")
-    return reduce(DataFrame.unionAll, steps)
+    return done.read().where("done").select("start", "path", F.lit(True).alias("cut"))
 
 
 def ancestor_paths(
@@ -260,6 +263,42 @@ def ancestor_paths(
     )
 
 
+def first_visits(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """Where a depth-first walk meets each node first: (root, node, path).
+
+    ``lines`` are the edges (root, edge_uid, in, out) of each root's graph, ``path``
+    the edge ids from the root. A depth-first walk goes along edges in the order
+    of their paths, so a node's place is the least of its parents' places each
+    with one edge more, none of them lying below the node itself. That rule has one
+    solution. Places only ever get smaller, so each round offers the places of
+    nodes that moved to those below them; on a tree every node moves once, and
+    rounds are as many as levels.
+    """
+    steps = Adjacency(lines.select("root", F.col("in").alias("near"), F.col("out").alias("node"), "edge_uid"), "near")
+    moves = Rounds(lines.sparkSession, "visits")
+    edge = lines.schema["edge_uid"].dataType.simpleString()
+    here = F.col("id")
+    moved = moves.add(
+        roots.select(here.alias("root"), here.alias("node")).distinct().select(
+            "root", "node", F.array().cast(f"array<{edge}>").alias("path"), F.array("root").alias("on")
+        )
+    )
+    least = F.min(F.struct("path", "on")).alias("_m")
+    while not moves.empty:
+        # Edges and places of one node stand for different roots: both must agree.
+        offers = steps.meet(moved.select(F.col("root").alias("_of"), F.col("node").alias("near"), "path", "on"))
+        offers = offers.where((F.col("root") == F.col("_of")) & ~F.array_contains("on", F.col("node")))
+        offers = offers.select(
+            "root", "node", F.concat("path", F.array("edge_uid")).alias("path"), F.concat("on", F.array("node")).alias("on")
+        )
+        offers = written(offers.groupBy("root", "node").agg(least).select("root", "node", "_m.*"), "offers")
+        now = moves.read().join(offers.select("root", "node"), ["root", "node"], "left_semi")
+        now = now.groupBy("root", "node").agg(F.min("path").alias("_now"))
+        better = F.col("_now").isNull() | (F.col("path") < F.col("_now"))
+        moved = moves.add(offers.join(now, ["root", "node"], "left").where(better).drop("_now"))
+    return moves.read().groupBy("root", "node").agg(F.min("path").alias("path"))
+
+
 def tree_rows(
     edges: DataFrame,
     roots: DataFrame,
@@ -267,54 +306,29 @@ def tree_rows(
     states: DataFrame,
     max_depth: int,
 ) -> DataFrame:
-    """Depth-first tree lines: (root, path, node, depth, line, repeated).
+    """Depth-first tree lines: (root, nth, path, node, depth, line, repeated).
 
-    A node is expanded once, below its shallowest parent (ties by edge id);
-    elsewhere it is a leaf, marked when it has children. Which parent comes
-    first in a depth-first drawing can only be found one node after another,
-    so the shallowest one is taken; on a tree the two are the same. ``path``
-    holds the edge ids from the root; sorting by it gives the drawing order.
+    A node is expanded where a depth-first drawing meets it first; elsewhere it is
+    a leaf, marked when it has children. ``path`` holds the edge ids from the root,
+    ``nth`` numbers a root's lines from 1 in the order of the drawing.
     """
     visited = walk(edges, roots, max_depth)
-    walked = walk_edges(edges, visited).select("root", "depth", "edge_uid", "in", "out", "rel_type")
-    # The edge that first reached a node, by the parent's depth and the edge id.
-    owner = (
-        walked.where(F.col("out") != F.col("root"))
-        .groupBy("root", "out")
-        .agg(F.min_by("edge_uid", F.struct("depth", "edge_uid")).alias("owner"))
-    )
-    lines = (
-        walked.join(owner, ["root", "out"], "left")
-        .withColumn("owns", F.coalesce(F.col("owner") == F.col("edge_uid"), F.lit(False)))
-        .drop("owner")
-    )
-    lines = materialize(lines)
+    lines = walk_edges(edges, visited).select("root", "edge_uid", "in", "out", "rel_type")
+    lines = written(lines, "lines")
+    places = first_visits(lines, roots)
     has_children = lines.select("root", F.col("in").alias("out")).distinct().withColumn(
         "_parent", F.lit(True)
     )
-    level = roots.select(
-        F.col("id").alias("root"), F.col("id").alias("node"), F.lit(None).cast("string").alias("rel_type")
-    ).distinct()
-    first_edge = lines.schema["edge_uid"].dataType
-    level = level.withColumns(
-        {"path": F.array().cast(f"array<{first_edge.simpleString()}>"), "owns": F.lit(True)}
-    )
-    drawn = [level]
-    for _ in range(max_depth):
-        parents = level.where("owns").select("root", F.col("node").alias("in"), "path")
-        level = materialize(
-            parents.join(lines, ["root", "in"]).select(
-                "root",
-                F.col("out").alias("node"),
-                "rel_type",
-                F.concat("path", F.array("edge_uid")).alias("path"),
-                "owns",
-            )
-        )
-        if level.isEmpty():
-            break
-        drawn.append(level)
-    rows = reduce(DataFrame.unionByName, drawn)
+    parents = places.select("root", F.col("node").alias("in"), F.col("path").alias("_at"))
+    owned = places.select("root", F.col("node").alias("out"), F.col("path").alias("_own"))
+    below = lines.join(parents, ["root", "in"]).withColumn("path", F.concat("_at", F.array("edge_uid")))
+    below = below.join(owned, ["root", "out"], "left").select(
+        "root", F.col("out").alias("node"), "rel_type", "path", F.coalesce(F.col("path") == F.col("_own"), F.lit(False)).alias("owns")
+    )
+    tops = places.where(F.size("path") == 0).select(
+        "root", "node", F.lit(None).cast("string").alias("rel_type"), "path", F.lit(True).alias("owns")
+    )
+    rows = ordered.with_running(tops.unionByName(below), ["root"], ["path"], {"nth": ordered.count_rows()})
     meta = versioned.current_meta(
         visited.select(F.col("node").alias("id")), anchors, states
     ).select(F.col("id").alias("node"), "entity_type", "name", "content")
@@ -334,6 +348,7 @@ def tree_rows(
     mark = F.when(repeated, F.lit(" (already shown above — cycle)")).otherwise("")
     return marked.select(
         "root",
+        "nth",
         "path",
         "node",
         depth.alias("depth"),
@@ -355,7 +370,7 @@ def export_parts(
 
     def numbered(rows: DataFrame, order: list[str], key: str) -> DataFrame:
         with_nth = ordered.with_running(
-            rows, ["root"], order, {"_nth": ordered.count_rows()}, rows_per_chunk=2_000_000
+            rows, ["root"], order, {"_nth": ordered.count_rows()}
         )
         return with_nth.select("root", F.col("_nth").alias("nth"), F.col(key).alias("item"))
 

@@ -1,9 +1,12 @@
-"""Running values along ordered chains that stay balanced when one chain is hot.
+"""Running values along ordered chains, balanced however long a chain is.
 
 A plain ``OVER (PARTITION BY chain ORDER BY ...)`` sends a whole chain to one
-task. Here a chain longer than ``rows_per_chunk`` is cut into consecutive
-chunks, each chunk runs its own window, and what the earlier chunks add up to
-is joined back. Chains below the limit take the plain window and nothing else.
+task. Here it is a segmented scan in two levels. Rows are sorted by ranges of
+(chain, order) and written, so a part holds about as many rows as any other,
+be they of one chain or of many. Each part runs its own window; of the chains
+that a part boundary cuts, each part adds up one total; totals are combined
+along the parts and joined back. Only the first chain of a part can have begun
+earlier, so at most one row per part is joined back.
 """
 
 from __future__ import annotations
@@ -14,14 +17,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROWS_PER_CHUNK = 2_000_000
-# Rows of one chunk that the sample for hot chains should hold.
-SAMPLED_PER_CHUNK = 2_000
-MAX_HOT = 10_000
-MAX_CHUNKS = 1_000
-_CHUNK, _STARTS = "_chunk", "_starts"
+from ..session import written
+
+_PART = "_part"
 
 
 @dataclass(frozen=True)
@@ -31,7 +30,6 @@ class Running:
 
     kind: str
     value: Column | None = None
-    default: object = None
 
 
 def count_rows() -> Running:
@@ -47,116 +45,68 @@ def last_of(value: Column) -> Running:
 
 
 def previous_of(value: Column) -> Running:
-    """The value of the row before; ``value`` must not be null."""
+    """The value of the row before, null for the first row of a chain."""
     return Running("previous", value)
 
 
 def _over(spec: Running, window) -> Column:
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
     if spec.kind == "count":
-        return F.row_number().over(window.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
+        return F.row_number().over(so_far).cast("bigint")
     if spec.kind == "sum":
-        return F.sum(spec.value).over(window.rowsBetween(Window.unboundedPreceding, 0))
+        return F.sum(spec.value).over(so_far)
     if spec.kind == "previous":
-        return F.lag(spec.value).over(window)
-    return F.last(spec.value, ignorenulls=True).over(
-        window.rowsBetween(Window.unboundedPreceding, 0)
-    )
+        return F.struct(F.lag(spec.value).over(window).alias("value"), (F.row_number().over(window) == 1).alias("first"))
+    return F.last(spec.value, ignorenulls=True).over(so_far)
 
 
 def _total(spec: Running, order: Sequence[str]) -> Column:
+    """What a part of a chain adds to those behind it."""
     if spec.kind == "count":
         return F.count(F.lit(1))
     if spec.kind == "sum":
         return F.sum(spec.value)
-    # The last non-null value of the chunk, null rows ignored.
+    if spec.kind == "previous":
+        return F.max_by(spec.value, F.struct(*order))
     return F.max_by(spec.value, F.when(spec.value.isNotNull(), F.struct(*order)))
 
 
+def _carried(spec: Running, total: Column, chain) -> Column:
+    """The totals of all earlier parts of a chain combined; ``chain`` orders its parts."""
+    earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
+    if spec.kind == "previous":
+        return F.lag(total).over(chain)
+    return (F.last(total, ignorenulls=True) if spec.kind == "last" else F.sum(total)).over(earlier)
+
+
 def _combine(spec: Running, before: Column, local: Column) -> Column:
     if spec.kind == "count":
         return local + F.coalesce(before, F.lit(0))
     if spec.kind == "sum":
         return F.when(before.isNull(), local).when(local.isNull(), before).otherwise(before + local)
+    if spec.kind == "previous":
+        return F.when(local["first"], before).otherwise(local["value"])
     return F.coalesce(local, before)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def chunk_starts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int
-) -> DataFrame | None:
-    """Where the chunks of each hot chain begin, or None when no chain is hot.
-
-    A sample of the (key, order) columns finds them: where a chain is cut only
-    decides how even the tasks are, never what comes out, so neither a full
-    count nor a full sort is needed. With few rows per chunk the sample is
-    everything. At most MAX_HOT chains and MAX_CHUNKS cut points reach the
-    driver, whatever the size of the data, so the result can be broadcast.
-    """
-    spark = df.sparkSession
-    narrow = df.select(*keys, *[c for c in order if c not in keys])
-    fraction = min(1.0, SAMPLED_PER_CHUNK / rows_per_chunk)
-    if fraction < 1.0:
-        narrow = narrow.sample(fraction, seed=17)
-    per_chunk = rows_per_chunk * fraction
-    hot = (
-        narrow.groupBy(*keys)
-        .count()
-        .where(F.col("count") > per_chunk)
-        .orderBy(F.desc("count"))
-        .limit(MAX_HOT)
-        .collect()
-    )
-    if not hot:
-        return None
-    key_schema = T.StructType([df.schema[k] for k in keys])
-    hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema)
-    chunks = min(MAX_CHUNKS, max(2, sum(-int(-r["count"] // per_chunk) for r in hot)))
-    rows = narrow.join(F.broadcast(hot_keys), _same(narrow, hot_keys, keys), "left_semi")
-    starts = (
-        rows.repartitionByRange(int(chunks), *keys, *order)
-        .groupBy(F.spark_partition_id().alias("_part"), *keys)
-        .agg(F.min(F.struct(*order)).alias("_start"))
-        .collect()
-    )
-    cuts: dict[tuple, list] = {}
-    for row in starts:
-        cuts.setdefault(tuple(row[k] for k in keys), []).append(tuple(row["_start"]))
-    start_schema = T.StructType([df.schema[c] for c in order])
-    schema = T.StructType([*key_schema.fields, T.StructField(_STARTS, T.ArrayType(start_schema))])
-    # The order of the starts does not matter: chunks are numbered by counting.
-    rows = [(*key, found) for key, found in cuts.items()]
-    return spark.createDataFrame(rows, schema)
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` sorted by ranges of (keys, order) and written, with the number ``_part`` of each row's range."""
+    by = [*keys, *(c for c in order if c not in keys)]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return written(rows.withColumn(_PART, F.spark_partition_id()), "ranges")
 
 
 def with_running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: Mapping[str, Running],
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, Running]
 ) -> DataFrame:
     """Add running values per ``keys`` in ascending ``order`` (current row included)."""
-    starts = chunk_starts(df, keys, order, rows_per_chunk)
-    if starts is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({name: _over(spec, window) for name, spec in columns.items()})
-    tagged = (
-        df.join(F.broadcast(starts), _same(df, starts, keys), "left")
-        .select(*[df[c] for c in df.columns], starts[_STARTS])
-        .withColumn(
-            _CHUNK,
-            F.coalesce(
-                F.size(F.filter(_STARTS, lambda s: s <= F.struct(*order))), F.lit(0)
-            ),
-        )
-    )
-    hot_rows = tagged.where(F.col(_STARTS).isNotNull())
-    return _chunked(
-        tagged.drop(_STARTS), hot_rows, keys, order, columns, bounded=True
-    )
+    rows = in_ranges(df, keys, order)
+    key = F.struct(*keys)
+    # One row per part: its first and its last chain, all that a boundary can cut.
+    ends = rows.groupBy(_PART).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    cut = rows.join(F.broadcast(ends), _PART).where(key.eqNullSafe(F.col("_low")) | key.eqNullSafe(F.col("_high")))
+    # The parts are the ranges already; dealing them out by number is all the window needs.
+    return _scan(rows.repartitionByRange(_PART), cut, keys, order, columns)
 
 
 def with_running_in_buckets(
@@ -166,52 +116,39 @@ def with_running_in_buckets(
     bucket: Column,
     columns: Mapping[str, Running],
 ) -> DataFrame:
-    """Same, with the chunk given by a rising expression of the order.
+    """Same, with the parts given by a rising expression of the order.
 
     For lines of a file the byte offset divided by a block size is such a
     bucket: it bounds a task without looking at the data first.
     """
-    tagged = df.withColumn(_CHUNK, bucket)
-    return _chunked(tagged, tagged, keys, order, columns, bounded=False)
+    rows = df.withColumn(_PART, bucket)
+    return _scan(rows, rows, keys, order, columns)
 
 
-def _chunked(
-    tagged: DataFrame,
+def _scan(
+    rows: DataFrame,
     totals_from: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     columns: Mapping[str, Running],
-    bounded: bool,
 ) -> DataFrame:
-    window = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    local = tagged.withColumns({f"_l_{n}": _over(s, window) for n, s in columns.items()})
-    totals = totals_from.groupBy(*keys, _CHUNK).agg(
-        *[_total(s, order).alias(f"_t_{n}") for n, s in columns.items()]
-    )
-    # One row per chunk of a chain, so this window is small even for a hot one.
-    earlier = (
-        Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = []
-    for name, spec in columns.items():
-        part = F.col(f"_t_{name}")
-        keeps = spec.kind in ("last", "previous")
-        value = F.last(part, ignorenulls=True) if keeps else F.sum(part)
-        carried.append(value.over(earlier).alias(f"_c_{name}"))
-    on = [*keys, _CHUNK]
-    carry = totals.select(*on, *carried).select(
-        *[F.col(k).alias(f"_k_{k}") for k in on], *[f"_c_{n}" for n in columns]
-    )
-    condition = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in on]
+    on = [*keys, _PART]
+    window = Window.partitionBy(*on).orderBy(*order)
+    local = rows.withColumns({f"_l_{n}": _over(s, window) for n, s in columns.items()})
+    totals = totals_from.groupBy(*on).agg(*[_total(s, order).alias(f"_t_{n}") for n, s in columns.items()])
+    # One row per part of a chain, so this window is small even for a hot one.
+    chain = Window.partitionBy(*keys).orderBy(_PART)
+    carry = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in on],
+        (F.row_number().over(chain) > 1).alias("_begun"),
+        *[_carried(s, F.col(f"_t_{n}"), chain).alias(f"_c_{n}") for n, s in columns.items()],
     )
-    joined = local.join(F.broadcast(carry) if bounded else carry, condition, "left")
+    carry = written(carry.where("_begun").drop("_begun"), "carry")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in on])
+    joined = local.join(carry, same, "left")
     return joined.select(
-        *[F.col(c) for c in tagged.columns if c != _CHUNK],
-        *[
-            _combine(s, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n)
-            for n, s in columns.items()
-        ],
+        *[F.col(c) for c in rows.columns if c != _PART],
+        *[_combine(s, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, s in columns.items()],
     )
 
 

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import clock
-from ..session import Levels, materialize
+from ..session import Rounds, materialize, written
 from . import graph, versioned
+from .adjacency import Adjacency
 
 
 # -- chains ------------------------------------------------------------------
@@ -173,34 +173,39 @@ def dependencies(
     return tasks.select("task"), deps, warnings
 
 
+#: Rounds after which the closed dependencies of all rounds are taken off the open counts.
+MERGE = 16
+
+
 def waves(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(task, wave) from 1, and the tasks no wave can hold.
 
-    Round k places the tasks whose dependencies are all placed. The state has
-    one row per waiting task and one per open dependency; placed tasks leave
-    it, so a round only touches what is left. Open dependencies are counted
-    with map-side combine, so a task with very many of them is no hot spot.
+    Every task has a count of its open dependencies. A round looks only at the
+    dependents of what was placed just before: it writes how many of their
+    dependencies that closed, and which of them have none left. So what a round
+    writes follows its frontier and not what still waits. Now and then the
+    closed ones are taken off the open counts, which keeps the rounds to read
+    few. Counts are combined before they are shuffled, so a task with very many
+    dependencies, or one that very many wait for, is no hot spot.
     """
+    wanted = deps.where("dep is not null").select("task", "dep")
+    links = Adjacency(wanted, "dep")
+    counts = links.links.groupBy("task").agg(F.count(F.lit(1)).alias("open"))
     known = tasks.select("task").distinct()
-    nothing = F.lit(None).cast(deps.schema["dep"].dataType).alias("dep")
-    state = materialize(
-        known.select("task", nothing).unionByName(
-            deps.select("task", "dep").distinct().join(known, "task", "left_semi")
-        )
-    )
-    placed = Levels()
-    for wave in count(1):
-        ready = state.groupBy("task").agg(F.count("dep").alias("_open")).where("_open = 0")
-        ready = materialize(ready.select("task"))
-        if ready.isEmpty():
-            break
-        placed.add(ready.withColumn("wave", F.lit(wave)))
-        left = state.join(ready, "task", "left_anti")
-        done = ready.select(F.col("task").alias("dep"))
-        state = materialize(left.join(done, "dep", "left_anti").select("task", "dep"))
-    stuck = state.where("dep is null").select("task")
-    none = known.where("false").withColumn("wave", F.lit(0))
-    return none if placed.union() is None else placed.union(), stuck
+    start = written(known.join(counts, "task", "left").select("task", F.coalesce("open", F.lit(0)).alias("open")), "open")
+    waiting, merged = start.where("open > 0"), 0
+    closed, placed = Rounds(tasks.sparkSession, "closed"), Rounds(tasks.sparkSession, "placed")
+    ready = placed.add(start.where("open = 0").select("task"))
+    while not placed.empty:
+        hits = links.meet(ready.select(F.col("task").alias("dep"))).groupBy("task")
+        just = closed.add(hits.agg((-F.count(F.lit(1))).alias("open")))
+        state = waiting.unionAll(closed.read(merged).select("task", "open")).join(just.select("task"), "task", "left_semi")
+        ready = placed.add(state.groupBy("task").agg(F.sum("open").alias("open")).where("open = 0").select("task"))
+        if closed.count - merged == MERGE:
+            left = waiting.unionAll(closed.read(merged).select("task", "open")).groupBy("task").agg(F.sum("open").alias("open"))
+            waiting, merged = written(left.where("open > 0").join(waiting.select("task"), "task", "left_semi"), "open"), closed.count
+    found = placed.read().select("task", (F.col("round") + 1).alias("wave"))
+    return found, start.select("task").join(found, "task", "left_anti")
 
 
 def reverse_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -358,22 +363,16 @@ def blocked(deps: DataFrame, failed: DataFrame) -> DataFrame:
     multi-source walk that remembers only which tasks were met. A failed task
     behind another failed one is blocked as well.
     """
-    links = materialize(deps.select("task", "dep").distinct())
-    frontier, levels = failed.select("task").distinct(), Levels()
+    links = Adjacency(deps.select("task", "dep"), "dep")
+    met = Rounds(deps.sparkSession, "blocked")
+    frontier = written(failed.select("task").distinct(), "failed")
     while True:
-        step = (
-            links.join(frontier.select(F.col("task").alias("dep")), "dep", "left_semi")
-            .select("task")
-            .distinct()
-        )
-        seen = levels.union()
-        if seen is not None:
-            step = step.join(seen, "task", "left_anti")
-        frontier = materialize(step)
-        if frontier.isEmpty():
-            break
-        levels.add(frontier)
-    return frontier if levels.union() is None else levels.union()
+        step = written(links.meet(frontier.select(F.col("task").alias("dep"))).select("task").distinct(), "step")
+        # What was met is looked up by the few tasks of the step, and not moved.
+        old = met.read().select("task").join(step, "task", "left_semi") if met.count else step.where("false")
+        frontier = met.add(step.join(old, "task", "left_anti"))
+        if met.empty:
+            return met.read().select("task")
 
 
 def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:

@@ -44,13 +44,9 @@ def supersede(requests: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def history(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER, **options
-) -> DataFrame:
+def history(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
     """Every version with its number in the chain, 1 for the oldest."""
-    return ordered.with_running(
-        df, keys, order, {"version": ordered.count_rows()}, **options
-    )
+    return ordered.with_running(df, keys, order, {"version": ordered.count_rows()})
 
 
 def carry_forward(
@@ -58,7 +54,6 @@ def carry_forward(
     keys: Sequence[str],
     fields: Sequence[str],
     order: Sequence[str] = ORDER,
-    **options,
 ) -> DataFrame:
     """A sequence of patches to full versions: an unset field keeps its last value."""
     filled = ordered.with_running(
@@ -66,7 +61,6 @@ def carry_forward(
         keys,
         order,
         {f"_full_{f}": ordered.last_of(F.col(f)) for f in fields},
-        **options,
     )
     kept = [c for c in patches.columns if c not in fields]
     return filled.select(*kept, *[F.col(f"_full_{f}").alias(f) for f in fields])

@@ -329,7 +329,7 @@ def session_order(spark, sf):
         (-F.unix_micros(F.col("last_active").cast("timestamp"))).alias("age"),
         (-F.col("actions")).alias("quiet"),
     )
-    # One group, so the running count splits it into chunks when it is large.
+    # One chain of all rows: the scan runs over ranges of it.
     placed = ordered.with_running(
         ranked, ["all"], ["rank", "age", "quiet", "session"], {"place": ordered.count_rows()}
     )

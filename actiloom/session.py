@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # Settings every job of this package is written for. Sizes are left to AQE:
 # it coalesces small shuffle partitions and splits skewed ones at run time.
@@ -59,30 +59,43 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Levels:
-    """The results of a loop's rounds, kept few however long the loop runs.
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` as a table in the shared folder, computed once and read back.
 
-    Sixteen results of one tier are written together as one of the next, so a
-    loop of n rounds holds about 16 log n frames and writes each row log n
-    times; a plan never carries one branch per round.
+    Unlike a checkpoint it is computed once, keeps its columns apart, so that a
+    reader takes only those it needs, and has a size that joins can go by.
     """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    WIDTH = 16
-
-    def __init__(self) -> None:
-        self.tiers: list[list[DataFrame]] = [[]]
-
-    def add(self, df: DataFrame) -> None:
-        tier = 0
-        self.tiers[0].append(df)
-        while len(self.tiers[tier]) == self.WIDTH:
-            merged = materialize(reduce(DataFrame.unionAll, self.tiers[tier]))
-            self.tiers[tier] = []
-            tier += 1
-            if tier == len(self.tiers):
-                self.tiers.append([])
-            self.tiers[tier].append(merged)
-
-    def union(self) -> DataFrame | None:
-        frames = [df for tier in self.tiers for df in tier]
-        return reduce(DataFrame.unionAll, frames) if frames else None
+
+class Rounds:
+    """The results of a loop's rounds, each written once under its number.
+
+    A round adds what is new and nothing else. However many rounds there were,
+    reading them back is one scan with the column ``round``, not a union of
+    as many branches.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.count, self.schema = spark, scratch_path(spark, name), 0, None
+        #: Whether the last round had no rows.
+        self.empty = True
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes the next round and returns it as read back."""
+        path = f"{self.path}/round={self.count}"
+        df.write.parquet(path)
+        self.count += 1
+        self.schema = df.schema
+        rows = self.spark.read.schema(df.schema).parquet(path)
+        self.empty = rows.isEmpty()
+        return rows
+
+    def read(self, first: int = 0) -> DataFrame:
+        """The rows of the rounds from ``first`` on, with ``round``."""
+        schema = T.StructType([*self.schema.fields, T.StructField("round", T.IntegerType())])
+        reader = self.spark.read.schema(schema).option("basePath", self.path)
+        return reader.parquet(*(f"{self.path}/round={n}" for n in range(first, self.count))) if first else reader.parquet(self.path)

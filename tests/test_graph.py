@@ -8,10 +8,13 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from actiloom import session
+from actiloom.operators import adjacency
 from actiloom.operators import graph as G
 from actiloom.operators import quality as Q
 from actiloom.operators import schedule as S
 from actiloom.operators import versioned as V
+from actiloom.operators.adjacency import Adjacency
 
 T0 = dt.datetime(2026, 1, 1)
 EDGE = "in string, out string, edge_uid string, rel_type string"
@@ -184,6 +187,95 @@ def test_tree_and_export(spark):
     assert (back.uid, back.version, back.depth) == ("q", "", 0) and edges_back.count() == 0
 
 
+def plain_tree(edges, root, depth):
+    """(path of edge ids, node, whether it is marked) in the order of a recursive drawing."""
+    seen, walked, _ = plain_walk(edges, root, depth, False)
+    below = defaultdict(list)
+    for a, b, uid, _ in sorted(edges, key=lambda e: e[2]):
+        if uid in walked:
+            below[a].append((uid, b))
+    out, drawn = [((), root, False)], {root}
+
+    def draw(node, path):
+        for uid, child in below[node]:
+            fresh = child not in drawn
+            drawn.add(child)
+            out.append(((*path, uid), child, not fresh and bool(below[child])))
+            if fresh:
+                draw(child, (*path, uid))
+
+    draw(root, ())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("depth", [2, 20])
+def test_tree_is_drawn_depth_first(spark, seed, depth):
+    """Many parents, cycles and parallel edges: line for line the recursive drawing."""
+    edges = random_edges(seed, nodes=11, count=28)
+    df = spark.createDataFrame(edges, EDGE)
+    roots = ["n00", "n03", "gone"]
+    anchors, states, _ = store(spark, [(f"n{i:02d}", "task", f"N{i}", None) for i in range(11)], [("a", "b", "contains")])
+    rows = G.tree_rows(df, spark.createDataFrame([(r,) for r in roots], "id string"), anchors, states, depth).collect()
+    for root in roots:
+        own = sorted((r for r in rows if r.root == root), key=lambda r: r.nth)
+        assert [r.nth for r in own] == list(range(1, len(own) + 1))
+        assert [(tuple(r.path), r.node, r.repeated) for r in own] == plain_tree(edges, root, depth)
+        assert all(r.depth == len(r.path) for r in own)
+
+
+def test_rounds_write_what_their_frontier_is(spark, monkeypatch):
+    """A chain beside many tasks that wait for its end: until then a round writes one row."""
+    sizes = defaultdict(list)
+    add = session.Rounds.add
+
+    def counted(self, df):
+        rows = add(self, df)
+        sizes[self.path].append(rows.count())
+        return rows
+
+    monkeypatch.setattr(session.Rounds, "add", counted)
+    n = 20
+    chain = spark.range(1, n).selectExpr("id as task", "id - 1 as dep")
+    wide = spark.range(1000, 3000).selectExpr("id as task", f"{n - 1}L as dep")
+    tasks = spark.range(n).union(spark.range(1000, 3000)).toDF("task")
+    placed, stuck = S.waves(tasks, chain.union(wide).union(wide))
+    wave = {r.task: r.wave for r in placed.collect()}
+    assert wave == {k: k + 1 for k in range(n)} | {k: n + 1 for k in range(1000, 3000)} and stuck.isEmpty()
+    closed, ready = sorted(sizes.values(), key=len)
+    assert closed == [1] * (n - 1) + [2000, 0] and ready == [1] * n + [2000, 0]
+
+
+def test_ancestors_take_rounds_of_doubling_length(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(G, "written", lambda df, name="rows": names.append(name) or session.written(df, name))
+    edges = spark.range(1, 200).selectExpr("concat('n', id) as out", "concat('n', id - 1) as `in`", "concat('e', id) as edge_uid", "'contains' as rel_type")
+    starts = spark.range(200).selectExpr("concat('n', id) as id")
+    found = defaultdict(list)
+    for r in sorted(G.ancestors(edges, starts, 100).collect(), key=lambda r: r.step):
+        found[r.start].append(r.ancestor)
+    assert names.count("jumps") == 8 and "choices" not in names  # 1, 2, 4, ... 128 steps
+    assert all(found[f"n{k}"] == [f"n{j}" for j in range(k - 1, max(k - 101, -1), -1)] for k in range(200))
+
+
+def test_frontiers_meet_links_without_moving_them(spark, monkeypatch):
+    links = spark.range(5000).selectExpr("id % 500 as near", "id as far")
+    table = Adjacency(links.union(links), "near")
+    few = session.written(spark.range(3).selectExpr("id as near"))
+    assert table.meet(few).count() == 30
+    plan = table.meet(few)._jdf.queryExecution().executedPlan().toString()
+    assert "In(near, [0,1,2])" in plan or "near IN (0,1,2)" in plan.replace("`", "") or "INSET" in plan
+    assert "SelectedBucketsCount: 4 out of 4" not in plan or "PushedFilters: [In(near" in plan
+    monkeypatch.setattr(adjacency, "PUSHED", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = table.meet(few)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and joined.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_links_and_history(spark):
     schema = "id string, in string, out string, edge_uid string, rel_type string, active boolean, valid_from timestamp"
     log = []

@@ -1,6 +1,7 @@
 """Running values: any chunk size, hot chains, ties and null keys give one result."""
 
 import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,18 @@ from pyspark.sql import functions as F
 from actiloom.operators import ordered, versioned
 
 
+@contextmanager
+def settings(spark, partitions):
+    """So many shuffle partitions, none of them coalesced."""
+    now = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in now}
+    for key, value in now.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
 def chains(seed=3):
     rng = random.Random(seed)
     keys = ["hot"] * 60 + ["warm"] * 15 + [None] * 20 + list("abcde")
@@ -37,13 +50,25 @@ def columns():
     }
 
 
-@pytest.mark.parametrize("limit", [1, 2, 7, 50, 1000])
+@pytest.mark.parametrize("ranges", [1, 2, 7, 50])
 @pytest.mark.parametrize("parts", [1, 5])
-def test_hot_chains(spark, limit, parts):
+def test_hot_chains(spark, ranges, parts):
+    """Whatever the ranges, chains that they cut run on."""
     rows = chains()
     df = spark.createDataFrame(rows, "k string, t int, i int, v int").repartition(parts)
-    found = ordered.with_running(df, ["k"], ["t", "i"], columns(), rows_per_chunk=limit)
-    assert {r.i: (r.n, r.total, r["last"], r.before) for r in found.collect()} == expected(rows)
+    with settings(spark, ranges):
+        found = ordered.with_running(df, ["k"], ["t", "i"], columns())
+        assert {r.i: (r.n, r.total, r["last"], r.before) for r in found.collect()} == expected(rows)
+
+
+def test_the_value_before_may_be_null(spark):
+    rows = [("a", i, None if i % 3 else i) for i in range(40)] + [("b", 0, None), ("b", 1, 5), (None, 0, 1), (None, 1, None)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    before = {(k, t): v for k, t, v in rows}
+    with settings(spark, 8):
+        found = ordered.with_running(df, ["k"], ["t"], {"before": ordered.previous_of(F.col("v"))}).collect()
+    assert len(found) == len(rows)
+    assert all(r.before == before.get((r.k, r.t - 1)) for r in found)
 
 
 @pytest.mark.parametrize("width", [1, 4, 100])
@@ -56,25 +81,27 @@ def test_buckets(spark, width):
     assert {r.i: (r.n, r.total, r["last"], r.before) for r in found.collect()} == expected(rows)
 
 
-def test_no_chunk_is_larger_than_asked(spark):
-    df = spark.range(1000).select(F.lit("one").alias("k"), F.col("id").alias("t"))
-    starts = ordered.chunk_starts(df, ["k"], ["t"], 100).collect()
-    cuts = sorted(s[0] for s in starts[0][ordered._STARTS])
-    assert len(cuts) >= 8
-    assert max(b - a for a, b in zip(cuts, [*cuts[1:], 1000])) <= 300
-
-
-def test_sampled_cut_points_change_no_result(spark):
-    """Above 2,000 rows per chunk the cut points come from a sample."""
-    df = spark.range(120_000).select(
-        F.expr("if(id % 10 = 0, id % 50, -1)").alias("k"), F.col("id").alias("t"), F.lit(1).alias("v")
-    )
-    found = ordered.with_running(
-        df, ["k"], ["t"], {"n": ordered.count_rows(), "s": ordered.sum_of(F.col("v"))}, rows_per_chunk=20_000
+def test_ranges_stay_even_under_a_hot_chain(spark):
+    """A third of a million rows in one chain: no range and no task of the window holds much more than another."""
+    df = spark.range(1_000_000).select(
+        F.expr("if(id % 3 = 0, -1, id % 1000)").alias("k"), F.col("id").alias("t"), F.lit(1).alias("v")
     )
-    assert ordered.chunk_starts(df, ["k"], ["t"], 20_000).count() == 1
-    wrong = found.where("n <> s or (k = -1 and n <> t - t div 10)")
-    assert found.count() == 120_000 and wrong.count() == 0
+    with settings(spark, 12):
+        parts = ordered.in_ranges(df, ["k"], ["t"]).groupBy("_part").count().collect()
+        counts = sorted(r["count"] for r in parts)
+        assert len(counts) == 12 and counts[-1] < 2 * counts[len(counts) // 2]
+        found = ordered.with_running(df, ["k"], ["t"], {"n": ordered.count_rows(), "s": ordered.sum_of(F.col("v"))})
+        assert found.where("n <> s or (k = -1 and n <> t div 3 + 1)").isEmpty()
+        tasks = sorted(r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert len(tasks) > 8 and tasks[-1] < 3 * tasks[len(tasks) // 2]
+
+
+def test_the_window_runs_on_the_ranges(spark):
+    """Behind the written ranges one exchange deals out the parts; the window and the join add none."""
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("t"))
+    found = ordered.with_running(df, ["k"], ["t"], {"n": ordered.count_rows()})
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 0
 
 
 def test_current_state_ignores_row_order(spark):

@@ -134,47 +134,61 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield windows(words.hashes[a:b], int(b - a)) if b > a else np.zeros(0, U)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Per row its set's size, a digest of the set, its whole sketch and the sorted set itself."""
+def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row its set's size, a digest of the set, its entries and its whole sketch; of equal sets in one task the first alone enters."""
 
     def sign(batches):
         release()
+        sketch, met = Sketch(percent), set()
         for batch in portions(batches, "text"):
-            sizes, digests, sketches, sets = [], [], [], []
+            sizes, digests, entries, sketches = [], [], [], []
             for shingles in shingle_sets(batch["text"], width):
                 sizes.append(len(shingles))
-                sets.append(shingles.tobytes())
-                digests.append(hashlib.blake2b(sets[-1], digest_size=16).digest() if len(shingles) else None)
+                digests.append(_digest(shingles))
+                entries.append(np.zeros(0, np.int64) if digests[-1] in met else sketch.entries(shingles).view(np.int64))
                 sketches.append(whole_sketch(shingles))
+                met.add(digests[-1])
             yield pa.record_batch(
                 {
                     "doc_id": batch["doc_id"],
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "digest": pa.array(digests, pa.binary()),
+                    "entries": _lists(entries),
                     "sketch": pa.array(sketches, pa.binary()),
-                    "shingles": pa.array(sets, pa.binary()),
                 }
             )
 
-    return pick(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, sketch binary, shingles binary")
+    return pick(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, entries array<long>, sketch binary")
+
+
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
 
 
-def entries_of(signed: DataFrame, percent: int) -> DataFrame:
-    """The entries of all sets, (``entry``, ``row``); of equal sets in one task the first alone enters."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The sets of ``wanted`` (``row``, ``doc_id``, ``digest``) from the texts: ``row``, ``data``."""
 
-    def enter(batches):
+    def sets(batches):
         release()
-        sketch, met = Sketch(percent), set()
-        for batch in batches:
-            keys, rows = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for row, digest, shingles in zip(*(batch[c].to_pylist() for c in ("row", "digest", "shingles")), strict=True):
-                if digest not in met:
+        met = set()
+        for batch in portions(batches, "text"):
+            found = {}
+            for shingles in shingle_sets(batch["text"], width):
+                digest = _digest(shingles)
+                if digest is not None and digest not in met:
                     met.add(digest)
-                    keys.append(sketch.entries(np.frombuffer(shingles, U)))
-                    rows.append(np.full(len(keys[-1]), row))
-            yield pa.record_batch({"entry": pa.array(np.concatenate(keys).view(np.int64)), "row": pa.array(np.concatenate(rows))})
+                    found[digest] = shingles.tobytes()
+            yield pa.record_batch({"digest": pa.array(list(found), pa.binary()), "data": pa.array(list(found.values()), pa.binary())})
 
-    return signed.filter("n_shingles > 0").select("row", "digest", "shingles").mapInArrow(enter, "entry long, row long")
+    texts = _maybe_among(pick(docs, "doc_id", "text"), wanted, "doc_id")
+    found = texts.mapInArrow(sets, "digest binary, data binary").join(wanted.select("row", "digest"), "digest")
+    return found.groupBy("row").agg(F.min("data").alias("data"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -189,12 +203,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     no rows. Other columns are not looked at.
     """
     # Rows are told apart by a number from here on, so that no id gathers many texts.
-    signed = written(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    signed = written(signatures(docs, width, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min(order).alias("first"))
     classes = written(classes.select("digest", F.col("first.row").alias("row"), F.col("first.doc_id").alias("node")), "classes")
     # Both reads of this exchange share one shuffle.
-    entries = entries_of(signed, percent).repartition("entry")
+    entries = signed.select(F.explode("entries").alias("entry"), "row").repartition("entry")
     shared = entries.groupBy("entry").agg(F.min("row").alias("hub"), F.max("row").alias("most")).filter("hub < most")
     members = entries.join(shared.select("entry", "hub"), "entry").join(classes.select("row"), "row", "left_semi")
     members = written(members.groupBy("hub", "row").agg(F.collect_list("entry").alias("entries")), "members")
@@ -203,7 +217,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     near = _met(members.join(sizes, "row"), signed.select("row", F.col("sketch").alias("data")), 1, percent, _hopeful)
     near = written(near.distinct(), "near")
     close = members.join(near, ["hub", "row"], "left_semi").join(sizes, "row")
-    links = _met(close, signed.select("row", F.col("shingles").alias("data")), 8, percent, _forest)
+    wanted = classes.join(near.select("row").distinct(), "row").select("row", F.col("node").alias("doc_id"), "digest")
+    links = _met(close, _sets(docs, written(wanted, "wanted"), width), 8, percent, _forest)
     links = links.select(F.col("hub").alias("a"), F.col("row").alias("b"))
     # An id with several texts links their classes, whichever row names them.
     named = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -232,7 +247,7 @@ def _met(members: DataFrame, data: DataFrame, scale: int, percent: int, judge) -
     meeting = F.xxhash64("hub", F.least("block", "other"), F.greatest("block", "other")).alias("meeting")
     across = (F.col("block") != F.col("other")).alias("across")
     rows = written(rows.select(meeting, "hub", "row", "block", across, "n", "entries"), "meetings")
-    rows = rows.join(_wanted(data, rows), "row")
+    rows = rows.join(_maybe_among(data, rows, "row"), "row")
     rows = rows.select("meeting", "hub", "row", "block", "across", "n", "entries", "data")
     rows = rows.repartition("meeting").sortWithinPartitions("meeting")
 
@@ -259,14 +274,15 @@ def _met(members: DataFrame, data: DataFrame, scale: int, percent: int, judge) -
     return rows.mapInArrow(compare, "hub long, row long")
 
 
-def _wanted(data: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of ``data`` those rows that may be among ``rows``: a bitmap of fixed size leaves out the others before they move."""
-    slot = (F.pmod(F.xxhash64("row"), F.lit(1 << WANTED)) + 1).alias("slot")
+def _maybe_among(data: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``data`` without most of what is not among ``rows``: a bitmap of fixed size leaves it out before it moves."""
+    slot = (F.pmod(F.xxhash64(key), F.lit(1 << WANTED)) + 1).alias("slot")
     maps = rows.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("nth"))
     maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     placed = data.select("*", slot).withColumn("nth", F.bitmap_bucket_number("slot")).withColumn("place", F.bitmap_bit_position("slot"))
     byte = "cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)"
-    return placed.join(F.broadcast(maps), "nth").filter(f"(shiftright({byte}, cast(place % 8 as int)) & 1) = 1").select("row", "data")
+    kept = placed.join(F.broadcast(maps), "nth").filter(f"(shiftright({byte}, cast(place % 8 as int)) & 1) = 1")
+    return kept.select(*data.columns)
 
 
 class Meeting:

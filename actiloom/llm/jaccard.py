@@ -210,8 +210,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # Both reads of this exchange share one shuffle.
     entries = signed.select(F.explode("entries").alias("entry"), "row").repartition("entry")
     shared = entries.groupBy("entry").agg(F.min("row").alias("hub"), F.max("row").alias("most")).filter("hub < most")
-    members = entries.join(shared.select("entry", "hub"), "entry").join(classes.select("row"), "row", "left_semi")
+    members = entries.join(shared.select("entry", "hub"), "entry")
     members = written(members.groupBy("hub", "row").agg(F.collect_list("entry").alias("entries")), "members")
+    # Copies of other tasks go here: any earlier, the two reads would differ and each be shuffled by itself.
+    members = members.join(classes.select("row"), "row", "left_semi")
     sizes = signed.select("row", F.col("n_shingles").alias("n"))
     # A sketch has up to half a byte for a shingle, a set eight bytes.
     near = _met(members.join(sizes, "row"), signed.select("row", F.col("sketch").alias("data")), 1, percent, _hopeful)

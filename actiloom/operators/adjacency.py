@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-#: Distinct ends of a frontier that are pushed into the scan; a larger one is joined bucket by bucket.
+#: Rows of a frontier whose ends are pushed into the scan; a larger one is joined bucket by bucket.
 PUSHED = 1000
 
 
@@ -30,13 +30,16 @@ class Adjacency:
         writer.option("path", scratch_path(spark, name)).saveAsTable(name)
         self.links = spark.table(name)
 
-    def meet(self, frontier: DataFrame) -> DataFrame:
-        """The links whose near end is in the frontier, which has a column of that name, with its other columns.
+    def meet(self, frontier: DataFrame) -> DataFrame | None:
+        """The links whose near end is in the frontier, with the frontier's other columns; None of an empty one.
 
-        ``frontier`` should be a written table: its keys are looked at first.
+        ``frontier`` has a column named like the near end, and should be a
+        written table: its first keys are looked at before anything is joined.
         """
-        keys = frontier.select(self.near).distinct().limit(PUSHED + 1).collect()
-        links = self.links
-        if len(keys) <= PUSHED:
-            links = links.where(F.col(self.near).isin([k[0] for k in keys]))
-        return links.join(frontier, self.near)
+        first = frontier.select(self.near).take(PUSHED + 1)
+        if not first:
+            return None
+        if len(first) > PUSHED:
+            return self.links.join(frontier, self.near)
+        links = self.links.where(F.col(self.near).isin(*{row[0] for row in first}))
+        return links if frontier.columns == [self.near] else links.join(frontier, self.near)

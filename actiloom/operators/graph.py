@@ -50,9 +50,11 @@ def walk(
     levels = Rounds(edges.sparkSession, "walk")
     here = F.col("id")
     level = levels.add(roots.select(here.alias("root"), here.alias("node")).distinct())
-    while not levels.empty and levels.count <= max_depth:
-        found = steps.meet(level.select("root", F.col("node").alias("near")))
-        found = written(found.select("root", F.col("far").alias("node")).distinct(), "found")
+    while levels.count <= max_depth:
+        met = steps.meet(level.select("root", F.col("node").alias("near")))
+        if met is None:
+            break
+        found = written(met.select("root", F.col("far").alias("node")).distinct(), "found")
         # What was visited is looked up by what was found, and not moved.
         old = levels.read().select("root", "node").join(found, ["root", "node"], "left_semi")
         level = levels.add(found.join(old, ["root", "node"], "left_anti"))
@@ -284,10 +286,9 @@ def first_visits(lines: DataFrame, roots: DataFrame) -> DataFrame:
         )
     )
     least = F.min(F.struct("path", "on")).alias("_m")
-    while not moves.empty:
+    while (met := steps.meet(moved.select(F.col("root").alias("_of"), F.col("node").alias("near"), "path", "on"))) is not None:
         # Edges and places of one node stand for different roots: both must agree.
-        offers = steps.meet(moved.select(F.col("root").alias("_of"), F.col("node").alias("near"), "path", "on"))
-        offers = offers.where((F.col("root") == F.col("_of")) & ~F.array_contains("on", F.col("node")))
+        offers = met.where((F.col("root") == F.col("_of")) & ~F.array_contains("on", F.col("node")))
         offers = offers.select(
             "root", "node", F.concat("path", F.array("edge_uid")).alias("path"), F.concat("on", F.array("node")).alias("on")
         )

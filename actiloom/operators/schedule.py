@@ -196,9 +196,8 @@ def waves(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     waiting, merged = start.where("open > 0"), 0
     closed, placed = Rounds(tasks.sparkSession, "closed"), Rounds(tasks.sparkSession, "placed")
     ready = placed.add(start.where("open = 0").select("task"))
-    while not placed.empty:
-        hits = links.meet(ready.select(F.col("task").alias("dep"))).groupBy("task")
-        just = closed.add(hits.agg((-F.count(F.lit(1))).alias("open")))
+    while (hits := links.meet(ready.select(F.col("task").alias("dep")))) is not None:
+        just = closed.add(hits.groupBy("task").agg((-F.count(F.lit(1))).alias("open")))
         state = waiting.unionAll(closed.read(merged).select("task", "open")).join(just.select("task"), "task", "left_semi")
         ready = placed.add(state.groupBy("task").agg(F.sum("open").alias("open")).where("open = 0").select("task"))
         if closed.count - merged == MERGE:
@@ -366,13 +365,12 @@ def blocked(deps: DataFrame, failed: DataFrame) -> DataFrame:
     links = Adjacency(deps.select("task", "dep"), "dep")
     met = Rounds(deps.sparkSession, "blocked")
     frontier = written(failed.select("task").distinct(), "failed")
-    while True:
-        step = written(links.meet(frontier.select(F.col("task").alias("dep"))).select("task").distinct(), "step")
+    while (hits := links.meet(frontier.select(F.col("task").alias("dep")))) is not None:
+        step = written(hits.select("task").distinct(), "step")
         # What was met is looked up by the few tasks of the step, and not moved.
         old = met.read().select("task").join(step, "task", "left_semi") if met.count else step.where("false")
         frontier = met.add(step.join(old, "task", "left_anti"))
-        if met.empty:
-            return met.read().select("task")
+    return met.read().select("task") if met.count else frontier
 
 
 def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:

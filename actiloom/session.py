@@ -81,8 +81,6 @@ class Rounds:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path, self.count, self.schema = spark, scratch_path(spark, name), 0, None
-        #: Whether the last round had no rows.
-        self.empty = True
 
     def add(self, df: DataFrame) -> DataFrame:
         """Writes the next round and returns it as read back."""
@@ -90,9 +88,7 @@ class Rounds:
         df.write.parquet(path)
         self.count += 1
         self.schema = df.schema
-        rows = self.spark.read.schema(df.schema).parquet(path)
-        self.empty = rows.isEmpty()
-        return rows
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def read(self, first: int = 0) -> DataFrame:
         """The rows of the rounds from ``first`` on, with ``round``."""

@@ -266,6 +266,7 @@ def test_frontiers_meet_links_without_moving_them(spark, monkeypatch):
     plan = table.meet(few)._jdf.queryExecution().executedPlan().toString()
     assert "In(near, [0,1,2])" in plan or "near IN (0,1,2)" in plan.replace("`", "") or "INSET" in plan
     assert "SelectedBucketsCount: 4 out of 4" not in plan or "PushedFilters: [In(near" in plan
+    assert table.meet(few.where('near > 5')) is None
     monkeypatch.setattr(adjacency, "PUSHED", 1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

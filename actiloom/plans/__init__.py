@@ -11,6 +11,7 @@ _MODULES = [
     "graph_queries",
     "schedule_queries",
     "capture_queries",
+    "stream_queries",
 ]
 
 

@@ -13,17 +13,30 @@ from ..operators import feed
 from ..operators import schedule as scheduling
 from ..sources.store import Store
 
+#: How far a row's time may lie behind the newest one for the row to be taken.
+WATERMARK = "10 minutes"
 
-def event_tail(events: DataFrame, agent: str | None = None) -> DataFrame:
-    """New events, of one agent if asked; the filter runs before the sink."""
-    return events if agent is None else events.where(F.col("agent") == agent)
 
+def event_tail(events: DataFrame, agent: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+    """New events, of one agent if asked, each id once; the filter runs before the state and the sink."""
+    return _each_once(events if agent is None else events.where(F.col("agent") == agent), watermark)
 
-def conversation_tail(messages: DataFrame, session: str) -> DataFrame:
-    return messages.where(F.col("session") == session)
 
+def conversation_tail(messages: DataFrame, session: str, watermark: str = WATERMARK) -> DataFrame:
+    """New messages of one session, each id once."""
+    return _each_once(messages.where(F.col("session") == session), watermark)
 
-def merged_feed(messages: DataFrame, events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+
+def _each_once(rows: DataFrame, watermark: str) -> DataFrame:
+    """A batch written again after a crash shows up as new files; its rows are known by their ids.
+
+    Ids are forgotten once the watermark has passed them, and rows as old as
+    that are not taken any more, so a repeated batch of any age adds nothing.
+    """
+    return rows.withWatermark("valid_from", watermark).dropDuplicatesWithinWatermark(["id"])
+
+
+def merged_feed(messages: DataFrame, events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """New messages and events in the feed's row shape, each id once.
 
     A batch written again after a crash shows up as new files; within the
@@ -31,13 +44,16 @@ def merged_feed(messages: DataFrame, events: DataFrame, watermark: str = "10 min
     watermark and the slower one counts, so rows of a table that lags are kept;
     while one table is silent, the ids of the other stay remembered.
     """
+    policy = messages.sparkSession.conf.get("spark.sql.streaming.multipleWatermarkPolicy")
+    if policy != "min":
+        raise ValueError(f"spark.sql.streaming.multipleWatermarkPolicy is {policy}: rows of the slower table would be lost")
     sides = feed.message_rows(messages), feed.event_rows(events)
     slow, fast = (side.withWatermark("valid_from", watermark) for side in sides)
     return slow.unionByName(fast).dropDuplicatesWithinWatermark(["kind", "id"])
 
 
 def windowed_counts(
-    rows: DataFrame, time: str = "valid_from", width: str = "1 minute", watermark: str = "10 minutes"
+    rows: DataFrame, time: str = "valid_from", width: str = "1 minute", watermark: str = WATERMARK
 ) -> DataFrame:
     """Rows per tumbling window; a window is final once the watermark passes it.
 

@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from actiloom.operators import versioned as V
 from actiloom.sources.store import Store
-from actiloom.streaming import live
+from actiloom.streaming import live, stateful
 
 T0 = dt.datetime(2026, 1, 1, 10, 0, 0)
 
@@ -101,6 +102,60 @@ def test_feed_survives_a_rewritten_batch(spark, tmp_path):
     assert sorted(seen) == ["e1", "e2"]
 
 
+def follow(df, path, seen):
+    query = (
+        df.writeStream.foreachBatch(lambda rows, n: seen.extend(r.id for r in rows.select("id").collect()))
+        .option("checkpointLocation", path).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def test_tails_repeat_no_batch_and_take_rows_in_time(spark, tmp_path):
+    store, seen = Store(spark, str(tmp_path / "t")), []
+    store.create("telemetry_stream")
+    tail = live.event_tail(store.stream("telemetry_stream"), "a", "1 minute")
+    add(spark, store, "telemetry_stream", [event(1, 0), event(2, 300)], "b-0")
+    follow(tail, str(tmp_path / "cp"), seen)
+    # The first batch again, one row a little late and one far too late.
+    add(spark, store, "telemetry_stream", [event(1, 0), event(2, 300)], "b-0")
+    add(spark, store, "telemetry_stream", [event(3, 290), event(4, 1), event(5, 400), event(6, 400, "b")], "b-1")
+    follow(tail, str(tmp_path / "cp"), seen)
+    assert sorted(seen) == ["e1", "e2", "e3", "e5"]
+
+
+def test_feed_refuses_a_watermark_that_loses_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for table in ("message", "telemetry_stream"):
+        store.create(table)
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
+    try:
+        with pytest.raises(ValueError, match="multipleWatermarkPolicy"):
+            live.merged_feed(store.stream("message"), store.stream("telemetry_stream"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
+
+
+def test_grown_records_across_batches(spark, tmp_path):
+    schema = "file string, offset long, record_id string, text string"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    batches = [
+        [("f", 1, "x", "ab"), ("f", 2, "x", "a"), ("f", 3, None, "n"), ("g", 1, "x", None)],
+        [("f", 4, "x", "ab"), ("f", 5, "y", "y"), ("g", 2, "x", "z")],
+        [("f", 6, "x", "abcd"), ("f", 7, "x", "abc"), ("f", 8, None, "n"), ("g", 3, "x", "z")],
+    ]
+    seen = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / f"batch={n}"))
+        query = (
+            stateful.grown_records(stream).writeStream.foreachBatch(lambda df, _: seen.extend((r.file, r.offset) for r in df.collect()))
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    # The last line of a batch goes on, if it is longer than all that came in earlier batches.
+    assert sorted(seen) == [("f", 2), ("f", 3), ("f", 5), ("f", 7), ("f", 8), ("g", 1), ("g", 2)]
+
+
 def test_no_private_checkpoints(spark):
     """Lineage is cut in the shared folder the session names."""
     from actiloom.session import materialize, shared_dir

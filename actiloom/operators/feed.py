@@ -9,7 +9,8 @@ from .. import model
 from ..functions import clock
 from ..functions import jsonval as J
 from ..functions import text as X
-from . import analytics, lookup
+from ..session import written
+from . import analytics, lookup, skew
 
 # Feed order. Times can tie across and inside the two tables.
 NEWEST = ("valid_from", "kind", "id")
@@ -191,9 +192,24 @@ def directory(sessions_view: DataFrame) -> DataFrame:
     )
 
 
+#: What a feed row's session depends on.
+WHO = ("kind", "session_id", "session_src", "agent_id")
+
+
 def attribute(feed: DataFrame, sessions_view: DataFrame, agents: DataFrame) -> DataFrame:
     """Feed rows with the session they belong to and its label.
 
+    Sessions are found for the distinct senders, which tasks combine before
+    anything moves, and joined back to the rows. A sender of very many rows gets
+    its answer by broadcast, so these rows and their contents stay where they are.
+    """
+    senders = feed.select(*WHO).distinct()
+    return skew.join_apart(feed, written(attribute_senders(senders, sessions_view, agents), "senders"), WHO)
+
+
+def attribute_senders(senders: DataFrame, sessions_view: DataFrame, agents: DataFrame) -> DataFrame:
+    """Per sender (the columns ``WHO``) the ``label`` and ``key`` of its session.
+
     Messages go by session id, events by source key. Of several sessions with
     one key the one whose agent the event names wins, else the first.
     Candidates are reduced to one per key and one per (key, agent) before the
@@ -214,12 +230,12 @@ def attribute(feed: DataFrame, sessions_view: DataFrame, agents: DataFrame) -> D
     )
     names = agents.select(F.col("id").cast("string").alias("a_id"), F.col("name").alias("a_name"))
 
-    m = feed.where("kind = 'message'")
+    m = senders.where("kind = 'message'")
     m = m.join(view, m["session_id"] == view["d_session"], "left").select(
-        *feed.columns, F.when(F.col("d_session").isNotNull(), candidate).alias("_match")
+        *WHO, F.when(F.col("d_session").isNotNull(), candidate).alias("_match")
     )
     e = (
-        feed.where("kind <> 'message'")
+        senders.where("kind <> 'message'")
         .join(names, F.col("agent_id") == F.col("a_id"), "left")
         .join(first, F.col("session_src") == F.col("d_key"), "left")
         .join(
@@ -228,7 +244,7 @@ def attribute(feed: DataFrame, sessions_view: DataFrame, agents: DataFrame) -> D
             "left",
         )
         .select(
-            *feed.columns,
+            *WHO,
             F.when(F.col("_n") > 1, F.coalesce("_named", "_first"))
             .otherwise(F.col("_first"))
             .alias("_match"),
@@ -248,6 +264,6 @@ def attribute(feed: DataFrame, sessions_view: DataFrame, agents: DataFrame) -> D
         .otherwise(X.short_id(F.col("session_src")))
     )
     key = F.coalesce(match["d_session"], F.when(F.col("kind") == "message", F.col("session_id")), F.col("session_src"))
-    return m.unionByName(e).select(*feed.columns, label.alias("label"), key.alias("key"))
+    return m.unionByName(e).select(*WHO, label.alias("label"), key.alias("key"))
 
 

@@ -150,25 +150,19 @@ def check_links(
     relations = (
         types.where("category = 'relation'").select(F.col("name").alias("_rel")).distinct()
     )
-    taken = active_links(edges, order).select(
-        F.col("in").alias("_in"), F.col("out").alias("_out"), F.col("rel_type").alias("_r")
-    )
-    # The first request per link is an aggregate with map-side combine, so
-    # one link asked for very often does not fill one task.
-    firsts = requests.groupBy(*_ends()).agg(F.min("id").alias("_first"))
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(x) == F.col(y) for x, y in (("in", "_in"), ("out", "_out"), ("rel_type", "_r"))],
-    )
-    joined = (
-        requests.join(firsts, ["in", "out", "rel_type"], "left")
-        .join(relations, F.col("rel_type") == F.col("_rel"), "left")
-        .join(taken, same, "left")
-    )
+    ends, now = ["in", "out", "rel_type"], ("in", "out", "rel_type", "active")
+    on = versioned.latest_by(edges, ["edge_uid"], order, now).where("active")
+    asked = requests.select(*ends, F.col("id").alias("_id"), F.lit(False).alias("_on"))
+    there = on.select(*ends, F.lit(None).cast(requests.schema["id"].dataType).alias("_id"), F.lit(True).alias("_on"))
+    # Requests and active links meet in one aggregate with map-side combine, so one
+    # link asked for very often does not fill one task; its result is dealt out as
+    # the join back to the requests wants it.
+    marks = asked.unionAll(there).groupBy(*ends).agg(F.min("_id").alias("_first"), F.bool_or("_on").alias("_taken"))
+    joined = requests.join(marks, ends, "left").join(relations, F.col("rel_type") == F.col("_rel"), "left")
     reason = (
         F.when(F.col("_rel").isNull(), "unknown relation")
         .when(F.col("in") == F.col("out"), "self link")
-        .when(F.col("_in").isNotNull(), "already linked")
+        .when(F.col("_taken"), "already linked")
         .when(F.col("id") != F.col("_first"), "asked for twice")
     )
     return _split(joined, reason, requests.columns)

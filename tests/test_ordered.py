@@ -6,7 +6,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from actiloom.operators import ordered, versioned
+from actiloom.operators import ordered, skew, versioned
 
 
 @contextmanager
@@ -118,3 +118,26 @@ def test_newest_per_key(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "k string, t int")
     found = ordered.newest_per_key(df, ["k"], ["t"], 2).collect()
     assert sorted((r.k, r.t) for r in found) == [("a", 7), ("a", 8), ("b", 1)]
+
+
+def test_rows_of_heavy_keys_stay_where_they_are(spark):
+    """A third of the rows under one key, another third under none: the join answers all and moves only the rest."""
+    rows = spark.range(30_000).select(
+        F.expr("case id % 3 when 0 then 'hot' when 1 then null else concat('k', id % 997) end").alias("k"),
+        F.col("id"), F.lit("wide").alias("body"),
+    )
+    table = rows.select("k").distinct().withColumn("answer", F.concat(F.lit("a-"), F.coalesce("k", F.lit("none"))))
+    heavy = skew.heavy_keys(rows, ["k"], 2)
+    assert len(heavy) == 2
+    with settings(spark, 12):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            found = skew.join_apart(rows, table, ["k"])
+            assert found.columns == ["k", "id", "body", "answer"] and found.count() == 30_000
+            assert found.where("answer <> concat('a-', coalesce(k, 'none')) or answer is null").isEmpty()
+            parts = found.where("id % 3 = 2").groupBy(F.spark_partition_id().alias("p")).count().collect()
+            sizes = sorted(r["count"] for r in parts)
+            assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert skew.join_apart(rows.limit(0), table, ["k"]).count() == 0

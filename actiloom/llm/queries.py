@@ -30,6 +30,27 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op1_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), e AS (
+  SELECT rid, len(s) AS n, unnest(s) AS shingle FROM s
+), l AS (
+  SELECT a.rid AS a, b.rid AS b FROM e AS a JOIN e AS b ON a.shingle = b.shingle AND a.rid <> b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (
+  SELECT rid, rid AS node FROM s UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.node
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(t.doc_id) AS component_id
+FROM s JOIN r ON r.rid = s.rid JOIN s AS t ON t.rid = r.node GROUP BY s.rid, s.doc_id, s.s
+"""
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
@@ -45,6 +66,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op10_decontamination"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark
+), t AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2),
+    lambda k: array_to_string(w[k:k + least(len(w), 10) - 1], ' '))) AS string FROM i WHERE len(w) > 0
+), z AS (
+  SELECT DISTINCT size FROM t
+), p AS (
+  SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS start FROM d, z WHERE len(w) >= size
+), h AS (
+  SELECT rid, start, p.size AS size, item_id FROM p JOIN t ON t.size = p.size AND t.string = array_to_string(w[start:start + p.size - 1], ' ')
+), n AS (
+  SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(start, start + size)) AS place FROM h) GROUP BY rid
+), m AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM h) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), DROPPED, size=2048, end=0)

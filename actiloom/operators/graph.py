@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import jsonval as J
 from ..functions import text as X
-from ..session import Rounds, materialize, written
+from ..session import Rounds, written
 from . import ordered, versioned
 from .adjacency import Adjacency
 
@@ -536,7 +536,7 @@ def create_entities(requests: DataFrame, now: Column) -> tuple[DataFrame, DataFr
 
     The new ids must be the same in both results, so they are fixed first.
     """
-    made = materialize(requests.withColumns({"id": F.expr("uuid()"), "_at": now}))
+    made = written(requests.withColumns({"id": F.expr("uuid()"), "_at": now}))
     anchors = made.select("id", "entity_type", F.col("_at").alias("created_at"))
     states = made.select(
         F.expr("uuid()").alias("id"),
@@ -580,7 +580,7 @@ def add_comments(requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame
 def _text_rows(
     rows: DataFrame, now: Column, name: Column | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    made = materialize(
+    made = written(
         rows.withColumns(
             {
                 "_new": F.col("_node").isNull(),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import clock
-from ..session import Rounds, materialize, written
+from ..session import Rounds, written
 from . import graph, versioned
 from .adjacency import Adjacency
 
@@ -230,7 +230,7 @@ def _trim(links: DataFrame) -> DataFrame:
     while count:
         sources = links.select(F.col("task").alias("dep")).distinct()
         targets = links.select(F.col("dep").alias("task")).distinct()
-        links = materialize(
+        links = written(
             links.join(sources, "dep", "left_semi").join(targets, "task", "left_semi").select("task", "dep")
         )
         left = links.count()
@@ -248,13 +248,13 @@ def cycle_members(deps: DataFrame) -> DataFrame:
     component per colour. Nothing larger than the links themselves is kept,
     unlike a transitive closure. Rounds repeat on the links that remain.
     """
-    links = materialize(deps.select("task", "dep").distinct())
+    links = written(deps.select("task", "dep").distinct())
     loops = links.where("task = dep").select("task")
-    links = _trim(materialize(links.where("task <> dep")))
+    links = _trim(written(links.where("task <> dep")))
     found = [loops]
     while not links.isEmpty():
         colours = _colours(links)
-        inside = materialize(_within_colour(links, colours))
+        inside = written(_within_colour(links, colours))
         members = colours.where("node = colour").select("node", "colour")
         frontier = members
         while True:
@@ -265,15 +265,15 @@ def cycle_members(deps: DataFrame) -> DataFrame:
                 .distinct()
                 .join(members, ["node", "colour"], "left_anti")
             )
-            frontier = materialize(back)
+            frontier = written(back)
             if frontier.isEmpty():
                 break
-            members = materialize(members.unionByName(frontier))
+            members = written(members.unionByName(frontier))
         sizes = members.groupBy("colour").count().where("count > 1").select("colour")
         found.append(members.join(sizes, "colour", "left_semi").select(F.col("node").alias("task")))
         gone = members.select("node")
         links = _trim(
-            materialize(
+            written(
                 links.join(gone.select(F.col("node").alias("task")), "task", "left_anti").join(
                     gone.select(F.col("node").alias("dep")), "dep", "left_anti"
                 ).select("task", "dep")
@@ -285,7 +285,7 @@ def cycle_members(deps: DataFrame) -> DataFrame:
 def _colours(links: DataFrame) -> DataFrame:
     """The smallest id that reaches each node along task -> dep."""
     nodes = links.select(F.col("task").alias("node")).union(links.select("dep")).distinct()
-    colours = materialize(nodes.withColumn("colour", F.col("node")))
+    colours = written(nodes.withColumn("colour", F.col("node")))
     while True:
         offers = (
             links.join(colours, links["task"] == colours["node"])
@@ -300,7 +300,7 @@ def _colours(links: DataFrame) -> DataFrame:
                 (F.col("offer") < F.col("colour")).alias("_changed"),
             )
         )
-        moved = materialize(moved)
+        moved = written(moved)
         colours = moved.select("node", "colour")
         if moved.where("_changed").isEmpty():
             return colours
@@ -384,8 +384,8 @@ def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     Skipped are exactly the tasks behind a bad one, so a reachability walk
     decides all outcomes and the reasons follow from one join.
     """
-    own = materialize(tasks.select("task", "outcome"))
-    wanted = materialize(deps.select("task", "dep", "position"))
+    own = written(tasks.select("task", "outcome"))
+    wanted = written(deps.select("task", "dep", "position"))
     known = own.select(F.col("task").alias("dep"))
     inner = wanted.join(known, "dep", "left_semi")
     unknown = wanted.join(known, "dep", "left_anti")
@@ -395,7 +395,7 @@ def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     marks = stuck.withColumn("_mark", F.lit("not started")).unionAll(
         behind.join(stuck, "task", "left_anti").withColumn("_mark", F.lit("skipped"))
     )
-    final = materialize(
+    final = written(
         own.join(marks, "task", "left").select(
             "task", F.coalesce("_mark", "outcome").alias("outcome"), F.col("_mark").alias("mark")
         )

@@ -1,6 +1,7 @@
 """The pipeline's stages and their effects."""
 
 from pyspark.sql import functions as F
+from test_llm_jaccard import brute, near_copies, sets_of
 
 import corpus_pipeline
 from actiloom.llm import quality
@@ -52,6 +53,20 @@ def test_one_row_of_each_group_stays(spark):
     assert ({(None, text(2)), (None, text(2, 1))} & set(kept)) and not {(9, text(1)), (5, text(4))} & set(kept)
 
 
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    """The given documents and a large group of near copies: of each group linked at 0.8 over five words one stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    copies = [(1_000_000 + k, text) for k, text in near_copies(200, 9, 200, 2)]
+    more = spark.createDataFrame(copies, "doc_id long, text string").select(
+        "doc_id", "text", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c not in ("doc_id", "text"))
+    )
+    both = docs.unionByName(more)
+    rows = [tuple(r) for r in both.select("doc_id", "text").collect()]
+    expected = {doc_id for doc_id, (_, least) in brute(sets_of(rows, 5), 80).items() if doc_id == least}
+    kept = corpus_pipeline.near_duplicates(spark, both, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(expected) and len(expected) < len(rows)
+
+
 def test_empty(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

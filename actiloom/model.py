@@ -109,6 +109,14 @@ GRAPH_CATEGORIES = ["entity", "relation"]
 SCHEDULE_STATUSES = ["scheduled", "fired", "cancelled"]
 RUN_STATUSES = ["dispatched", "done", "failed", "cancelled"]
 MODULE_INTENTS = ["enabled", "disabled"]
+VOCABULARIES = {
+    "type_definition": {"category": TYPE_CATEGORIES, "memory_tier": MEMORY_TIERS},
+    "cursor_type": {"category": CURSOR_CATEGORIES},
+    "module": {"kind": MODULE_KINDS},
+    "entity_type": {"category": GRAPH_CATEGORIES},
+    "schedule": {"status": SCHEDULE_STATUSES},
+    "run": {"status": RUN_STATUSES},
+}
 LIFECYCLE_TAGS = ["enabled", "starting", "active", "failed", "skipped", "disabled"]
 
 # Kernel types: uid, category, memory tier.

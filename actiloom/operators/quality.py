@@ -109,6 +109,11 @@ def check_enums(rows: DataFrame, allowed: Mapping[str, Sequence[str]]) -> Split:
     return _split(rows, F.coalesce(*reasons))
 
 
+def check_vocabulary(rows: DataFrame, table: str) -> Split:
+    """The columns of a table that only hold fixed words: each must hold one of its own."""
+    return check_enums(rows, model.VOCABULARIES[table])
+
+
 def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 

@@ -158,18 +158,7 @@ def dependencies(
     )
     known = tasks.select(F.col("task").alias("dep"))
     deps = depends.join(known, "dep", "left_semi").select("task", "dep")
-    warnings = depends.join(known, "dep", "left_anti").select(
-        "task",
-        "name",
-        "dep",
-        F.concat(
-            F.lit("task '"),
-            F.col("name"),
-            F.lit("' depends on "),
-            F.col("dep").cast("string"),
-            F.lit(", not a task here; treated as satisfied"),
-        ).alias("warning"),
-    )
+    warnings = depends.join(known, "dep", "left_anti").select("task", "name", "dep", F.lit("no task").alias("reason"))
     return tasks.select("task"), deps, warnings
 
 
@@ -516,18 +505,6 @@ def pinned_versions(runs: DataFrame, edges: DataFrame, states: DataFrame) -> Dat
     )
 
 
-def subgraph_plan(
-    edges: DataFrame,
-    anchors: DataFrame,
-    states: DataFrame,
-    roots: DataFrame,
-    depth: int = model.PLAN_DEPTH,
-) -> tuple[DataFrame, DataFrame]:
-    """Labelled nodes and edges a plan is computed from."""
-    nodes, walked = graph.subgraph(edges, roots, depth)
-    return graph.with_meta(nodes, anchors, states), walked
-
-
 def recurrence_events(rows: DataFrame) -> DataFrame:
     """Announcements for re-enqueued schedules."""
     payload = F.to_json(

@@ -69,23 +69,6 @@ def tool_uses(messages: DataFrame) -> DataFrame:
     )
 
 
-def tool_results(messages: DataFrame) -> DataFrame:
-    block = F.col("block")
-    return (
-        blocks(messages)
-        .where(J.str_at(block, "$.type") == "tool_result")
-        .select(
-            "id",
-            "session",
-            "valid_from",
-            "pos",
-            J.str_at(block, "$.tool_use_id").alias("call_id"),
-            F.coalesce(J.bool_at(block, "$.is_error"), F.lit(False)).alias("failed"),
-        )
-        .where("call_id is not null")
-    )
-
-
 def written_lines(block: Column) -> Column:
     """Lines a call writes: content, else new_string, else every edit's new_string."""
     text = F.coalesce(J.str_at(block, "$.input.content"), J.str_at(block, "$.input.new_string"))

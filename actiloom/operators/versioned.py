@@ -248,17 +248,53 @@ def decode_lifecycle(states: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decoded, rejected
 
 
-def encode_lifecycle(transitions: DataFrame, now: Column) -> DataFrame:
-    """Ledger rows for transitions (target, tag, error, failed_during, reason, startup_duration_ms)."""
-    payload = F.to_json(
-        F.struct("tag", "error", "failed_during", "reason", "startup_duration_ms")
+#: What a state of each tag records besides the tag.
+LIFECYCLE_FIELDS = {"failed": ["error", "failed_during"], "skipped": ["reason"], "active": ["startup_duration_ms"]}
+
+
+def change_lifecycle(
+    requests: DataFrame, names: DataFrame, now: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger rows, events, refused) for changes of modules' lifecycles.
+
+    ``requests`` have ``id``, ``name``, ``tag``, ``error``, ``failed_during``, ``reason``
+    and ``startup_duration_ms``; ``names`` gives each module's ``entity``. A state keeps
+    the fields of its tag alone, a missing text being empty and a missing or negative
+    duration 0; the event announces the same. An unknown module or tag is refused.
+    Ids follow from the request, so writing a batch again changes nothing.
+    """
+    known = names.groupBy("name").agg(F.min("entity").alias("entity"))
+    tag = F.col("tag")
+    refusal = F.when(
+        ~F.coalesce(tag.isin(model.LIFECYCLE_TAGS), F.lit(False)), F.lit("unknown tag")
+    ).when(F.col("entity").isNull(), F.lit("unknown module"))
+    judged = requests.join(known, "name", "left").withColumn("refusal", refusal)
+    values = {
+        "startup_duration_ms": F.greatest(F.coalesce(F.col("startup_duration_ms").cast("bigint"), F.lit(0)), F.lit(0))
+    }
+
+    def own(field: str) -> Column:
+        tags = [t for t, fields in LIFECYCLE_FIELDS.items() if field in fields]
+        return F.when(tag.isin(tags), values.get(field, F.coalesce(field, F.lit("")))).alias(field)
+
+    fields = [own(f) for fields in LIFECYCLE_FIELDS.values() for f in fields]
+    done = judged.where("refusal is null")
+    states = done.select(
+        F.concat(F.col("id").cast("string"), F.lit("-state")).alias("id"),
+        F.col("entity").alias("target"),
+        F.lit("attr_lifecycle_state").alias("type"),
+        F.to_json(F.struct("tag", *fields)).alias("payload"),
+        now.alias("valid_from"),
     )
-    return supersede(
-        transitions.select(
-            "target", F.lit("attr_lifecycle_state").alias("type"), payload.alias("payload")
-        ),
-        now,
+    events = done.select(
+        F.concat(F.col("id").cast("string"), F.lit("-event")).alias("id"),
+        F.concat(F.lit("module_"), tag).alias("lifecycle_event"),
+        F.to_json(F.struct("name", *fields)).alias("payload"),
+        F.col("entity").cast("string").alias("subject"),
+        F.lit(None).cast("string").alias("agent"),
+        now.alias("valid_from"),
     )
+    return states, events, judged.where("refusal is not null").select(*requests.columns, "refusal")
 
 
 def module_inventory(modules: DataFrame, entities: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import model
@@ -119,6 +121,35 @@ def enum_rejects(spark, sf):
     return _both(Q.check_enums(M.schedules(spark, sf), allowed), "id")
 
 
+_WORDS = {
+    "type_definition": {"category": "node edge attribute thing", "memory_tier": "core working archival recall cold"},
+    "cursor_type": {"category": "workload telemetry other"},
+    "module": {"kind": "kernel_module adapter plugin"},
+    "entity_type": {"category": "entity relation node"},
+    "schedule": {"status": "scheduled fired cancelled done"},
+    "run": {"status": "dispatched done failed cancelled scheduled"},
+}
+
+
+@query(
+    "vocabulary_rejects",
+    """SELECT 'type_definition' AS checked, o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN 'bad category' ELSE 'bad memory_tier' END AS reason
+        FROM orders WHERE o_orderkey % 4 = 3 OR o_orderkey % 5 = 4
+      UNION ALL SELECT unnest(['cursor_type', 'entity_type', 'module']), o_orderkey, unnest(['bad category', 'bad category', 'bad kind']) FROM orders WHERE o_orderkey % 3 = 2
+      UNION ALL SELECT 'schedule', o_orderkey, 'bad status' FROM orders WHERE o_orderkey % 4 = 3
+      UNION ALL SELECT 'run', o_orderkey, 'bad status' FROM orders WHERE o_orderkey % 5 = 4""",
+)
+def vocabulary_rejects(spark, sf):
+    """Orders as rows of every table with fixed words, the last word of each list being none of them."""
+    orders, found = M.table(spark, sf, "orders"), []
+    for name, columns in _WORDS.items():
+        words = {c: F.array(*map(F.lit, w.split())) for c, w in columns.items()}
+        held = [F.element_at(w, (F.col("o_orderkey") % F.size(w) + 1).cast("int")).alias(c) for c, w in words.items()]
+        _, refused = Q.check_vocabulary(orders.select(F.col("o_orderkey").alias("id"), *held), name)
+        found.append(refused.select(F.lit(name).alias("checked"), "id", "reason"))
+    return reduce(lambda a, b: a.unionAll(b), found)
+
+
 @query(
     "duplicate_keys",
     c("edg", "SELECT edge_uid, count(*) AS copies FROM edg GROUP BY 1 HAVING count(*) > 1"),

@@ -265,3 +265,48 @@ def supersede_state(spark, sf):
     appended = V.supersede(requests, F.expr("timestamp_ntz'2030-01-01 00:00:00'"))
     after = V.current_state(ledger.unionByName(appended))
     return after.select("target", "type", value.alias("value"))
+
+
+_CHANGED = """WITH req AS (SELECT o_orderkey AS id, 'mod-' || o_custkey % 60 AS name,
+    ['starting', 'active', 'failed', 'skipped', 'disabled', 'gone'][(o_orderkey % 6 + 1)::INT] AS tag, o_orderkey % 50 - 5 AS took,
+    CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS detail FROM orders),
+  mods AS (SELECT DISTINCT 'mod-' || c_custkey AS name, c_custkey AS entity FROM customer WHERE c_custkey < 40),
+  j AS (SELECT req.*, entity FROM req LEFT JOIN mods USING (name))"""
+
+
+@query(
+    "lifecycle_changes",
+    f"""{_CHANGED} SELECT id, CASE WHEN tag = 'gone' THEN 'unknown tag' WHEN entity IS NULL THEN 'unknown module' END AS refusal,
+        NULL AS lifecycle_event, NULL AS target, NULL AS tag, NULL AS error, NULL AS reason, NULL AS took FROM j WHERE tag = 'gone' OR entity IS NULL
+      UNION ALL SELECT id, NULL, e, entity, CASE WHEN e IS NULL THEN tag END, CASE WHEN tag = 'failed' THEN coalesce(detail, '') END,
+        CASE WHEN tag = 'skipped' THEN coalesce(detail, '') END, CASE WHEN tag = 'active' THEN greatest(took, 0) END
+      FROM (SELECT *, unnest([NULL, 'module_' || tag]) AS e FROM j WHERE tag <> 'gone' AND entity IS NOT NULL)""",
+)
+def lifecycle_changes(spark, sf):
+    """Orders as requests to sixty modules, of which thirty-nine exist: states, events and refusals."""
+    detail = F.expr("CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END")
+    requests = M.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.expr("concat('mod-', o_custkey % 60)").alias("name"),
+        F.expr("element_at(array('starting', 'active', 'failed', 'skipped', 'disabled', 'gone'), int(o_orderkey % 6) + 1)").alias("tag"),
+        detail.alias("error"),
+        detail.alias("failed_during"),
+        detail.alias("reason"),
+        F.expr("o_orderkey % 50 - 5").alias("startup_duration_ms"),
+    )
+    names = M.table(spark, sf, "customer").where("c_custkey < 40").select(
+        F.expr("concat('mod-', c_custkey)").alias("name"), F.col("c_custkey").alias("entity")
+    )
+    states, events, refused = V.change_lifecycle(requests, names, F.expr("timestamp'2024-06-01'"))
+    fields = "tag string, error string, reason string, startup_duration_ms bigint"
+    number = F.substring_index("id", "-", 1).cast("bigint").alias("id")
+
+    def shown(rows, event, target):
+        body = rows.withColumn("_p", F.from_json("payload", fields))
+        return body.select(number, F.lit(None).cast("string").alias("refusal"), event.alias("lifecycle_event"), target.cast("bigint").alias("target"),
+            "_p.tag", "_p.error", "_p.reason", F.col("_p.startup_duration_ms").alias("took"))
+
+    none = F.lit(None)
+    gone = refused.select(F.col("id").cast("bigint").alias("id"), "refusal", *(none.cast(kind).alias(name) for name, kind in
+        (("lifecycle_event", "string"), ("target", "bigint"), ("tag", "string"), ("error", "string"), ("reason", "string"), ("took", "bigint"))))
+    return gone.unionAll(shown(states, none.cast("string"), F.col("target"))).unionAll(shown(events, F.col("lifecycle_event"), F.col("subject")))

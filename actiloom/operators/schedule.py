@@ -162,38 +162,47 @@ def dependencies(
     return tasks.select("task"), deps, warnings
 
 
-#: Rounds after which the closed dependencies of all rounds are taken off the open counts.
+#: Rounds after which the closed dependencies of all rounds are added up in one table.
 MERGE = 16
 
 
 def waves(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(task, wave) from 1, and the tasks no wave can hold.
 
-    Every task has a count of its open dependencies. A round looks only at the
-    dependents of what was placed just before: it writes how many of their
-    dependencies that closed, and which of them have none left. So what a round
-    writes follows its frontier and not what still waits. Now and then the
-    closed ones are taken off the open counts, which keeps the rounds to read
-    few. Counts are combined before they are shuffled, so a task with very many
-    dependencies, or one that very many wait for, is no hot spot.
+    Every dependency knows how many its task has in all. A round looks only at the
+    dependents of what was placed just before, adds what that closed to what
+    earlier rounds had closed of the same tasks, and so tells which of them have
+    none left. What a round writes follows its frontier, and not what still
+    waits; of earlier rounds it reads the tasks with some but not all of their
+    dependencies closed, now and then added up into one table. Counts are combined
+    before they are shuffled, so a task with very many dependencies, or one that
+    very many wait for, is no hot spot.
     """
-    wanted = deps.where("dep is not null").select("task", "dep")
-    links = Adjacency(wanted, "dep")
-    counts = links.links.groupBy("task").agg(F.count(F.lit(1)).alias("open"))
+    wanted = deps.where("dep is not null").select("task", "dep").distinct()
+    counts = wanted.groupBy("task").agg(F.count(F.lit(1)).alias("all"))
+    links = Adjacency(wanted.join(counts, "task"), "dep")
     known = tasks.select("task").distinct()
-    start = written(known.join(counts, "task", "left").select("task", F.coalesce("open", F.lit(0)).alias("open")), "open")
-    waiting, merged = start.where("open > 0"), 0
-    closed, placed = Rounds(tasks.sparkSession, "closed"), Rounds(tasks.sparkSession, "placed")
-    ready = placed.add(start.where("open = 0").select("task"))
-    while (hits := links.meet(ready.select(F.col("task").alias("dep")))) is not None:
-        just = closed.add(hits.groupBy("task").agg((-F.count(F.lit(1))).alias("open")))
-        state = waiting.unionAll(closed.read(merged).select("task", "open")).join(just.select("task"), "task", "left_semi")
-        ready = placed.add(state.groupBy("task").agg(F.sum("open").alias("open")).where("open = 0").select("task"))
-        if closed.count - merged == MERGE:
-            left = waiting.unionAll(closed.read(merged).select("task", "open")).groupBy("task").agg(F.sum("open").alias("open"))
-            waiting, merged = written(left.where("open > 0").join(waiting.select("task"), "task", "left_semi"), "open"), closed.count
-    found = placed.read().select("task", (F.col("round") + 1).alias("wave"))
-    return found, start.select("task").join(found, "task", "left_anti")
+    rounds, merged, earlier = Rounds(tasks.sparkSession, "waves"), 0, None
+    zero = F.lit(0).cast("bigint")
+    start = known.join(links.links.select("task").distinct(), "task", "left_anti")
+    ready = rounds.add(start.select("task", zero.alias("closed"), zero.alias("open")))
+    while (hits := links.meet(ready.where("open = 0").select(F.col("task").alias("dep")))) is not None:
+        some = rounds.read(merged).where("open > 0").select("task", "closed")
+        some = some if earlier is None else some.unionAll(earlier.select("task", "closed"))
+        none = F.lit(None).cast("bigint")
+        both = hits.select("task", F.lit(1).cast("bigint").alias("closed"), F.lit(1).alias("now"), "all").unionAll(
+            some.select("task", "closed", F.lit(0), none)
+        )
+        total = both.groupBy("task").agg(F.sum("closed").alias("so_far"), F.sum(F.col("closed") * F.col("now")).alias("closed"), F.max("all").alias("all"))
+        ready = rounds.add(total.where("closed > 0").select("task", "closed", (F.col("all") - F.col("so_far")).alias("open")))
+        if rounds.count - merged == MERGE:
+            held = rounds.read(merged).select("task", "closed", "open")
+            held = held if earlier is None else held.unionAll(earlier)
+            held = held.groupBy("task").agg(F.sum("closed").alias("closed"), F.min("open").alias("open")).where("open > 0")
+            earlier, merged = written(held, "closed"), rounds.count
+    # A task that no wave can hold was never left without an open dependency.
+    found = rounds.read().where("open = 0").select("task", (F.col("round") + 1).alias("wave")).join(known, "task", "left_semi")
+    return found, known.join(found, "task", "left_anti")
 
 
 def reverse_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -355,10 +364,8 @@ def blocked(deps: DataFrame, failed: DataFrame) -> DataFrame:
     met = Rounds(deps.sparkSession, "blocked")
     frontier = written(failed.select("task").distinct(), "failed")
     while (hits := links.meet(frontier.select(F.col("task").alias("dep")))) is not None:
-        step = written(hits.select("task").distinct(), "step")
-        # What was met is looked up by the few tasks of the step, and not moved.
-        old = met.read().select("task").join(step, "task", "left_semi") if met.count else step.where("false")
-        frontier = met.add(step.join(old, "task", "left_anti"))
+        step = hits.select("task").distinct()
+        frontier = met.add(step.join(met.read().select("task"), "task", "left_anti") if met.count else step)
     return met.read().select("task") if met.count else frontier
 
 

@@ -116,5 +116,7 @@ def forms() -> list[tuple[str, str, str]]:
     for licence, (spdx, names, needed) in NAMES.items():
         texts = [f"SPDX-License-Identifier: {spdx}"]
         texts += [f"{verb} under {article} {name}" for name in names for verb in ("licensed", "released") for article in ("the", "a")]
+        # A name that holds a version says by itself which licence is meant.
+        texts += [name for name in names if "License" in name and any(x.isdigit() for x in name)]
         out += ((licence, text, needed) for text in texts + TEXTS.get(licence, []))
     return out

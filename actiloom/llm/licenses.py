@@ -1,20 +1,26 @@
-"""License scans by wording and conditional compression.
-
-Each template is aligned word by word, case and line ends aside, with the whole
-text of every document that holds a word of licensing: the span that differs in
-the fewest words, if it lacks few enough of the template's. Of the templates the
-one with the most words in common wins, by compression if several do; its span is
-reported with the words that are missing and those that are added and is cut
-out, and what is left on either side is searched again. ``saved`` is the share
-of the span's compressed bytes that the template saves as a zstandard raw
-dictionary.
+"""License scans by conditional compression, confirmed by wording.
+
+Candidate blocks are the places of a whole text where templates have their closest
+wordings (aligned word by word, case, marks and line ends aside); what overlaps is
+one block. Every template whose words the block could hold compresses it as
+zstandard raw dictionary, and templates are ranked by the bytes that this takes off
+the block's compressed size. Down the ranking, the first whose exact differences
+confirm it, with few enough of its words missing, is the notice: none below saves
+as much. Of equal reductions the one that differs in fewer words wins, then the
+first by name. Its span is reported with the words that are missing and those that
+are added and is cut out, and what is left on either side is searched again.
+Identifiers in licence fields and expressions that are left over are blocks of
+their own. ``saved`` is the share of the span's compressed bytes that the template
+saves.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +54,16 @@ TEMPLATES = {
 MARKERS = r"licen[cs]e|licen[cs]ing|copyright|rights reserved|creative ?commons|\bcc[ -](by|0)|\bcc0\b|public domain|\b[al]?gpl(v\d)?\b|unencumbered"
 _MARKER = re.compile(MARKERS, re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
+#: An identifier of a licence, several of them, and the words before or after that make them a licence's.
+_ID = r"[a-z][a-z0-9]*(?:[.+-][a-z0-9]+)*\+?"
+_SEVERAL = rf"[(\"']*{_ID}(?:[)\"'\s]*[\s,/][\s(]*(?:and/or|or|and|with)[\s(\"']+{_ID})*"
+FIELDS = [
+    re.compile(rf"(?:\bspdx-license-identifier\s*:|\blicen[cs]es?(?:-expression)?\"?\s*[:=])\s*(?P<ids>{_SEVERAL})", re.I),
+    re.compile(rf"\blicen[cs]ed under(?: either| both)?(?: of)?(?: the)?\s+(?P<ids>{_SEVERAL})", re.I),
+    re.compile(rf"(?<![\w.+-])(?P<ids>{_ID})[- ]licen[cs]ed\b", re.I),
+]
+IDENTIFIERS = re.compile(rf"(?!(?:and|or|with)\b(?![.+-])){_ID}", re.I)
+IDENTIFIER = ["spdx", "license", "identifier"]
 LEVEL = 19
 #: Confirmed with at most this share of a template's words missing.
 TOLERANCE = 0.2
@@ -60,7 +76,7 @@ class Template:
         self.codes = [codes.setdefault(w, len(codes)) for w in self.words]
         self.counts = Counter(self.codes)
         self.most = int(TOLERANCE * len(self.words) + 1e-9)
-        self.given = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.given = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
     def possible(self, counts: Counter) -> bool:
         """Whether enough of the template's words occur at all."""
@@ -106,13 +122,21 @@ class Matcher:
         given += forms() if templates is None else []
         self.templates = [Template(name, text, self.codes, needed) for name, text, needed in sorted(given)]
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
-        self.saved = lru_cache(10_000)(self._saved)
+        self.given: dict[int, zstandard.ZstdCompressor] = {}
+        self.sizes = lru_cache(20_000)(self._sizes)
+        self.identifier = [self.codes.get(w, -1) for w in IDENTIFIER]
+
+    def _sizes(self, place: int, block: str) -> tuple[int, int]:
+        """Compressed bytes of a block of words, alone and with a template as dictionary."""
+        if place not in self.given:
+            self.given[place] = zstandard.ZstdCompressor(level=LEVEL, dict_data=self.templates[place].given)
+        raw = block.encode("utf-8", "surrogatepass")
+        return len(self.alone.compress(raw)), len(self.given[place].compress(raw))
 
-    def _saved(self, place: int, span: str) -> float:
-        """Share of the span's compressed size that the template saves, case aside."""
-        raw = span.lower().encode("utf-8", "surrogatepass")
-        given = zstandard.ZstdCompressor(level=LEVEL, dict_data=self.templates[place].given)
-        return 1 - len(given.compress(raw)) / len(self.alone.compress(raw))
+    def reduction(self, place: int, words: list[str]) -> int:
+        """Bytes that a template as dictionary takes off the compressed size of a block."""
+        alone, given = self.sizes(place, " ".join(words))
+        return alone - given
 
     def notices(self, text: str | None) -> list[tuple]:
         """Span of characters, name, share saved, missing and added words of each notice, in order."""
@@ -121,54 +145,124 @@ class Matcher:
         places = [m.span() for m in _WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in places]
         codes = np.array([self.codes.get(w, -1) for w in words], np.int64)
-        out, open_parts = [], [(0, len(words))]
+        # Words over which each marker lies.
+        starts, ends = (np.array(x, np.int64) for x in zip(*places, strict=True)) if places else (np.zeros(0, np.int64),) * 2
+        markers = [(int(np.searchsorted(ends, m.start(), "right")), int(np.searchsorted(starts, m.end()))) for m in _MARKER.finditer(text)]
+        held = self._named(FIELDS[0], text, starts, ends, words, codes, [])
+        open_parts = _between(held, 0, len(words))
         while open_parts:
             low, high = open_parts.pop()
-            found = self._best(text, places, codes, low, high)
-            if not found:
-                continue
-            place, spans = found
-            template = self.templates[place]
-            for begin, end in spans:
-                first, last = places[begin][0], places[end - 1][1]
-                saved = self.saved(place, text[first:last])
-                last += text[last : last + 1] in (".", "!", "?", ";", ":")
-                out.append((first, last, template.name, saved, *differences(template.words, words[begin:end])))
-            open_parts += zip([low, *(end for _, end in spans)], [*(begin for begin, _ in spans), high], strict=True)
+            found = []
+            for begin, end in self._blocks(codes, markers, low, high):
+                found += self._winner(codes, words, markers, begin, end)
+            if found:
+                held += found
+                open_parts += _between(sorted(found), low, high)
+        for field in FIELDS[1:]:
+            held += self._named(field, text, starts, ends, words, codes, sorted(held))
+        out = []
+        for begin, end, place in held:
+            first, last = places[begin][0], places[end - 1][1]
+            last += text[last : last + 1] in (".", "!", "?", ";", ":")
+            template, (alone, given) = self.templates[place], self.sizes(place, " ".join(words[begin:end]))
+            out.append((first, last, template.name, 1 - given / alone, *differences(template.words, words[begin:end])))
         return sorted(out)
 
-    def _best(self, text: str, places: list[tuple[int, int]], codes: np.ndarray, low: int, high: int):
-        """The template with the most words in common within the words from low to high, and its closest spans."""
-        part, best = codes[low:high], None
-        counts = Counter(part[part >= 0].tolist())
-        for place, template in enumerate(self.templates):
-            if not template.possible(counts):
-                continue
-            size, row = len(template.words), template.ends(part)
-            differing, missing = row // DIFFERS, row % DIFFERS // MISSING
-            start = START - row % MISSING
-            ends = np.flatnonzero(missing <= template.most)
-            for least in np.unique(differing[ends]).tolist():
-                # Of a start's ends the last: a replaced last word belongs to the span.
-                last = {int(start[end]): int(end) for end in ends[differing[ends] == least]}
-                spans, until = [], 0
-                for begin, end in sorted(last.items(), key=lambda x: x[1]):
-                    first, stop = places[low + begin][0], places[low + end - 1][1]
-                    if begin >= until and end > begin and template.needed <= set(part[begin:end].tolist()) and _MARKER.search(text[first:stop]):
-                        added = end - begin - (size - int(missing[end]))
-                        rank = size - 2 * int(missing[end]) - added
-                        spans.append((rank, low + begin, low + end))
-                        until = end
+    def _closest(self, template: Template, codes: np.ndarray, markers: list[tuple[int, int]], low: int, high: int) -> tuple[int, list[tuple[int, int]]]:
+        """Differing words and places of a template's closest spans between two words that lack few enough of its words."""
+        part, row = codes[low:high], template.ends(codes[low:high])
+        differing, missing = row // DIFFERS, row % DIFFERS // MISSING
+        start = START - row % MISSING
+        ends = np.flatnonzero(missing <= template.most)
+        for least in np.unique(differing[ends]).tolist():
+            # Of a start's ends the last: a replaced last word belongs to the span.
+            last = {int(start[end]): int(end) for end in ends[differing[ends] == least]}
+            spans, until = [], 0
+            for begin, end in sorted(last.items(), key=lambda x: x[1]):
+                named = template.needed <= set(part[begin:end].tolist())
+                if begin >= until and end > begin and named and _holds(markers, low + begin, low + end):
+                    spans.append((low + begin, low + end))
+                    until = end
+            if spans:
+                return least, spans
+        return 0, []
+
+    def _possible(self, codes: np.ndarray) -> list[int]:
+        """Templates that could be confirmed in a block: no other has enough of its words there."""
+        counts = Counter(codes[codes >= 0].tolist())
+        return [place for place, template in enumerate(self.templates) if template.possible(counts)]
+
+    def _blocks(self, codes: np.ndarray, markers: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+        """Candidate blocks of words: closest spans of all templates, those that overlap as one."""
+        spans = set()
+        for place in self._possible(codes[low:high]):
+            spans.update(self._closest(self.templates[place], codes, markers, low, high)[1])
+        blocks: list[tuple[int, int]] = []
+        for begin, end in sorted(spans):
+            if blocks and begin < blocks[-1][1]:
+                blocks[-1] = (blocks[-1][0], max(end, blocks[-1][1]))
+            else:
+                blocks.append((begin, end))
+        return blocks
+
+    def _winner(self, codes: np.ndarray, words: list[str], markers: list[tuple[int, int]], begin: int, end: int) -> list[tuple[int, int, int]]:
+        """Spans of the template that compression ranks highest among those that wording confirms, and its place."""
+        ranked = [(self.reduction(place, words[begin:end]), place) for place in self._possible(codes[begin:end])]
+        ranked = sorted((x for x in ranked if x[0] > 0), key=lambda x: (-x[0], x[1]))
+        for _, equal in groupby(ranked, key=lambda x: x[0]):
+            confirmed = []
+            for _, place in equal:
+                least, spans = self._closest(self.templates[place], codes, markers, begin, end)
                 if spans:
-                    rank = max(spans)[0]
-                    spans = [x[1:] for x in spans if x[0] == rank]
-                    if best is None or rank >= best[0]:
-                        first, stop = places[spans[0][0]][0], places[spans[0][1] - 1][1]
-                        key = (rank, -least, self.saved(place, text[first:stop]))
-                        if best is None or key > best[:3]:
-                            best = (*key, place, spans)
-                    break
-        return best and best[3:]
+                    confirmed.append((least, place, spans))
+            if confirmed:
+                _, place, spans = min(confirmed)
+                return [(*span, place) for span in spans]
+        return []
+
+    def _named(
+        self, field: re.Pattern, text: str, starts: np.ndarray, ends: np.ndarray, words: list[str], codes: np.ndarray, held: list[tuple]
+    ) -> list[tuple[int, int, int]]:
+        """Identifiers in a field or expression outside of the spans held, each as a block behind the usual field name.
+
+        The words of the field belong to the span of the first identifier.
+        """
+
+        def within(low: int, high: int) -> tuple[int, int]:
+            return int(np.searchsorted(ends, low, "right")), int(np.searchsorted(starts, high))
+
+        out, begins = [], [x[0] for x in held]
+        for match in field.finditer(text):
+            around = [match.start(), match.end() if match.end() > match.end("ids") else 0]
+            for each in IDENTIFIERS.finditer(text, *match.span("ids")):
+                begin, end = within(*each.span())
+                if begin == end or _meets(held, begins, begin, end):
+                    continue
+                said = [*IDENTIFIER, *words[begin:end]]
+                found = self._winner(np.concatenate([self.identifier, codes[begin:end]]), said, [(0, len(said))], 0, len(said))
+                if found:
+                    whole = within(min(each.start(), around[0]), max(each.end(), around[1]))
+                    first = each.start() == match.start("ids") or not text[match.start("ids") : each.start()].strip("(\"' ")
+                    span = whole if first and not _meets(held, begins, *whole) else (begin, end)
+                    out.append((*span, found[0][2]))
+        return out
+
+
+def _between(spans: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+    """What lies between two words beside some spans in order."""
+    return list(zip([low, *(x[1] for x in spans)], [*(x[0] for x in spans), high], strict=True))
+
+
+def _holds(markers: list[tuple[int, int]], begin: int, end: int) -> bool:
+    """Whether a marker lies wholly between two words; markers are in order and do not overlap."""
+    at = bisect_left(markers, (begin, begin))
+    return at < len(markers) and markers[at][1] <= end
+
+
+def _meets(held: list[tuple], begins: list[int], begin: int, end: int) -> bool:
+    """Whether a span meets one of those held, which are in order and do not overlap."""
+    at = bisect_left(begins, end)
+    return at > 0 and held[at - 1][1] > begin
 
 
 def differences(template: list[str], words: list[str]) -> tuple[list[str], list[str]]:
@@ -210,10 +304,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     Whole texts are searched, across sentences and lines; a span without a marker
     is none, nor does a null or empty text give any. Spans of a text do not
-    overlap. Equal rows give equal notices each; of templates with as many words
-    in common the one that saves more wins, then the first by name. An empty table
-    gives no rows; other columns are not looked at. Unless templates are given,
-    the short notices and the forms of ``licence_forms`` are searched for.
+    overlap. Equal rows give equal notices each; of templates that reduce a block
+    by as many bytes the one that differs in fewer words wins, then the first by
+    name. An empty table gives no rows; other columns are not looked at. Unless
+    templates are given, the short notices and the forms of ``licence_forms`` are
+    searched for.
     """
 
     def search(batches):

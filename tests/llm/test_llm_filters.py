@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from actiloom.llm import language, licence_forms, licenses, quality, queries, sharding, topk, urls
@@ -162,6 +163,84 @@ def test_licence_forms(spark):
             assert any(len(t.words) - len(missing) == len(span) - len(added) for t in matcher.templates if t.name == name)
 
 
+def test_compression_ranks_licences(monkeypatch):
+    given = {
+        "long": "Permission to use and copy this work for any purpose is licensed free of charge to every person.",
+        "short": "any purpose is licensed free",
+    }
+    text = "Permission to use and copy this thing for any purpose is licensed free of charge to every person."
+    matcher = licenses.Matcher(given)
+    assert [(x[2], x[4], x[5]) for x in matcher.notices(text)] == [("long", ["work"], ["thing"])]
+    # By wording alone the short one, which does not differ at all, would be told.
+    monkeypatch.setattr(licenses.Matcher, "reduction", lambda *_: 1)
+    assert licenses.Matcher(given).notices(text)[0][2] == "short"
+    # What no template compresses is no notice, whatever its words.
+    monkeypatch.setattr(licenses.Matcher, "reduction", lambda *_: 0)
+    assert licenses.Matcher().notices("Released under the MIT License.") == []
+
+
+def test_licence_ranking_by_brute_force():
+    """In each block the winner is the most reducing of all templates that any span of the block confirms."""
+    matcher = licenses.Matcher(licenses.TEMPLATES)
+    alone = zstandard.ZstdCompressor(level=licenses.LEVEL)
+    random.seed(9)
+    for _ in range(30):
+        said = random.choice(list(licenses.TEMPLATES.values())).split()
+        said[random.randrange(len(said))] = random.choice(["other", "the", "4.0.", "BY", said[0]])
+        text = "copyright " + " ".join(said)
+        words = [w.lower() for w in licenses._WORD.findall(text)]
+        codes = np.array([matcher.codes.get(w, -1) for w in words], np.int64)
+        markers = [(k, k + 1) for k, w in enumerate(words) if licenses._MARKER.search(w)]
+        for begin, end in matcher._blocks(codes, markers, 0, len(words)):
+            raw, best = " ".join(words[begin:end]).encode(), []
+            for place, t in enumerate(matcher.templates):
+                given = zstandard.ZstdCompressionDict(" ".join(t.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size = len(zstandard.ZstdCompressor(level=licenses.LEVEL, dict_data=given).compress(raw))
+                spans = [(i, j) for i in range(begin, end) for j in range(i + 1, end + 1) if any(i <= a and b <= j for a, b in markers)]
+                told = [whole_differences(t.words, words[i:j]) for i, j in spans]
+                told = [x for x in told if x[1] <= t.most and x[0] <= len(t.words)]
+                if told and size < len(alone.compress(raw)):
+                    best.append((size, min(told)[0], place))
+            found = matcher._winner(codes, words, markers, begin, end)
+            assert [x[2] for x in found[:1]] == [x[2] for x in sorted(best)[:1]], text
+
+
+def whole_differences(template, words):
+    """Differing and missing words of a whole span, the fewest."""
+    row = [(k, 0) for k in range(len(words) + 1)]
+    for n, t in enumerate(template):
+        below = [(n + 1, n + 1)]
+        for j, w in enumerate(words):
+            (a, b), (c, d) = row[j], row[j + 1]
+            below.append(min((a, b) if t == w else (a + 1, b + 1), (c + 1, d + 1), (below[j][0] + 1, below[j][1])))
+        row = below
+    return row[-1]
+
+
+def test_licence_expressions(spark):
+    said = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["mit", "apache-2.0"],
+        "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": ["mit", "apache-2.0", "bsd-3-clause"],
+        "License: GPL-2.0+ WITH Classpath-exception-2.0": ["gpl-2.0"],
+        "License: BSD-3-Clause": ["bsd-3-clause"],
+        '"license": "MIT"': ["mit"],
+        "Dual-licensed under MIT or Apache-2.0.": ["mit", "apache-2.0"],
+        "MIT licensed.": ["mit"],
+        "(c) 2020 Foo. All rights reserved. Apache License, Version 2.0": ["all-rights-reserved", "apache-2.0"],
+        "License: MIT\nLicense: MIT": ["mit", "mit"],
+        "License: The thing is licensed under the ISC license, says well licensed counsel.": [],
+    }
+    texts = list(said)
+    frame = spark.createDataFrame([*enumerate(texts), *enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in sorted(licenses.scan(frame).collect(), key=lambda r: (r.doc_id, r.first)):
+        got.setdefault(r.doc_id, []).append(r)
+    for k, text in enumerate(texts):  # equal rows give equal notices each
+        assert [r.template for r in got.get(k, [])] == [x for x in said[text] for _ in range(2)], text
+        spans = sorted({(r.first, r.last) for r in got.get(k, [])})
+        assert len(spans) == len(said[text]) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_language(spark):
     got = queries.QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -25,7 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actiloom.llm.encoder import encoder
@@ -135,8 +135,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, cut: str | None, e
 
     ``part``, ``nth``: the order of files; ``path``, ``n_docs``, ``n_tokens``.
     """
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # Ranges go on inside an id, and inside equal rows, so no id is one task.
+    rows = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("nth")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -209,5 +211,11 @@ def token_index(docs: DataFrame, tokenizer: str, cut: str | None, end: int | Non
     writes no file and gives no rows. Other columns are not looked at.
     """
     folder = scratch_path(docs.sparkSession, "tokens")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    return read_files(write_files(docs, folder.replace("file:/", "file:///", 1) if "://" not in folder else folder, tokenizer, cut, end))
+    return read_files(write_files(docs, shared_uri(docs.sparkSession, folder), tokenizer, cut, end))
+
+
+def shared_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark resolves it by: without one, that of the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and "://" not in uri else uri

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from actiloom.llm import packing, queries, tokenfile
+from actiloom.session import scratch_path
 from actiloom.llm.encoder import DROPPED, LEADING, Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -138,6 +139,31 @@ def test_token_files(spark):
     assert tokenfile.token_index(frame(spark, []), BYTE, LEADING, 2).count() == 0
     nulls = tokenfile.token_index(frame(spark, [(None, "x"), (None, None), (1, "x")]), BYTE, LEADING, 2).collect()
     assert sorted((r.start, r.doc_id is None) for r in nulls)[2] == (3, False)
+    docs = [(4, f"a {k % 3}") for k in range(300)]
+    assert sorted(tuple(r) for r in tokenfile.token_index(frame(spark, docs), BYTE, LEADING, 2).collect()) == expected_index(sorted(docs), BYTE, 2)
+
+
+def test_hot_id_goes_to_several_files(spark):
+    docs = frame(spark, [(4, f"a {k % 3}") for k in range(3000)]).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would join ranges as small as these
+    try:
+        files = tokenfile.write_files(docs, tokenfile.shared_uri(spark, scratch_path(spark, "hot")), BYTE, LEADING, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.n_docs for r in files) == 3000 and max(r.n_docs for r in files) < 1500
+
+
+def test_folder_without_scheme_is_the_default_file_systems(spark):
+    assert tokenfile.shared_uri(spark, "/shared/x") == "file:///shared/x"
+    assert tokenfile.shared_uri(spark, "file:/shared/x") == tokenfile.shared_uri(spark, "file:///shared/x") == "file:///shared/x"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://shared/")
+        conf.set("fs.viewfs.mounttable.shared.link./data", "file:///tmp")
+        assert tokenfile.shared_uri(spark, "/data/x") == "viewfs://shared/data/x"
+    finally:
+        conf.set("fs.defaultFS", before)
 
 
 def test_random_access(tmp_path):

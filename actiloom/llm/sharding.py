@@ -33,7 +33,8 @@ def shards(docs: DataFrame, limit: int) -> DataFrame:
 
     ``shard``: the bucket's hash prefix as a string of 0 and 1 (empty if one
     bucket holds all); no shard's texts exceed ``limit`` UTF-8 bytes, but for one
-    text that alone does. A null text has no bytes; a null doc_id is hashed as an
+    text that alone does, nor does it have more rows than ``limit``, so rows without
+    text are split as well. A null text has no bytes; a null doc_id is hashed as an
     empty string. Rows count each for itself. An empty table gives no rows; other
     columns are not looked at.
     """
@@ -67,7 +68,7 @@ def _placed(docs: DataFrame, limit: int, *kept: str) -> DataFrame:
             "prefix", "ahead", "bytes", "rows", F.explode(F.sequence(F.lit(0 if not first else 1), F.lit(ROUND_BITS))).alias("take")
         ).withColumn("bucket", F.concat("prefix", F.expr("substring(ahead, 1, take)")))
         sums = paths.groupBy("bucket").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
-        fits = sums.filter((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
+        fits = sums.filter((F.greatest("shard_bytes", "shard_rows") <= limit) | (F.col("shard_rows") == 1))
         best = paths.join(fits, "bucket").groupBy("prefix", "ahead").agg(F.min(F.struct("take", "bucket", "shard_bytes", "shard_rows")).alias("b"))
         best = written(best.select("prefix", "ahead", F.col("b.bucket").alias("shard"), "b.shard_bytes", "b.shard_rows"), "directory")
         keyed = open_rows.withColumn("ahead", ahead)

@@ -15,7 +15,7 @@ from actiloom.llm.frames import pick, portions
 
 GRAMS = 3
 BITS = 14
-#: About so many labelled texts are counted; a share of all, taken by a hash of doc_id.
+#: About so many labelled texts are counted at most; a share of all, taken by a hash of id, text and language.
 FIT_ROWS = 20_000
 #: More languages than this are refused, so the broadcast matrix has a bound.
 MOST_LANGUAGES = 512
@@ -80,12 +80,16 @@ class Model:
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Counts n-grams of the labelled texts (non-null ``text`` and ``lang``), of about ``rows`` of them at most.
 
-    What comes back to the driver is one count per language and bucket.
+    Rows that repeat one id, text and language count once, and the share is one of
+    different rows, so that neither a repeated row nor a repeated id goes beyond the
+    bound. What comes back to the driver is one count per language and bucket.
     """
     labelled = pick(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null")
-    count = labelled.count()
+    labelled = labelled.withColumn("row", F.xxhash64("doc_id", "text", "lang"))
+    count = labelled.select("row").distinct().count()
     if count > rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(rows / count * (1 << 32)))
+        labelled = labelled.filter(F.pmod("row", F.lit(1 << 32)) < int(rows / count * (1 << 32)))
+    labelled = labelled.dropDuplicates(["row"]).select("text", "lang")
 
     def tally(batches):
         release()
@@ -127,6 +131,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def held_out():
+    """Whether a row is kept from teaching; null without a doc_id, and such rows do not teach either."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
@@ -150,13 +155,21 @@ def identify(docs: DataFrame, training: DataFrame, rows: int = FIT_ROWS) -> Data
 
 
 def identified(docs: DataFrame, training: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """``docs``, all columns, without the rows whose language is unknown (``und``)."""
+    """``docs``, all columns, without the rows whose language is unknown (``und``).
+
+    With no language learnt none can be told from another: then only texts
+    without a letter go.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(training, rows))
 
     def keep(batches):
         release()
         for batch in portions(batches, "text", 2 << 20):
-            names, _ = model.value.predict(batch["text"].to_pylist())
-            yield batch.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+            texts = batch["text"].to_pylist()
+            if model.value.languages:
+                kept = [name != UNKNOWN for name in model.value.predict(texts)[0]]
+            else:
+                kept = [has_letter(text) for text in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -137,29 +137,35 @@ def boost(rows: np.ndarray, labels: np.ndarray) -> Forest:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
-    """Trees for ``labels.quality`` from about ``rows`` labelled texts at most, whose statistics come to the driver."""
+    """Trees for ``labels.quality`` from about ``rows`` labelled texts at most, whose statistics come to the driver.
+
+    Rows that repeat one id and text teach once, and the share is one of different
+    labelled rows, so that neither a repeated row nor a repeated id goes beyond the bound.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.filter("doc_id is not null and quality in (0, 1)")
-    count = known.count()
-    docs = pick(docs, "doc_id", "text")
+    known = known.filter("doc_id is not null and quality in (0, 1)").distinct()
+    docs = pick(docs, "doc_id", "text").filter("doc_id is not null").withColumn("row", F.xxhash64("doc_id", "text"))
+    count = docs.select("doc_id", "row").distinct().join(known, "doc_id").count()
     if count > rows:
-        share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(rows / count * (1 << 32))
-        known, docs = known.filter(share), docs.filter(share)
+        docs = docs.filter(F.pmod("row", F.lit(1 << 32)) < int(rows / count * (1 << 32)))
+    docs = docs.dropDuplicates(["doc_id", "row"])
 
     def measure(batches):
         release()
         for batch in portions(batches, "text"):
             values = statistics(batch["text"])
-            yield pa.record_batch({"doc_id": batch["doc_id"], "values": pa.array(list(values), pa.list_(pa.float64()))})
+            yield pa.record_batch({"doc_id": batch["doc_id"], "row": batch["row"], "values": pa.array(list(values), pa.list_(pa.float64()))})
 
-    measured = docs.mapInArrow(measure, "doc_id long, values array<double>").join(known, "doc_id")
+    measured = docs.mapInArrow(measure, "doc_id long, row long, values array<double>").join(known, "doc_id")
     # An order that does not hang on how tasks were dealt, so the trees are the same each time.
-    table = measured.select("doc_id", "values", "quality").toArrow().sort_by("doc_id")
+    table = measured.select("doc_id", "row", "values", "quality").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("quality", "ascending")])
     values = np.array(table["values"].to_pylist(), float).reshape(-1, len(FEATURES))
     return boost(values, np.array(table["quality"].to_pylist(), float))
 
 
 def held_out():
+    """Whether a row is kept from teaching; null without a doc_id, and such rows do not teach either."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 

@@ -105,7 +105,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, docs.filter(~language.held_out()))
-    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query
@@ -113,7 +113,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, docs.filter(~quality.held_out()), table(spark, sf_dir, "labels"))
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
-    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", predicted)
+    return scored.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", predicted)
 
 
 #: The shards' byte limit of the query; a production limit would be some hundred MB.
@@ -137,7 +137,7 @@ WITH r AS (
   FROM d WINDOW w AS (PARTITION BY depth, bucket)
 ), f AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k
-  FROM s WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
+  FROM s WHERE greatest(shard_bytes, shard_rows) <= {SHARD_BYTES} OR shard_rows = 1
 )
 SELECT doc_id, n_bytes, left(lpad(bin(h), 60, '0'), depth::INT) AS shard, depth::INT AS depth,
        shard_bytes::BIGINT AS shard_bytes, shard_rows

@@ -256,6 +256,32 @@ def test_language(spark):
     assert kept.columns == docs.columns and kept.count() == 3
     assert {r.lang_pred for r in language.identify(docs, train.limit(0)).collect()} == {"und"}
     assert language.identify(docs.limit(0), train).count() == 0
+    # With nothing learnt the texts with a letter stay.
+    assert sorted(r.text for r in language.identified(docs, train.limit(0)).collect()) == sorted(["und die und " * 40_000, "the", "the"])
+
+
+def test_samples_are_bounded_whatever_repeats(spark, monkeypatch):
+    """A repeated id or row does not take the sample beyond its bound, nor is it in whole or out whole."""
+    rows = [(1, f"der die das {k}", "de", 1) for k in range(600)] + [(2, "the and of", "en", 0)] * 600 + [(None, "le la", "fr", 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    model = language.fit(docs, rows=100)
+    assert len(model.languages) <= 3 and 0.1 < np.exp(model.prior).max() <= 1
+    whole = language.fit(docs)
+    assert np.allclose(np.exp(whole.prior) * 602, [600, 1, 1])
+    seen = []
+    monkeypatch.setattr(quality, "boost", lambda values, labels: seen.append(labels))
+    labels = docs.select("doc_id", "quality")
+    quality.fit(docs, labels, rows=100)
+    quality.fit(docs, labels)
+    assert 50 < len(seen[0]) < 150 and len(seen[1]) == 601
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    docs = [(None, "the and", "en"), (1, "der die", "de"), (2, "the of", "en"), (5, "das und", "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op5_language_id", "op9_quality"):
+        assert {r.held_out for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} <= {True, False}
 
 
 def test_quality(spark):
@@ -297,6 +323,9 @@ def test_sharding(spark):
     assert all((sum(held[r.shard]), len(held[r.shard])) == (r.shard_bytes, r.shard_rows) for r in got)
     assert {r.shard for r in sharding.shards(docs, 10**9).collect()} == {""}
     assert sharding.shards(docs.limit(0), 100).count() == 0
+    # Rows without text are split too, by their number where they are alike.
+    bare = spark.createDataFrame([(3, None)] * 700 + [(None, "")] * 300, "doc_id long, text string")
+    assert max(r.shard_rows for r in sharding.shards(bare, 100).collect()) <= 100
 
 
 def test_written_shards(spark, tmp_path):

@@ -5,11 +5,12 @@ largest n of all; a query gets 0 there. The squared distance of a query q to it
 is then |q|^2 + N - 2 q.x, so the nearest vectors have the largest products, and
 a metric tree finds them.
 
-The root's routing objects are a bounded sample of the vectors. Every vector
-belongs to the page of its nearest one (large ones have several pages), with its
-distance to it. A query first searches its own page, which gives a distance that
-its k-th result cannot exceed; then it goes to all pages whose covering radius
-reaches nearer. Inside a page the tree goes on: a node has a pivot, a covering
+The root's routing objects are a bounded sample of the vectors, more of them for more
+vectors. Every vector belongs to its nearest one, with its distance to it, and to a
+page of those at about that distance. A query first searches its own page, which gives
+a distance that its k-th result cannot exceed; then it goes to all pages whose covering
+ring reaches nearer. Queries travel to the pages and stream through a page's tree, which
+is built once for all of them (once for each ``BLOCK`` where more come). Inside a page the tree goes on: a node has a pivot, a covering
 radius and the distance to its parent's pivot; nodes are visited best first, and
 the triangle inequality on the stored distances skips nodes and vectors without
 computing a distance.
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from actiloom.llm.frames import pick, written
 
-#: Routing objects of the root, vectors of a page, queries that meet a page at once, entries of a node.
-ROUTES, PAGE, BLOCK, NODE = 64, 20_000, 4_096, 64
+#: Least routing objects of the root, vectors of a page, queries that one copy of a page answers, entries of a node.
+ROUTES, PAGE, BLOCK, NODE = 64, 20_000, 200_000, 64
+#: Steps of distance by which the pages of a routing object are told apart, for each page.
+STEPS = 16
 
 
 @dataclass
@@ -140,13 +143,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         " and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     )
     scaled = F.transform("embedding", lambda x: F.floor(x * scale).cast("double"))
-    rows = written(rows.select("vec_id", scaled.alias("v")), "vectors")
+    rows = written(rows.select("vec_id", scaled.alias("v"), F.monotonically_increasing_id().alias("nth")), "vectors")
     squared = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
-    size, largest = rows.agg(F.max(F.size("v")), F.max(squared)).first()
+    size, largest, total = rows.agg(F.max(F.size("v")), F.max(squared), F.count("*")).first()
     none = "query_id long, rank int, vec_id long, score long"
     if size is None:
         return spark.createDataFrame([], none)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ROUTES).select("v").toArrow()
+    # As many routing objects as each has pages, so neither level grows faster than the root of the table.
+    count = max(ROUTES, math.isqrt(total // PAGE))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "nth").limit(count).select("v").toArrow()
     routes = np.unique(_points(_matrix(sample["v"].combine_chunks(), size), largest), axis=0)
 
     def assign(batches):
@@ -154,25 +159,33 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
             points = _points(_matrix(batch["v"], size), largest)
             cell = np.argmin(points @ routes.T * -2 + (routes**2).sum(axis=1), axis=1)
             far = np.sqrt(((points - routes[cell]) ** 2).sum(axis=1))
-            yield pa.record_batch({"vec_id": batch["vec_id"], "v": _lists(points[:, :-1]), "cell": pa.array(cell), "far": pa.array(far)})
-
-    placed = written(rows.mapInArrow(assign, "vec_id long, v array<double>, cell long, far double"), "placed")
-    # One row for each routing object.
-    cells = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("a"), F.max("far").alias("b")).collect()}
-    slices = {c: -(-r.n // PAGE) for c, r in cells.items()}
-    first = {c: sum(slices[x] for x in sorted(slices) if x < c) for c in slices}
-    lookup = lambda values: F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("cell"))
-    page = lookup(first) + F.pmod(F.xxhash64("vec_id"), lookup(slices))
-    placed = placed.withColumn("page", page.cast("long"))
-    queries = placed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "page")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")))
-    home = _searched(placed, queries.withColumn("least", F.lit(None).cast("double")), blocks, k, largest, size)
+            held = {"vec_id": batch["vec_id"], "nth": batch["nth"], "v": _lists(points[:, :-1])}
+            yield pa.record_batch(held | {"cell": pa.array(cell), "far": pa.array(far)})
+
+    placed = written(rows.mapInArrow(assign, "vec_id long, nth long, v array<double>, cell long, far double"), "placed")
+    rings = _rings(placed)
+
+    def settle(batches):
+        for batch in batches:
+            cell, far, nth = (batch[name].to_numpy() for name in ("cell", "far", "nth"))
+            page = np.zeros(len(cell), np.int64)
+            for c in np.unique(cell).tolist():
+                own, near = np.flatnonzero(cell == c), rings[c]["near"]
+                ring = np.searchsorted(near, far[own], "right") - 1
+                page[own] = rings[c]["first"][ring] + (nth[own] ^ nth[own] >> 33) % rings[c]["parts"][ring]
+            yield pa.record_batch({"vec_id": batch["vec_id"], "v": batch["v"], "page": pa.array(page)})
+
+    def paged(part: DataFrame) -> DataFrame:
+        return part.mapInArrow(settle, "vec_id long, v array<double>, page long")
+
+    queries = paged(placed.filter(F.col("vec_id") % every == 0)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "page")
+    # The same vector under the same id is one query.
+    queries = queries.groupBy("query_id", "q").agg(F.min("page").alias("page"))
+    home = _searched(paged(placed), queries.withColumn("least", F.lit(None).cast("double")), k, largest, size)
     home = written(home, "home")
     # Of no more than k rows of each query: what its k-th result cannot fall below.
-    least = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
+    least = home.distinct().groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
     bounded = queries.join(least, "query_id", "left")
-    spans = [(c, cells[c].a, cells[c].b, first[c], slices[c]) for c in sorted(cells)]
 
     def reach(batches):
         for batch in batches:
@@ -184,18 +197,19 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
             slack = 1e-6 * (1.0 + math.sqrt(largest) * math.sqrt(size + 1))
             own = batch["page"].to_pylist()
             pages: list[list[int]] = [[] for _ in own]
-            for c, near, far, begin, n in spans:
-                low = np.maximum(away[:, c] - far, near - away[:, c])
-                for k_ in np.flatnonzero(low <= most + slack).tolist():
-                    pages[k_] += [p for p in range(begin, begin + n) if p != own[k_]]
-            out = {name: batch[name] for name in ("query_id", "q", "least", "block")}
+            for c, ring in rings.items():
+                # Rings lie in order of distance, so those that a query reaches follow each other.
+                begin = np.searchsorted(ring["far"], away[:, c] - most - slack)
+                end = np.searchsorted(ring["near"], away[:, c] + most + slack, "right")
+                for k_ in np.flatnonzero(begin < end).tolist():
+                    first, last = int(ring["first"][begin[k_]]), int(ring["first"][end[k_] - 1] + ring["parts"][end[k_] - 1])
+                    pages[k_] += [p for p in range(first, last) if p != own[k_]]
+            out = {name: batch[name] for name in ("query_id", "q", "least")}
             yield pa.record_batch(out | {"pages": pa.array(pages, pa.list_(pa.int64()))})
 
-    wide = bounded.select("query_id", "q", "least", "block", "page").mapInArrow(
-        reach, "query_id long, q array<double>, least double, block long, pages array<long>"
-    )
-    wide = wide.select("query_id", "q", "least", "block", F.explode("pages").alias("page"))
-    away = _searched(placed, wide, blocks, k, largest, size)
+    wide = bounded.select("query_id", "q", "least", "page").mapInArrow(reach, "query_id long, q array<double>, least double, pages array<long>")
+    wide = wide.select("query_id", "q", "least", F.explode("pages").alias("page"))
+    away = _searched(paged(placed), wide, k, largest, size)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = home.unionByName(away).distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
@@ -205,23 +219,66 @@ def _points(rows: np.ndarray, largest: float) -> np.ndarray:
     return np.column_stack([rows, np.sqrt(np.maximum(0, largest - (rows**2).sum(axis=1)))])
 
 
-def _searched(placed: DataFrame, queries: DataFrame, blocks: int, k: int, largest: float, size: int) -> DataFrame:
-    """The k best of each query and page it goes to. A page meets a block of queries at a time."""
-
-    def search(pages: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
-        if len(pages) and len(asked):
-            points = _points(_matrix(pages["v"].combine_chunks(), size), largest)
-            tree = MTree(points, pages["vec_id"].to_numpy())
-            q = _matrix(asked["q"].combine_chunks(), size)
-            for row, own, least in zip(q, asked["query_id"].to_pylist(), asked["least"].to_pylist(), strict=True):
-                base = float((row**2).sum()) + largest
-                for score, found in tree.search(row, own, k, base, -math.inf if least is None else least):
-                    out.append((own, found, int(score)))
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    met = placed.select("page", "vec_id", "v").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = queries.select("page", "block", "query_id", "q", "least")
-    grouped = met.groupBy("page", "block").cogroup(asked.groupBy("page", "block"))
-    return grouped.applyInArrow(lambda a, b: search(a, b), "query_id long, vec_id long, score long")
+def _rings(placed: DataFrame) -> dict[int, dict[str, np.ndarray]]:
+    """Per routing object the rings of its vectors by distance, in order: ``near``, ``far``, ``first`` page and ``parts``.
+
+    A ring holds about a page; where one distance has more, it has several pages.
+    What comes to the driver is a row for each routing object and for each ring.
+    """
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("a"), F.max("far").alias("b")).collect()
+    spark = placed.sparkSession
+    steps = spark.createDataFrame([(r.cell, r.a, STEPS * -(-r.n // PAGE) / max(r.b - r.a, 1e-300)) for r in cells], "cell long, a double, step double")
+    stepped = placed.select("cell", "far").join(F.broadcast(steps), "cell").withColumn("bin", F.floor((F.col("far") - F.col("a")) * F.col("step")))
+    bins = stepped.groupBy("cell", "bin").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far"))
+    before = F.sum("n").over(Window.partitionBy("cell").orderBy("bin")) - F.col("n")
+    ringed = bins.withColumn("ring", F.floor(before / PAGE)).groupBy("cell", "ring")
+    found = ringed.agg(F.sum("n").alias("n"), F.min("near").alias("near"), F.max("far").alias("far")).toArrow().sort_by([("cell", "ascending"), ("ring", "ascending")])
+    cell, n, near, far = (found[name].to_numpy() for name in ("cell", "n", "near", "far"))
+    parts = -(-n // PAGE)
+    first = np.cumsum(parts) - parts
+    held = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
+    return {c: {"near": near[own], "far": far[own], "first": first[own], "parts": parts[own]} for c, own in held.items()}
+
+
+def _searched(pages: DataFrame, queries: DataFrame, k: int, largest: float, size: int) -> DataFrame:
+    """The k best of each query and page that it goes to.
+
+    A page is held by one task, which streams the queries through its tree. Pages
+    that no query goes to stay out; one to which more than ``BLOCK`` go has a copy
+    for each ``BLOCK`` of them.
+    """
+    copies = queries.groupBy("page").agg(F.ceil(F.count("*") / BLOCK).alias("copies"))
+    met = pages.join(copies, "page").select("page", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "vec_id", "v")
+    met = met.withColumn("asks", F.lit(False)).withColumn("least", F.lit(None).cast("double"))
+    copy = (F.pmod(F.xxhash64("query_id", "q"), "copies") + 1).alias("copy")
+    asked = queries.join(copies, "page").select("page", copy, F.col("query_id").alias("vec_id"), F.col("q").alias("v"), F.lit(True).alias("asks"), "least")
+
+    def search(batches):
+        key, points, ids, tree = None, [], [], None
+        for batch in batches:
+            told = np.column_stack([batch[name].to_numpy(zero_copy_only=False).astype(np.int64) for name in ("page", "copy", "asks")])
+            cuts = [0, *(np.flatnonzero((told[1:] != told[:-1]).any(axis=1)) + 1).tolist(), len(told)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                if key != tuple(told[low, :2]):
+                    key, points, ids, tree = tuple(told[low, :2]), [], [], None
+                part = batch.slice(low, high - low)
+                rows, own = _matrix(part["v"], size), part["vec_id"].to_numpy()
+                if not told[low, 2]:
+                    points.append(_points(rows, largest))
+                    ids.append(own)
+                    continue
+                if tree is None:
+                    tree = MTree(np.concatenate(points), np.concatenate(ids))
+                out = []
+                for row, query, least in zip(rows, own.tolist(), part["least"].to_pylist(), strict=True):
+                    base = float((row**2).sum()) + largest
+                    for score, found in tree.search(row, query, k, base, -math.inf if least is None else least):
+                        out.append((query, found, int(score)))
+                if out:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    order = ["page", "copy", "asks"]
+    both = met.unionByName(asked).repartition("page", "copy").sortWithinPartitions(*order)
+    return both.mapInArrow(search, "query_id long, vec_id long, score long")

@@ -371,3 +371,32 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(frame.limit(0), 5, 10).count() == 0
     few = frame.filter("vec_id in (0, 1, 2)")
     assert topk.top_k(few, 5, 10).count() == 2
+    assert topk.top_k(frame.filter("vec_id between 500 and 503 or vec_id is null"), 5, 10).count() == 0
+    # A repeated id, its rows alike or not, spreads over pages and copies.
+    hot = [(10, [float(i % 7), 1.0]) for i in range(200)] + [(10, [2.0, 2.0])] * 200 + [(i, [float(i % 5), -1.0]) for i in range(11, 90)]
+    found = topk.top_k(spark.createDataFrame(hot, "vec_id long, embedding array<float>"), 5, 10)
+    # The best of all rows of an id, each pair of candidate and score once.
+    best = {q: sorted({(-s, i) for own, _, i, s in brute_top(hot, len(hot), 10) if own == q})[:5] for q in (10, *range(20, 90, 10))}
+    assert {tuple(r) for r in found.collect()} == {(q, n + 1, i, -s) for q, own in best.items() for n, (s, i) in enumerate(own)}
+
+
+def test_pages_hold_what_they_should(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PAGE", 50)
+    random.seed(2)
+    rows = [(0, 3.0)] * 500 + [(1, random.random()) for _ in range(1000)] + [(2, 1.0)]
+    rings = topk._rings(spark.createDataFrame(rows, "cell long, far double"))
+    assert rings[0]["parts"].tolist() == [10] and rings[2]["parts"].tolist() == [1]
+    near, far = rings[1]["near"], rings[1]["far"]
+    assert 20 <= len(near) <= 25 and (far[:-1] < near[1:]).all() and (rings[1]["parts"] <= 2).all()
+    pages = sorted(p for r in rings.values() for a, n in zip(r["first"], r["parts"]) for p in range(a, a + n))
+    assert pages == list(range(len(pages)))
+
+
+def test_tree_search_is_exact():
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(c * 9, 0.3, (400, 3)) for c in range(10)])
+    largest = float((points**2).sum(axis=1).max())
+    tree = topk.MTree(topk._points(points, largest), np.arange(len(points)))
+    for q in points[::400]:
+        found = tree.search(q, -1, 5, float((q**2).sum()) + largest, -np.inf)
+        assert np.allclose([x[0] for x in found], np.sort(points @ q)[::-1][:5])

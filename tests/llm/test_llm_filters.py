@@ -328,6 +328,17 @@ def test_sharding(spark):
     assert max(r.shard_rows for r in sharding.shards(bare, 100).collect()) <= 100
 
 
+def test_later_directories_are_not_broadcast(spark):
+    """Only the directory of the first bits, of bounded size, may go through the driver."""
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('x', 60) as text")
+    placed = sharding.shards(docs, 100)
+    assert placed.agg(F.max("depth")).first()[0] > sharding.ROUND_BITS  # two rounds at least
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) > 1 and sum("rightHint=(strategy=merge)" not in line for line in joins) == 1
+    assert placed._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 1
+
+
 def test_written_shards(spark, tmp_path):
     rows = [(i, "x" * (i % 150), "s") for i in range(300)] + [(7, f"same {k % 3}", None) for k in range(200)]
     rows += [(None, "é" * (k % 40), str(k)) for k in range(150)] + [(None, None, "n"), (9, "y" * 500, "long")]

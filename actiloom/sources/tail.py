@@ -7,11 +7,12 @@ since the last batch. The stream offset is the length of every file.
 
 A byte range delivers the lines whose newline lies inside it and looks back
 for where the first of them begins. So a partial last line waits for its
-newline, large files split anywhere, and nothing is read by the driver.
+newline, large files split anywhere, and nothing is read by the driver. Small
+ranges and small files share a task.
 
 Options
     path             glob; each part between slashes may hold wildcards
-    splitBytes       largest byte range of one task (default 64 MiB)
+    splitBytes       largest byte range read at once (default 64 MiB)
     maxBackfillBytes cap on a file met for the first time (stream only); the
                      lines before it are skipped and a row with ``skipped``
                      (bytes) and no line announces that
@@ -49,7 +50,9 @@ _ARROW = pa.schema(
     ]
 )
 SPLIT_BYTES = 64 * 1024 * 1024
-_BLOCK = 1024 * 1024
+#: Ranges up to this many bytes are read by one task, an opened file counting as some bytes.
+TASK_BYTES, OPEN_BYTES = 8 * 1024 * 1024, 256 * 1024
+_BLOCK, _LOOK_BACK = 1024 * 1024, 4096
 _BATCH_ROWS, _BATCH_BYTES = 8192, 8 * 1024 * 1024
 
 
@@ -62,6 +65,13 @@ class ByteRange(InputPartition):
     last: bool = True
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, range after range."""
+
+    parts: list[ByteRange]
+
+
 def open_filesystem(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
@@ -104,30 +114,52 @@ def split(file: str, begin: int, end: int, size: int, floor: int = 0) -> list[By
     ]
 
 
+def packed(parts: list[ByteRange]) -> list[Ranges]:
+    """The ranges dealt to tasks: neighbours together, up to ``TASK_BYTES``."""
+    tasks: list[Ranges] = []
+    file, held = None, 0
+    for part in parts:
+        cost = part.end - part.begin + (0 if part.file == file else OPEN_BYTES)
+        if not tasks or held + cost > TASK_BYTES:
+            tasks.append(Ranges([]))
+            held = 0
+        tasks[-1].parts.append(part)
+        file, held = part.file, held + cost
+    return tasks
+
+
 def line_start(stream, position: int) -> int:
     """Where the line holding the byte at ``position`` begins."""
+    size = _LOOK_BACK
     while position > 0:
-        begin = max(0, position - _BLOCK)
+        begin = max(0, position - size)
         stream.seek(begin)
         found = stream.read(position - begin).rfind(b"\n")
         if found >= 0:
             return begin + found + 1
-        position = begin
+        position, size = begin, min(2 * size, _BLOCK)
     return 0
 
 
 def complete_lines(stream, part: ByteRange) -> Iterator[tuple[int, bytes]]:
-    """(position, bytes) of the lines whose newline lies in the range."""
-    position = line_start(stream, part.begin)
-    stream.seek(position)
+    """(position, bytes) of the lines whose newline lies in the range.
+
+    A range without newline, inside a long line, does not look back.
+    """
+    stream.seek(part.begin)
     held: list[bytes] = []
-    at = position
+    at, position = part.begin, None
     while at < part.end:
         block = stream.read(min(_BLOCK, part.end - at))
         if not block:
             return
         at += len(block)
         pieces = block.split(b"\n")
+        if position is None and len(pieces) > 1:
+            position = line_start(stream, part.begin)
+            stream.seek(position)
+            held.insert(0, stream.read(part.begin - position))
+            stream.seek(at)
         for piece in pieces[:-1]:
             held.append(piece)
             line = b"".join(held)
@@ -137,7 +169,12 @@ def complete_lines(stream, part: ByteRange) -> Iterator[tuple[int, bytes]]:
         held.append(pieces[-1])
 
 
-def rows(part: ByteRange) -> Iterator[tuple]:
+def rows(task: Ranges) -> Iterator[tuple]:
+    for part in task.parts:
+        yield from _range_rows(part)
+
+
+def _range_rows(part: ByteRange) -> Iterator[tuple]:
     system, path = open_filesystem(part.file)
     try:
         stream = system.open_input_file(path)
@@ -145,7 +182,7 @@ def rows(part: ByteRange) -> Iterator[tuple]:
         return
     with stream:
         # Under a cap, the line the floor falls into is skipped as a whole.
-        open_ended = part.floor > 0 and line_start(stream, part.begin) <= part.floor
+        open_ended = part.last and part.floor > 0 and line_start(stream, part.begin) <= part.floor
         for position, line in complete_lines(stream, part):
             if part.floor > 0 and position <= part.floor:
                 after = position + len(line) + 1
@@ -154,14 +191,14 @@ def rows(part: ByteRange) -> Iterator[tuple]:
                 continue
             text = line.decode("utf-8", errors="replace")
             yield part.file, position, text, position + len(line) + 1, None
-        if open_ended and part.last:
+        if open_ended:
             yield part.file, part.end, None, part.end, part.end
 
 
-def batches(part: ByteRange) -> Iterator[pa.RecordBatch]:
+def batches(task: Ranges) -> Iterator[pa.RecordBatch]:
     pending: list[tuple] = []
     size = 0
-    for row in rows(part):
+    for row in rows(task):
         pending.append(row)
         size += len(row[2] or "")
         if len(pending) >= _BATCH_ROWS or size >= _BATCH_BYTES:
@@ -184,11 +221,11 @@ class LineReader(DataSourceReader):
 
     def partitions(self):
         found = list_files(self.path)
-        return [r for f, n in found.items() for r in split(f, 0, n, self.size)]
+        return packed([r for f, n in found.items() for r in split(f, 0, n, self.size)])
 
     def read(self, partition):
         # Spark asks for one empty partition when no file matches.
-        return batches(partition) if isinstance(partition, ByteRange) else iter(())
+        return batches(partition) if isinstance(partition, Ranges) else iter(())
 
 
 class LineStreamReader(DataSourceStreamReader):
@@ -215,10 +252,10 @@ class LineStreamReader(DataSourceStreamReader):
             elif begin > length:
                 begin = 0
             out.extend(split(file, begin, length, self.size, floor))
-        return out
+        return packed(out)
 
     def read(self, partition):
-        return batches(partition) if isinstance(partition, ByteRange) else iter(())
+        return batches(partition) if isinstance(partition, Ranges) else iter(())
 
 
 class LineTail(DataSource):

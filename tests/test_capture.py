@@ -190,6 +190,37 @@ def test_splits_deliver_each_line_once(spark, tmp_path, size):
     assert [r.offset for r in rows][1:] == [r.next for r in rows][:-1]
 
 
+def test_small_ranges_share_tasks(tmp_path):
+    lines = [b"%06d" % k for k in range(30_000)]
+    (tmp_path / "f.txt").write_bytes(b"\n".join(lines) + b"\n")
+    (tmp_path / "g.txt").write_bytes(b"g\n")
+    reader = tail.LineReader({"path": str(tmp_path / "*.txt"), "splitBytes": "100"})
+    tasks = reader.partitions()
+    assert len(tasks) == 1 and len(tasks[0].parts) == 2101
+    assert [r[2].encode() for r in tail.rows(tasks[0])] == [*lines, b"g"]
+    full = tail.packed([tail.ByteRange("f", k, k + (1 << 20)) for k in range(0, 20 << 20, 1 << 20)])
+    assert [len(t.parts) for t in full] == [7, 8, 5]
+
+
+def test_ranges_read_about_their_own_bytes(tmp_path):
+    class Counted:
+        def __init__(self, file):
+            self.file, self.bytes, self.seek = file, 0, file.seek
+
+        def read(self, size):
+            block = self.file.read(size)
+            self.bytes += len(block)
+            return block
+
+    for body in (b"a line\n" * 30_000, b"x" * 300_000 + b"\ny\n"):
+        (tmp_path / "f.txt").write_bytes(body)
+        with open(tmp_path / "f.txt", "rb") as file:
+            stream = Counted(file)
+            parts = tail.split("f.txt", 0, len(body), 10_000)
+            assert b"".join(line + b"\n" for p in parts for _, line in tail.complete_lines(stream, p)) == body
+            assert stream.bytes < 5 * len(body)
+
+
 @pytest.mark.parametrize("size", [3, 1000])
 def test_cap_equals_batch_form(spark, tmp_path, size):
     text = "".join(f"line {i}\n" for i in range(40))

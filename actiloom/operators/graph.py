@@ -312,30 +312,31 @@ def tree_rows(
     A node is expanded where a depth-first drawing meets it first; elsewhere it is
     a leaf, marked when it has children. ``path`` holds the edge ids from the root,
     ``nth`` numbers a root's lines from 1 in the order of the drawing.
+
+    The last level of the walk is where its lines end, so it is not walked for. Only
+    nodes with children need a place: the others, most of a wide tree, are lines alone.
     """
-    visited = walk(edges, roots, max_depth)
-    lines = walk_edges(edges, visited).select("root", "edge_uid", "in", "out", "rel_type")
-    lines = written(lines, "lines")
-    places = first_visits(lines, roots)
-    has_children = lines.select("root", F.col("in").alias("out")).distinct().withColumn(
-        "_parent", F.lit(True)
-    )
+    # What is expanded: the nodes met before the last level.
+    inner = walk(edges, roots, max(max_depth - 1, 0)).where(F.col("depth") < max_depth)
+    lines = walk_edges(edges, inner.withColumn("frontier", F.lit(False)))
+    lines = written(lines.select("root", "edge_uid", "in", "out", "rel_type"), "lines")
+    expanded = lines.select("root", F.col("in").alias("out")).distinct()
+    places = written(first_visits(lines.join(expanded, ["root", "out"], "left_semi"), roots), "places")
     parents = places.select("root", F.col("node").alias("in"), F.col("path").alias("_at"))
     owned = places.select("root", F.col("node").alias("out"), F.col("path").alias("_own"))
     below = lines.join(parents, ["root", "in"]).withColumn("path", F.concat("_at", F.array("edge_uid")))
+    # A line's node with a place has children, and is drawn with them where it has that place.
+    again = F.col("_own").isNotNull() & F.coalesce(F.col("path") != F.col("_own"), F.lit(True))
     below = below.join(owned, ["root", "out"], "left").select(
-        "root", F.col("out").alias("node"), "rel_type", "path", F.coalesce(F.col("path") == F.col("_own"), F.lit(False)).alias("owns")
+        "root", F.col("out").alias("node"), "rel_type", "path", again.alias("repeated")
     )
     tops = places.where(F.size("path") == 0).select(
-        "root", "node", F.lit(None).cast("string").alias("rel_type"), "path", F.lit(True).alias("owns")
+        "root", "node", F.lit(None).cast("string").alias("rel_type"), "path", F.lit(False).alias("repeated")
     )
     rows = ordered.with_running(tops.unionByName(below), ["root"], ["path"], {"nth": ordered.count_rows()})
-    meta = versioned.current_meta(
-        visited.select(F.col("node").alias("id")), anchors, states
-    ).select(F.col("id").alias("node"), "entity_type", "name", "content")
-    marked = rows.join(meta, "node", "left").join(
-        has_children.withColumnRenamed("out", "node"), ["root", "node"], "left"
-    )
+    ids = lines.select(F.col("out").alias("id")).unionAll(places.where(F.size("path") == 0).select(F.col("node").alias("id")))
+    meta = versioned.current_meta(ids, anchors, states).select(F.col("id").alias("node"), "entity_type", "name", "content")
+    marked = rows.join(meta, "node", "left")
     label = F.when(
         F.col("entity_type") == "text",
         F.concat(F.lit('text "'), X.first_line(F.coalesce("content", "name")), F.lit('"')),
@@ -345,8 +346,7 @@ def tree_rows(
         F.col("rel_type").isNotNull(),
         F.concat(F.col("rel_type"), F.lit(" → "), F.substring(F.col("node").cast("string"), 1, 13), F.lit("  ")),
     ).otherwise(F.concat(F.col("node").cast("string"), F.lit(" ")))
-    repeated = ~F.col("owns") & F.coalesce(F.col("_parent"), F.lit(False))
-    mark = F.when(repeated, F.lit(" (already shown above — cycle)")).otherwise("")
+    mark = F.when(F.col("repeated"), F.lit(" (already shown above — cycle)")).otherwise("")
     return marked.select(
         "root",
         "nth",
@@ -354,7 +354,7 @@ def tree_rows(
         "node",
         depth.alias("depth"),
         F.concat(F.repeat(F.lit("  "), depth), edge, label, mark).alias("line"),
-        repeated.alias("repeated"),
+        "repeated",
     )
 
 

@@ -224,6 +224,25 @@ def test_tree_is_drawn_depth_first(spark, seed, depth):
         assert all(r.depth == len(r.path) for r in own)
 
 
+def test_trees_look_for_places_of_nodes_with_children_alone(spark, monkeypatch):
+    written = []
+    add = session.Rounds.add
+
+    def counted(self, df):
+        rows = add(self, df)
+        written.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(session.Rounds, "add", counted)
+    edges = [("r", "a", "e0", "contains"), ("r", "b", "e1", "contains")]
+    edges += [("a" if k % 2 else "b", f"x{k:03d}", f"f{k:03d}", "contains") for k in range(300)]
+    anchors, states, _ = store(spark, [("r", "task", "R", None)], [("a", "b", "contains")])
+    rows = G.tree_rows(spark.createDataFrame(edges, EDGE), ids(spark, "r"), anchors, states, 2).collect()
+    assert len(rows) == 303 and [r.node for r in sorted(rows, key=lambda r: r.nth)][:3] == ["r", "a", "x001"]
+    assert not any(r.repeated for r in rows)
+    assert sum(written) < 20
+
+
 def test_rounds_write_what_their_frontier_is(spark, monkeypatch):
     """A chain beside many tasks that wait for its end: until then a round writes one row."""
     sizes = defaultdict(list)

@@ -16,7 +16,7 @@ from .. import model
 from ..functions import clock
 from ..session import Rounds, written
 from . import graph, versioned
-from .adjacency import Adjacency
+from .adjacency import PUSHED, Adjacency
 
 
 # -- chains ------------------------------------------------------------------
@@ -356,19 +356,89 @@ def runnable(
 def blocked(deps: DataFrame, failed: DataFrame) -> DataFrame:
     """(task) never dispatched because something it depends on, near or far, failed.
 
-    Reachability from the failed tasks over reversed dependencies, as one
-    multi-source walk that remembers only which tasks were met. A failed task
-    behind another failed one is blocked as well.
+    Reachability from the failed tasks over reversed dependencies. A failed task
+    behind another failed one is blocked as well. From few failed tasks it is a walk
+    that follows its frontier; for many, chains are followed in doubling jumps first.
     """
+    frontier = written(failed.select("task").distinct(), "failed")
+    if len(frontier.take(PUSHED + 1)) <= PUSHED:
+        return _spread(deps, frontier)
+    return _behind(*_chains(deps, frontier))
+
+
+def _spread(deps: DataFrame, frontier: DataFrame) -> DataFrame:
+    """One multi-source walk that remembers only which tasks were met."""
     links = Adjacency(deps.select("task", "dep"), "dep")
     met = Rounds(deps.sparkSession, "blocked")
-    frontier = written(failed.select("task").distinct(), "failed")
     while (hits := links.meet(frontier.select(F.col("task").alias("dep")))) is not None:
         step = hits.select("task").distinct()
         frontier = met.add(step.join(met.read().select("task"), "task", "left_anti") if met.count else step)
     return met.read().select("task") if met.count else frontier
 
 
+def _chains(deps: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Where the tasks' dependencies lead, followed through tasks that have a single one.
+
+    The first table has a row (task, end, hit, done) per task with one dependency,
+    the second a row per dependency of those with several (None if no task has). ``end`` is
+    the next task below with none or several, ``hit`` tells whether a task of ``marked``
+    was met on the way, ``end`` included. Jumps double in length, so rounds are
+    as many as the logarithm of the longest chain. A chain that runs into a cycle of
+    single dependencies has no end: it is not ``done``, and its ``hit`` is complete too,
+    since the rounds go on while any chain ends or meets its first marked task.
+    """
+    links = deps.where("dep is not null").select("task", "dep")
+    heads = written(links.groupBy("task").agg(F.min("dep").alias("dep"), F.max("dep").alias("_last")), "heads")
+    single, several = heads.where("dep = _last").select("task", "dep"), heads.where("dep <> _last").select("task")
+    no, yes = F.lit(False), F.lit(True)
+    nodes = single.select("task", yes.alias("one"), no.alias("hit")).unionAll(marked.select("task", no, yes))
+    nodes = nodes.groupBy("task").agg(F.bool_or("one").alias("one"), F.bool_or("hit").alias("hit"))
+    first = single.join(nodes.withColumnRenamed("task", "dep"), "dep", "left").select(
+        "task", F.col("dep").alias("end"), F.coalesce("hit", no).alias("hit"), (~F.coalesce("one", no)).alias("done")
+    )
+    jumps, before = Rounds(deps.sparkSession, "jumps"), None
+    going = jumps.add(first).where("not done")
+    while (open_ := going.agg(F.count(F.lit(1)), F.count_if("hit")).first())[0] and open_ != before:
+        before = open_
+        newest = jumps.read().where(F.col("done") | (F.col("round") == jumps.count - 1)).drop("round")
+        on = newest.select(F.col("task").alias("end"), F.col("end").alias("_end"), F.col("hit").alias("_hit"), F.col("done").alias("_done"))
+        longer = going.join(on, "end").select("task", F.col("_end").alias("end"), (F.col("hit") | F.col("_hit")).alias("hit"), F.col("_done").alias("done"))
+        going = jumps.add(longer).where("not done")
+    newest = jumps.read().where(F.col("done") | (F.col("round") == jumps.count - 1)).drop("round")
+    if several.isEmpty():
+        return newest, None
+    forks = links.join(several.withColumnRenamed("task", "_t"), F.col("task").eqNullSafe(F.col("_t")), "left_semi").distinct()
+    forks = forks.join(newest.withColumnRenamed("task", "dep"), "dep", "left")
+    forks = forks.join(marked.select(F.col("task").alias("dep"), yes.alias("_bad")).distinct(), "dep", "left").select(
+        "task", F.coalesce("end", "dep").alias("end"), (F.coalesce("hit", no) | F.coalesce("_bad", no)).alias("hit"), F.coalesce("done", yes).alias("done")
+    )
+    return newest, written(forks.distinct(), "forks")
+
+
+def _behind(jumps: DataFrame, forks: DataFrame | None) -> DataFrame:
+    """(task), each once: what is behind a marked task. Forks are walked among themselves."""
+    hit = jumps.where("hit").select("task")
+    if forks is None:
+        return hit
+    seeds = written(forks.where("hit").select("task").distinct(), "seeds")
+    far = _spread(forks.select("task", F.col("end").alias("dep")), seeds).unionAll(seeds)
+    far = written(far.distinct(), "far")
+    behind = jumps.where("not hit").join(far.select(F.col("task").alias("end")), "end", "left_semi")
+    return hit.unionAll(behind.select("task")).unionAll(far).distinct()
+
+
+def _never_placed(jumps: DataFrame, forks: DataFrame | None) -> DataFrame:
+    """(task): what is on or behind a cycle. Waves are of the forks and of where chains end."""
+    loops = jumps.where("not done").select("task")
+    if forks is None:
+        return loops
+    # A fork that leads into a cycle of single dependencies waits for a task that is not there.
+    tasks = forks.select("task").unionAll(forks.where("done").select("end"))
+    stuck = written(waves(tasks, forks.select("task", F.col("end").alias("dep")))[1], "stuck")
+    behind = jumps.where("done").join(stuck.select(F.col("task").alias("end")), "end", "left_semi")
+    return loops.unionAll(behind.select("task")).unionAll(stuck)
+
+
 def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(task, outcome, reason) when work starts in dependency order.
 
@@ -377,20 +447,21 @@ def outcomes(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     unknown or not active; the first such one by position names the reason.
     Tasks on or behind a cycle are never started.
 
-    Skipped are exactly the tasks behind a bad one, so a reachability walk
-    decides all outcomes and the reasons follow from one join.
+    Skipped are exactly the tasks behind a bad one, and never started those that
+    no wave holds. Both follow from where chains of single dependencies lead, found
+    once for all tasks; walks and waves go over the tasks with several dependencies
+    alone. The reasons follow from one join.
     """
     own = written(tasks.select("task", "outcome"))
-    wanted = written(deps.select("task", "dep", "position"))
-    known = own.select(F.col("task").alias("dep"))
-    inner = wanted.join(known, "dep", "left_semi")
-    unknown = wanted.join(known, "dep", "left_anti")
-    stuck = waves(own.select("task"), inner)[1]
-    bad = own.where("outcome <> 'active'").select("task").unionAll(unknown.select("task")).unionAll(stuck)
-    behind = blocked(inner, bad).unionAll(unknown.select("task")).distinct()
-    marks = stuck.withColumn("_mark", F.lit("not started")).unionAll(
-        behind.join(stuck, "task", "left_anti").withColumn("_mark", F.lit("skipped"))
+    known = own.select(F.col("task").alias("dep")).distinct().withColumn("known", F.lit(True))
+    wanted = written(deps.select("task", "dep", "position").join(known, "dep", "left"))
+    inner, unknown = wanted.where("known"), wanted.where("known is null")
+    bad = own.where("outcome <> 'active'").select("task").unionAll(unknown.select("task"))
+    chains = _chains(inner, bad)
+    marks = _never_placed(*chains).withColumn("_stuck", F.lit(True)).unionAll(
+        _behind(*chains).unionAll(unknown.select("task")).withColumn("_stuck", F.lit(False))
     )
+    marks = marks.groupBy("task").agg(F.when(F.bool_or("_stuck"), "not started").otherwise("skipped").alias("_mark"))
     final = written(
         own.join(marks, "task", "left").select(
             "task", F.coalesce("_mark", "outcome").alias("outcome"), F.col("_mark").alias("mark")

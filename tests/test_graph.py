@@ -388,6 +388,55 @@ def test_outcomes(spark):
     assert got["x"][0] == got["y"][0] == got["z"][0] == "not started"
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_between_forks(spark, monkeypatch, seed):
+    """Chains, forks and cycles at random: outcomes and blocked tasks as a plain walk finds them."""
+    rng = random.Random(seed)
+    n = 60
+    links = {(k, k - 1) for k in range(1, n) if k % 13}
+    links |= {(rng.randrange(n), rng.randrange(n)) for _ in range(6)}
+    bad = set(rng.sample(range(n), 3))
+    needs = defaultdict(set)
+    for task, dep in links:
+        needs[task].add(dep)
+
+    def closure(start):
+        met, todo = set(), [start]
+        while todo:
+            for d in needs[todo.pop()] - met:
+                met.add(d)
+                todo.append(d)
+        return met
+
+    below = {k: closure(k) for k in range(n)}
+    behind = {k for k in range(n) if below[k] & bad}
+    stuck = {k for k in range(n) if k in below[k] or any(d in below[d] for d in below[k])}
+    deps = spark.createDataFrame([(t, d, 0) for t, d in sorted(links)], "task long, dep long, position int")
+    failed = spark.createDataFrame([(k,) for k in sorted(bad)], "task long")
+    monkeypatch.setattr(S, "PUSHED", 0)
+    assert sorted(r.task for r in S.blocked(deps, failed).collect()) == sorted(behind)
+    tasks = spark.createDataFrame([(k, "failed" if k in bad else "active") for k in range(n)], "task long, outcome string")
+    got = {r.task: r.outcome for r in S.outcomes(tasks, deps).collect()}
+    assert got == {k: "not started" if k in stuck else "skipped" if k in behind else "failed" if k in bad else "active" for k in range(n)}
+
+
+def test_outcomes_take_rounds_of_doubling_length(spark, monkeypatch):
+    rounds = defaultdict(int)
+    add = session.Rounds.add
+
+    def counted(self, df):
+        rounds[self.path] += 1
+        return add(self, df)
+
+    monkeypatch.setattr(session.Rounds, "add", counted)
+    n = 100
+    tasks = spark.range(n).selectExpr("id as task", "if(id = 40, 'failed', 'active') as outcome")
+    deps = spark.range(1, n).selectExpr("id as task", "id - 1 as dep", "0 as position")
+    got = {r.task: r.outcome for r in S.outcomes(tasks, deps).collect()}
+    assert got == {k: "active" if k < 40 else "failed" if k == 40 else "skipped" for k in range(n)}
+    assert sum(rounds.values()) <= 9  # 1, 2, 4, ... 128 links
+
+
 def test_runnable(spark):
     tasks = spark.createDataFrame([("f", t) for t in "abcde"], "firing string, task string")
     deps = spark.createDataFrame([("f", "b", "a"), ("f", "c", "a"), ("f", "d", "z"), ("f", "e", "b")], "firing string, task string, dep string")
